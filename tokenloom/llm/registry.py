@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     }
 
