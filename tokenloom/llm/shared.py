@@ -148,7 +148,8 @@ def with_answers(blocks_df: DataFrame, *answers: DataFrame) -> DataFrame:
     for x in answers[1:]:
         every = every.unionByName(x)
     lists = every.groupBy("block_id").agg(F.collect_list(F.struct("level", "bucket", "body")).alias("answers"))
-    return blocks_df.select("block_id", "body").join(lists, "block_id", "left")
+    # built in memory, as answers are small beside blocks; not broadcast, so that the plan is one at every size
+    return blocks_df.select("block_id", "body").join(lists.hint("shuffle_hash"), "block_id", "left")
 
 
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, dict[str, list[bytes]]]]:
