@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, token_counts
+from . import best_fit_packing, language_id, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_language_id": language_id.op2_language_id,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
     }
 
 
