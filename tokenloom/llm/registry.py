@@ -1,8 +1,8 @@
-"""The queries of this subpackage."""
+"""The queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-from . import best_fit_packing, language_id, substring_dedup, token_counts
+from . import best_fit_packing, language_id, substring_dedup, suffix_dedup, token_counts, topk_search
 
 
 def queries() -> dict:
@@ -11,8 +11,12 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+        "op10_topk_search": topk_search.op10_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_topk_search": topk_search.OP10_SQL,
+    }
