@@ -90,7 +90,7 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     row_blocks, query_blocks = -(-sizes[0] // ROW_BLOCK) or 1, -(-sizes[1] // QUERY_BLOCK) or 1
     queries = usable.filter("is_query").groupBy("id").agg(F.min(F.struct("d", "v")).alias("x")).select("id", "x.d", "x.v")
     each_row = usable.select("id", "d", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks)).alias("r")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    each_query = queries.withColumn("q", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).cast("long"))
+    each_query = queries.withColumn("q", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
