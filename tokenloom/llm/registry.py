@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, language_id, substring_dedup, suffix_dedup, token_counts, topk_search
+from . import best_fit_packing, jaccard_join, language_id, substring_dedup, suffix_dedup, token_counts, topk_search
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_topk_search": topk_search.op10_topk_search,
     }
