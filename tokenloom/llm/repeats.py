@@ -166,7 +166,7 @@ def answer_anchors(bodies: list[bytes]) -> list[bytes]:
     sizes = [int(np.frombuffer(x[-4:], np.uint32)[0]) for x in bodies]
     keys = np.concatenate([unpacked40(x[: 5 * n]) for x, n in zip(bodies, sizes, strict=True)])
     several = np.concatenate([np.unpackbits(np.frombuffer(x[5 * n : -4], np.uint8), count=n) for x, n in zip(bodies, sizes, strict=True)]).astype(bool)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     same = k[1:] == k[:-1]
     rep = several[order]

@@ -36,28 +36,28 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, keep: int) -> tuple[np.n
         s[ended] = 0
         key = key * np.uint64(257) + s
     done = left < h
+    place = np.arange(n)
     ids = None
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
-        new = np.ones(n, bool)
-        new[1:] = (k[1:] != k[:-1]) | done[order[1:]] | done[order[:-1]]
+        new = np.concatenate(([True], k[1:] != k[:-1]))
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
         if ids is None and 2 * h >= keep:
-            second = np.minimum(np.arange(n) + (keep - h), n - 1)
-            pair = rank * np.int64(n) + rank[second]
-            lone = left < keep
-            pair[lone] = -1 - np.flatnonzero(lone)
-            ids = pair
-        if new.all():
-            if ids is None:
-                ids = np.where(left < keep, -1 - np.arange(n), rank * np.int64(n))
-            return order, ids
-        key = rank.astype(np.uint64) * np.uint64(n) + rank[np.minimum(np.arange(n) + h, n - 1)].astype(np.uint64)
-        key[done] = (rank[done] * n).astype(np.uint64)
+            ids = rank * np.int64(n) + rank[np.minimum(place + (keep - h), n - 1)]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        if done[order[tied]].all():
+            break
+        key = rank.astype(np.uint64) * np.uint64(n) + np.where(done, 0, rank[np.minimum(place + h, n - 1)]).astype(np.uint64)
         h *= 2
-        done = done | (left < h)
+        done = left < h
+    if ids is None:
+        ids = rank.copy()
+    lone = left < keep
+    ids[lone] = -1 - place[lone]
+    return np.argsort(rank * np.int64(n) + place), ids
 
 
 class RunLengthIndex:
