@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, jaccard_join, language_id, substring_dedup, suffix_dedup, token_counts, topk_search
+from . import best_fit_packing, decontaminate, jaccard_join, language_id, substring_dedup, suffix_dedup, token_counts, topk_search
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_topk_search": topk_search.op10_topk_search,
     }
