@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, decontaminate, jaccard_join, language_id, substring_dedup, suffix_dedup, token_counts, topk_search
+from . import best_fit_packing, decontaminate, jaccard_join, language_id, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_language_id": language_id.op2_language_id,
+        "op3_warc_revisit": warc_revisit.op3_warc_revisit,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_revisit": warc_revisit.OP3_SQL,
         "op10_topk_search": topk_search.OP10_SQL,
     }
