@@ -67,7 +67,7 @@ class Scan:
     # round 2
     def know_anchors(self, answers: list[bytes]) -> None:
         repeated = bits(answers)
-        self.occ_doc, self.occ_at = [], []
+        self.occ_doc, self.occ_at, self.occ_pos = [], [], []
         g, c = [], []
         for i, d in enumerate(self.docs):
             if not len(d.g):
@@ -81,11 +81,12 @@ class Scan:
             c.append(mix(span_hash(d.s, lo, hi) ^ mix((p - lo).astype(U) * U(1 << 20) + (hi - p).astype(U)) ^ _SALT2) >> U(24))
             self.occ_doc.append(np.full(len(at), i))
             self.occ_at.append(at)
+            self.occ_pos.append(p)
         if not g:
             self.keyed = Keys(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
-            self.occ_doc = self.occ_at = np.zeros(0, np.int64)
+            self.occ_doc = self.occ_at = self.occ_pos = np.zeros(0, np.int64)
             return
-        self.occ_doc, self.occ_at = np.concatenate(self.occ_doc), np.concatenate(self.occ_at)
+        self.occ_doc, self.occ_at, self.occ_pos = np.concatenate(self.occ_doc), np.concatenate(self.occ_at), np.concatenate(self.occ_pos)
         self.keyed = Keys(np.concatenate(g), np.concatenate(c), self.ids[self.occ_doc])
 
     def contexts(self, buckets: int):
@@ -109,7 +110,7 @@ class Scan:
             if useful[lo:hi].any():
                 d = self.docs[int(self.occ_doc[lo])]
                 hs = d.h | U(3)
-                p = d.pos[self.occ_at[lo:hi]]
+                p = self.occ_pos[lo:hi]
                 hs[p] = d.h[p] | self.occ_state[lo:hi].astype(U)
                 yield int(self.occ_doc[lo]), (window_min(hs, self.w) & U(3)).astype(np.uint8)
             lo = hi

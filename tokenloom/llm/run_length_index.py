@@ -73,6 +73,7 @@ class RunLengthIndex:
         change = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
         self.run_start = change
         self.run_end = np.append(change[1:], len(bwt)) - 1
+        self.run_of = np.repeat(np.arange(len(change), dtype=np.int32), np.diff(np.append(change, len(bwt))))
         self.head = bwt[change].astype(np.int64)
         self.first_at, self.last_at = order[self.run_start], order[self.run_end]
         length = self.run_end - self.run_start + 1
@@ -85,9 +86,10 @@ class RunLengthIndex:
         self.bytes[: len(symbols)] = np.where(symbols > 0, symbols - 1, 0)
         self.left, self.starts = left, starts
         sorted_ids = ids[order]
-        self.group_start = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+        first = np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1]))
+        self.group_of = np.cumsum(first, dtype=np.int32) - 1
         owner = np.repeat(owners, np.diff(np.append(starts, len(symbols))))
-        self.group_least = np.minimum.reduceat(owner[order], self.group_start)
+        self.group_least = np.minimum.reduceat(owner[order], np.flatnonzero(first))
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Equal bytes from positions a and b on, most of them at most."""
@@ -115,8 +117,8 @@ class RunLengthIndex:
         while len(live):
             p = start[live] + size[live] - 1 - step
             c = self.bytes[p].astype(np.int64) + 1
-            run = np.searchsorted(self.run_start, j[live], "right") - 1
             at = j[live]
+            run = self.run_of[at].astype(np.int64)
             off = self.head[run] != c
             if off.any():
                 m = np.flatnonzero(off)
@@ -142,7 +144,7 @@ class RunLengthIndex:
 
     def least_owner(self, rank: np.ndarray) -> np.ndarray:
         """The least owner of the window that the suffix of a rank begins with."""
-        return self.group_least[np.searchsorted(self.group_start, rank, "right") - 1]
+        return self.group_least[self.group_of[rank]]
 
 
 def smaller_owner_windows(texts: list[bytes], owners: np.ndarray, window: int, together: int = 1 << 16) -> np.ndarray:

@@ -36,8 +36,8 @@ def _edge_occurrences(scan: R.Scan):
     entry = np.flatnonzero(scan.entry_state == R.EDGE)
     occ = scan.keyed.first[entry]
     doc = scan.occ_doc[occ]
-    p = np.array([scan.docs[d].pos[a] for d, a in zip(doc.tolist(), scan.occ_at[occ].tolist(), strict=True)], np.int64)
-    n = np.array([scan.docs[d].n for d in doc.tolist()], np.int64)
+    p = scan.occ_pos[occ]
+    n = np.array([d.n for d in scan.docs], np.int64)[doc]
     return entry, doc, np.maximum(p - (scan.window - scan.k), 0), np.minimum(p + scan.window, n)
 
 
@@ -118,11 +118,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             known = [np.frombuffer(x, "<u4") for x in got.get("edges", [])]
             marks[entry] = np.concatenate(known) if known else 0
             occ = np.flatnonzero((scan.occ_state == R.EDGE) & (marks[scan.keyed.entry] > 0))
-            for o in occ.tolist():
-                d = int(scan.occ_doc[o])
-                m = int(marks[scan.keyed.entry[o]])
-                lo = max(0, int(scan.docs[d].pos[scan.occ_at[o]]) - (scan.window - scan.k))
-                starts.setdefault(d, []).append(lo + np.flatnonzero(np.frombuffer(m.to_bytes(4, "little"), np.uint8)[:, None] >> np.arange(8) & 1))
+            o, bit = np.nonzero(marks[scan.keyed.entry[occ]][:, None] >> np.arange(32, dtype=np.uint32) & 1)
+            place = np.maximum(0, scan.occ_pos[occ] - (scan.window - scan.k))[o] + bit
+            of = scan.occ_doc[occ][o]
+            cut = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)])) if len(of) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                starts.setdefault(int(of[lo]), []).append(place[lo:hi])
             n_bytes, n_removed, spans, kept = [], [], [], []
             for at, text in enumerate(data):
                 gone = np.concatenate(starts[at]) if at in starts else ()
