@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, decontaminate, jaccard_join, language_id, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
+from . import best_fit_packing, decontaminate, jaccard_join, language_id, quality_model, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+        "op7_quality_model": quality_model.op7_quality_model,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_topk_search": topk_search.op10_topk_search,
