@@ -197,34 +197,64 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     each give their rows and repeated documents too; empty tables give an empty result.
     Other columns are not carried.
     """
-    spark = docs.sparkSession
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
+    schema = with_fields(rows.select(id_col).schema, ("item", "long"), ("start", "long"), ("end", "long"), ("edits", "int"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _item_scans(items, item_id, item_text):
+        out = out.unionByName(rows.mapInArrow(_finder(shared, id_col), schema))
+    return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item; see ``leaks``."""
+    at = docs.columns.index(text_col)
+
+    def dropper(shared):
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(shared.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in _found(items, batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
+
+        return drop
+
+    for shared in _item_scans(items, item_id, item_text):
+        docs = docs.mapInArrow(dropper(shared), docs.schema)
+    return docs
+
+
+def _item_scans(items: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcasts of the items, of bounded size each."""
+    spark = items.sparkSession
     asked = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).filter("id is not null and length(trim(t)) > 0")
     total = asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     scans = max(1, -(-2 * total // ITEM_BYTES))  # by hash, so twice as many as an even split needs
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
-    schema = with_fields(rows.select(id_col).schema, ("item", "long"), ("start", "long"), ("end", "long"), ("edits", "int"))
-    out = spark.createDataFrame([], schema)
     for scan in range(scans):
         part = asked.filter(F.pmod(F.xxhash64("id", "t"), F.lit(scans)) == scan).collect()  # about ITEM_BYTES / 2
-        shared = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in part])
-        out = out.unionByName(rows.mapInArrow(_finder(shared, id_col), schema)) if part else out
-    return out
+        if part:
+            yield spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in part])
+
+
+def _found(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) in a column of texts."""
+    found: list[tuple[int, int, int, int, int]] = []
+    held: list[bytes] = []
+    first = size = 0
+    for i, text in enumerate([*texts(column), None]):
+        if held and (i == len(column) or size + len(text or b"") > PIECE):
+            found += [(first + d, k, x, y, e) for d, k, x, y, e in leaks_in(items, held)]
+            held, first, size = [], i, 0
+        held.append(normal(text or b""))
+        size += len(text or b"")
+    return found
 
 
 def _finder(shared, id_col: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value)
         for batch in batches:
-            found: list[tuple] = []
-            held: list[bytes] = []
-            first = 0
-            for i, text in enumerate([*texts(batch.column(1)), None]):
-                last = i == batch.num_rows
-                if held and (last or sum(map(len, held)) + len(text or b"") > PIECE):
-                    found += [(first + d, k, x, y, e) for d, k, x, y, e in leaks_in(items, held)]
-                    held, first = [], i
-                held.append(normal(text or b""))
-            if found:
+            if found := _found(items, batch.column(1)):
                 row, k, x, y, e = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row, pa.int32())), pa.array([items.ids[j] for j in k], pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(e, pa.int32())],

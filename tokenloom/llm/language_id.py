@@ -188,14 +188,15 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)  # SLOTS masks, whatever the input
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
-    rows = docs.select(*carried, F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*carried) if text_col in carried else docs.select(*carried, F.col(text_col).cast("string").alias("_text"))
+    at = rows.columns.index(text_col if text_col in carried else "_text")
     schema = with_fields(rows.select(*carried).schema, ("lang_pred", "string"), ("score", "double"))
 
     def predict(batches):
         model = shared.value
         for batch in batches:
-            names, scores = model.predict(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], names=[*carried, "lang_pred", "score"])
+            names, scores = model.predict(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(names, pa.string()), pa.array(scores)], names=[*carried, "lang_pred", "score"])
 
     return rows.mapInArrow(predict, schema)
 
