@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import buffers, with_fields
 from .units import U, mix
 
-#: Bound of the sample that filters are fitted on: rows for each language, by a hash of their ids.
+#: Bound of the sample that filters are fitted on: about so many rows of each language, by a hash of their ids.
 SAMPLE_ROWS = 1500
 #: Languages that one mask holds.
 MAX_LANGUAGES = 64
@@ -133,19 +133,18 @@ class Filters:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> Filters:
-    """Filters from at most sample_rows documents of each language, the least by a hash of their ids.
+    """Filters from about sample_rows documents of each language, or all if there are fewer.
 
     What reaches the driver is bounded by the number of slots, whatever the input."""
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    languages = [r[0] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
+    seen = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    languages = [r[0] for r in seen]
     if not languages:
         return Filters([], np.zeros(SLOTS, np.uint64))
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("lang").orderBy("order", "id")
-    keys = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("order")).filter(F.col("lang").isin(languages))
-    chosen = keys.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= sample_rows).select("id", "lang").distinct()
-    sample = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, ["id", "lang"], "left_semi")
+    # a share of each language by a hash of the ids, so that no language has to meet in one place
+    share = F.create_map(*[F.lit(x) for lang, n in seen for x in (lang, int(min(1.0, sample_rows / n) * (1 << 30)))])
+    sample = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    sample = sample.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang"))).select("lang", "text")
     bit = {x: i for i, x in enumerate(languages)}
 
     def collect(batches):
@@ -159,7 +158,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows:
                 _, first, n = np.unique(h ^ mix(lang.astype(U) + U(7)), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lang[first].astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(collect, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(collect, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     sizes = sample.groupBy("lang").count().collect()
     least = {bit[r[0]]: max(2, int(np.ceil(MIN_SHARE * r[1]))) if r[1] > 20 else 1 for r in sizes}
     enough = F.element_at(F.create_map(*[F.lit(x) for p in least.items() for x in p]), F.col("lang"))
