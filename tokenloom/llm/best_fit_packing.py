@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import texts, with_fields, written
+from .shared import small_batches, texts, with_fields, written
 from .token_counts import byte_alphabet
 
 CAPACITY = 1024
@@ -90,7 +90,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece, with its task and its rank among the task's pieces of its length."""
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
+    rows = small_batches(docs).select(id_col, F.col(text_col).cast("string").alias("_text"))
     end = np.array([end_id], "<u4").tobytes()
     schema = with_fields(rows.select(id_col).schema, ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("task", "int"), ("rank", "long"))
 

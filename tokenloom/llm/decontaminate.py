@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts, with_fields
+from .shared import small_batches, texts, with_fields
 from .units import SPACE, U, mix
 
 #: Edits that a copy may have, in hundredths of the item's bytes.
@@ -197,7 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     each give their rows and repeated documents too; empty tables give an empty result.
     Other columns are not carried.
     """
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
+    rows = small_batches(docs).select(id_col, F.col(text_col).cast("string").alias("_text"))
     schema = with_fields(rows.select(id_col).schema, ("item", "long"), ("start", "long"), ("end", "long"), ("edits", "int"))
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in _item_scans(items, item_id, item_text):
@@ -207,7 +207,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item; see ``leaks``."""
-    at = docs.columns.index(text_col)
+    at = small_batches(docs).columns.index(text_col)
 
     def dropper(shared):
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, with_fields
+from .shared import buffers, small_batches, with_fields
 from .units import U, mix
 
 #: Bound of the sample that filters are fitted on: about so many rows of each language, by a hash of their ids.
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows:
     """Filters from about sample_rows documents of each language, or all if there are fewer.
 
     What reaches the driver is bounded by the number of slots, whatever the input."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    usable = small_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     seen = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
     languages = [r[0] for r in seen]
     if not languages:
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     documents to learn from wins.  Rows stay as they are, repeated or with a null id; columns that are not
     named are not carried; a column of ``keep`` with a result's name is replaced.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast(filters)  # SLOTS masks, whatever the input
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
     rows = docs.select(*carried) if text_col in carried else docs.select(*carried, F.col(text_col).cast("string").alias("_text"))

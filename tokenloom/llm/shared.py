@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Rows and bytes of an Arrow batch of texts: what a worker and its JVM hold of them at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches kept small in its session from now on (if the setting is Spark's own)."""
+    conf = df.sparkSession.conf
+    for name, default, value in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", ("67108864b", "64MB", "67108864"), BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}") in default:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+    return df
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, deleted when the session's JVM ends."""
     spark = df.sparkSession
@@ -112,6 +123,7 @@ def blocks(rows: DataFrame, text: str, name: str) -> DataFrame:
         if held:
             yield flush()
 
+    small_batches(rows)
     return written(rows.mapInArrow(pack, "block_id long, n_bytes long, body binary"), name, "uncompressed")
 
 
