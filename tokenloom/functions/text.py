@@ -101,9 +101,19 @@ def step_answer(steps: Column, final: Column) -> Column:
     return F.concat(F.array_join(steps, "\n"), F.lit("\n#### "), final)
 
 
-def conversion_prompt(question: Column, code: Column, examples: str = "", lead: str = "") -> Column:
-    """A prompt that asks for a program as steps: examples and a lead, then the question and the program."""
-    return F.concat(F.lit(examples + lead), F.lit("Question: "), question, F.lit("\n\nCode:\n"), code)
+#: What stands between examples and the question in the kinds of conversion prompts.
+LEADS = {"single": "", "batch": "Now convert:\n", "smoke": "Now convert this:\n"}
+TEMPLATE = "Question: {question}\n\nCode:\n{code}"
+
+
+def conversion_prompt(question: Column, code: Column, kind: str = "single", examples: str = "", template: str = TEMPLATE) -> Column:
+    """A prompt that asks for a program as steps: examples (not for a single prompt), a lead, the filled template.
+
+    The template names {question} and {code} once each, in this order."""
+    before, _, rest = template.partition("{question}")
+    between, _, after = rest.partition("{code}")
+    shown = "" if kind == "single" else examples
+    return F.concat(F.lit(shown + LEADS[kind] + before), question, F.lit(between), code, F.lit(after))
 
 
 #: Schema of a converted program.

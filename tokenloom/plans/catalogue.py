@@ -190,14 +190,13 @@ def shaped_reward(spark, d):
 
 
 @query(
-    "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text || ' ' || text || ' ' || text, '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE length(text) < 600),"
+    "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text || ' ' || text || ' ' || text, '\\s+'), lambda x: x <> '') AS w FROM conversations),"
     " g AS (SELECT conv_id, turn, w, unnest(range(0, greatest(len(w) - 6, 0))) AS i FROM w),"
     " h AS (SELECT conv_id, turn, bool_or((length(array_to_string(w[i + 4:], ' ')) - length(replace(array_to_string(w[i + 4:], ' '), array_to_string(w[i + 1:i + 3], ' '), ''))) >= 2 * length(array_to_string(w[i + 1:i + 3], ' '))) AS hit FROM g GROUP BY ALL)"
     " SELECT w.conv_id, w.turn, len(w) >= 10 AND coalesce(hit, false) AS repeats FROM w LEFT JOIN h USING (conv_id, turn)"
 )
 def repetition(spark, d):
-    said = table(spark, d, "conversations").filter(F.length("text") < 600)
-    return said.select("conv_id", "turn", answers.repeats(F.concat_ws(" ", "text", "text", "text")).alias("repeats"))
+    return table(spark, d, "conversations").select("conv_id", "turn", answers.repeats(F.concat_ws(" ", "text", "text", "text")).alias("repeats"))
 
 
 @query(
@@ -259,15 +258,22 @@ def prompts(spark, d):
     )
 
 
+@query("SELECT count(*) FILTER (p_size % 4 > 0 AND p_partkey % 5 > 0) AS kept, count(*) FILTER (p_size % 4 = 0 OR p_partkey % 5 = 0) AS errors FROM part")
+def nonempty_samples(spark, d):
+    p = table(spark, d, "part").select(F.when(F.col("p_size") % 4 > 0, F.col("p_name")).otherwise("").alias("q"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_type")).otherwise("").alias("c"))
+    good, bad = sampling.partitioned(p, (F.col("q") != "") & (F.col("c") != ""))
+    return good.agg(F.count("*").alias("kept")).crossJoin(bad.agg(F.count("*").alias("errors")))
+
+
 @query(f"SELECT 'How many ' || p_name || '?' AS question, 'n = ' || p_size || chr(10) || 'return n' AS code, {PROGRAM_SQL} AS full_code, p_size::VARCHAR AS answer FROM part")
 def code_sample(spark, d):
     return text.code_sample(table(spark, d, "part").select(F.expr(PROGRAM).alias("code"), F.col("p_size").cast("string").alias("answer")))
 
 
-@query("SELECT p_partkey, 'Question: ' || p_name || chr(10) || chr(10) || 'Code:' || chr(10) || p_type AS prompt, p_name || chr(10) || p_type || chr(10) || '#### ' || p_size AS answer FROM part")
+@query("SELECT p_partkey, 'Question: ' || p_name || chr(10) || chr(10) || 'Code:' || chr(10) || p_type AS prompt, 'E' || chr(10) || 'Now convert:' || chr(10) || p_name || ': ' || p_type || '.' AS batch, p_name || chr(10) || p_type || chr(10) || '#### ' || p_size AS answer FROM part")
 def conversion_text(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", text.conversion_prompt(F.col("p_name"), F.col("p_type")).alias("prompt"), text.step_answer(F.array("p_name", "p_type"), F.col("p_size").cast("string")).alias("answer"))
+    return p.select("p_partkey", text.conversion_prompt(F.col("p_name"), F.col("p_type")).alias("prompt"), text.conversion_prompt(F.col("p_name"), F.col("p_type"), "batch", "E\n", "{question}: {code}.").alias("batch"), text.step_answer(F.array("p_name", "p_type"), F.col("p_size").cast("string")).alias("answer"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS steps, CASE WHEN p_size % 3 = 1 THEN '' ELSE p_size::VARCHAR END AS final, p_size % 5 > 0 AS repaired FROM part")
@@ -352,12 +358,12 @@ def next_tokens(spark, d):
 
 # ---- arrays ----
 
-SQL_TURN = "t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT)[:40] AS ids FROM conversations)"
+SQL_TURN = "t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT) AS ids FROM conversations)"
 SQL_PADDED = "list_resize(ids[:24], 24, 50256)"
 
 
 def turn_ids(spark, d) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.slice(tokenize.byte_ids(F.col("text")), 1, 40).alias("ids"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tokenize.byte_ids(F.col("text")).alias("ids"))
 
 
 def joined(c) -> F.Column:
@@ -624,6 +630,17 @@ def example_report(spark, d):
     return evaluate.example_report(table(spark, d, "documents").select("doc_id", F.col("text").alias("response")), "doc_id")
 
 
+@query("SELECT to_json({'correct': count(*) FILTER (quality = 1), 'total': count(*)})::VARCHAR AS json FROM labels")
+def metadata_json(spark, d):
+    return files.json_of(table(spark, d, "labels").agg(F.count_if(F.col("quality") == 1).alias("correct"), F.count("*").alias("total")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) INTERSECT SELECT event_id FROM events")
+def common_ids(spark, d):
+    labelled = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select("doc_id")
+    return labelled.intersect(table(spark, d, "events").select("event_id"))
+
+
 @query()
 def json_report(spark, d):
     metrics = evaluate.response_metrics(responses(spark, d).select(F.lit(True).alias("is_correct"), F.lit(1).alias("num_tokens"), F.lit(0).alias("mul_tokens")))
@@ -699,6 +716,19 @@ def event_windows(spark, d):
     return streams.event_windows(table(spark, d, "events")).select("event_type", "start", "n")
 
 
+@query("SELECT doc_id, md5('<MUL_6_9_54> ' || text) AS text FROM documents")
+def stream_injected(spark, d):
+    """What a stream of the documents' files writes, with a made expression in front of each whole text."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("doc_id", F.concat(F.lit("6*9=54 "), "text").alias("text")).write.parquet(f"{at}/in")
+    streams.start_files(streams.injected(files.document_stream(spark, f"{at}/in")), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema("doc_id long, text string").parquet(f"{at}/out").withColumn("text", F.md5("text"))
+
+
 @query()
 def event_sessions(spark, d):
     return streams.event_sessions(table(spark, d, "events"))
