@@ -214,16 +214,17 @@ def answer_windows(bodies: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() + np.uint32(len(x)).tobytes() for x in _split(out, sizes)]
 
 
-def covered_units(n: int, window: int, starts: np.ndarray) -> np.ndarray:
-    """Units within a window that begins at one of starts."""
-    c = np.zeros(n + 1, np.int64)
-    c[starts + 1] = 1
-    np.cumsum(c, out=c)
-    t = np.arange(n)
-    return c[t + 1] > c[np.maximum(t - window + 1, 0)]
-
-
-def runs(mask: np.ndarray) -> np.ndarray:
-    """The maximal runs of true values, as rows of start and end."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    return edge.reshape(-1, 2)
+def covered_spans(starts: np.ndarray, window: int) -> np.ndarray:
+    """The maximal runs of units within windows that begin at starts, as rows of start and end."""
+    s = np.unique(starts)
+    if not len(s):
+        return np.zeros((0, 2), np.int64)
+    last = np.append(np.flatnonzero(s[1:] > s[:-1] + window), len(s) - 1)
+    first = np.concatenate(([0], last[:-1] + 1))
+    return np.stack((s[first], s[last] + window), axis=1)
+
+
+def between(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """What spans leave of n units."""
+    ends = [0, *spans[:, 1].tolist()]
+    return [(a, b) for a, b in zip(ends, [*spans[:, 0].tolist(), n], strict=True) if a < b]

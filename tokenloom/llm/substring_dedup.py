@@ -125,10 +125,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n_words, n_removed, spans, kept = [], [], [], []
             for at, (data, s, e) in enumerate(words):
                 gone = np.concatenate(starts[at]) if at in starts else ()
-                removed = R.covered_units(len(s), min_words, gone) if len(gone) else np.zeros(len(s), bool)
+                cut = R.covered_spans(gone, min_words) if len(gone) else np.zeros((0, 2), np.int64)
+                removed = np.zeros(len(s), bool)
+                for x, y in cut.tolist():
+                    removed[x:y] = True
                 n_words.append(len(s))
                 n_removed.append(int(removed.sum()))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in R.runs(removed)])
+                spans.append([{"start": x, "end": y} for x, y in cut.tolist()])
                 kept.append(kept_words(data, s, e, removed))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in carried]

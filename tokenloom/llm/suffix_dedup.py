@@ -128,15 +128,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for at, text in enumerate(data):
                 gone = np.concatenate(starts[at]) if at in starts else ()
                 n_bytes.append(len(text))
-                if not len(gone):
-                    n_removed.append(0)
-                    spans.append([])
-                    kept.append(text)
-                    continue
-                removed = R.covered_units(len(text), min_bytes, gone)
-                n_removed.append(int(removed.sum()))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in R.runs(removed)])
-                kept.append(np.frombuffer(text, np.uint8)[~removed].tobytes())
+                cut = R.covered_spans(gone, min_bytes) if len(gone) else None
+                n_removed.append(0 if cut is None else int((cut[:, 1] - cut[:, 0]).sum()))
+                spans.append([] if cut is None else [{"start": x, "end": y} for x, y in cut.tolist()])
+                kept.append(text if cut is None else b"".join([text[x:y] for x, y in R.between(cut, len(text))]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in carried]
                 + [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],

@@ -28,6 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def stir(x: np.ndarray) -> np.ndarray:
+    """A cheaper mixing, one to one, in place: enough to choose least hashes by."""
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(32)
+    x *= U(0x94D049BB133111EB)
+    return x
+
+
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(_BASE))
 _powers = (np.ones(1, U), np.ones(1, U))
 
@@ -63,11 +71,11 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def all_windows(s: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hashes of every window of k units."""
+    """Stirred hashes of every window of k units."""
     n = len(s) - k
     if n <= 0:
         return np.zeros(0, U)
-    return mix((s[k:] - s[:n]) * powers(len(s))[1][:n])
+    return stir((s[k:] - s[:n]) * powers(len(s))[1][:n])
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +111,6 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     With fewer than w hashes there is no whole window and so no position."""
     if len(h) < w:
         return np.zeros(0, np.int64)
-    m = window_min(h, w)
-    pad = np.zeros(w - 1, U)
-    return np.flatnonzero(_slide(np.concatenate((pad, m, pad)), w, np.maximum) == h)
+    m = np.zeros(len(h) + w - 1, U)
+    m[w - 1 : len(h)] = window_min(h, w)
+    return np.flatnonzero(_slide(m, w, np.maximum) == h)
