@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, texts, with_fields, written
+from .shared import small_batches, texts, tidy, with_fields, written
 from .token_counts import byte_alphabet
 
 CAPACITY = 1024
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
 
         task, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
         ranks = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in tidy(batches):
             out: list[tuple] = []
             row: list[int] = []
             for i, text in enumerate(texts(batch.column(1))):

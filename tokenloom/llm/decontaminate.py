@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, texts, with_fields
+from .shared import small_batches, texts, tidy, with_fields
 from .units import SPACE, U, mix
 
 #: Edits that a copy may have, in hundredths of the item's bytes.
@@ -212,7 +212,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     def dropper(shared):
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value)
-            for batch in batches:
+            for batch in tidy(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in _found(items, batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
@@ -253,7 +253,7 @@ def _found(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, int
 def _finder(shared, id_col: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             if found := _found(items, batch.column(1)):
                 row, k, x, y, e = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(

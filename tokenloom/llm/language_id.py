@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, small_batches, with_fields
+from .shared import buffers, small_batches, tidy, with_fields
 from .units import U, mix
 
 #: Bound of the sample that filters are fitted on: about so many rows of each language, by a hash of their ids.
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
     def predict(batches):
         model = shared.value
-        for batch in batches:
+        for batch in tidy(batches):
             names, scores = model.predict(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(names, pa.string()), pa.array(scores)], names=[*carried, "lang_pred", "score"])
 

@@ -9,6 +9,7 @@ own tasks.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; at their end a worker, which Spark keeps for later tasks, gives free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, deleted when the session's JVM ends."""
     spark = df.sparkSession
@@ -113,7 +124,7 @@ def blocks(rows: DataFrame, text: str, name: str) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in tidy(batches):
             for part in sized(batch, text, BLOCK_BYTES):
                 data = part.nbytes
                 if held and size + data > BLOCK_BYTES:
@@ -166,7 +177,7 @@ def with_answers(blocks_df: DataFrame, *answers: DataFrame) -> DataFrame:
 
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, dict[str, list[bytes]]]]:
     """(block_id, rows, answers by level in the order of buckets) of every block."""
-    for batch in batches:
+    for batch in tidy(batches):
         for i in range(batch.num_rows):
             got: dict[str, list[tuple[int, bytes]]] = {}
             for x in batch.column(2)[i].as_py() or ():
