@@ -108,6 +108,14 @@ def test_built_corpus_keeps_tokens(spark):
     assert [(r.x, r.y) for r in rows] == [([0, 1, 2, 3], [1, 2, 3, 4]), ([4, 5, 6, 7], [5, 6, 7, 8])]
 
 
+def test_written_pieces(spark, tmp_path):
+    docs = spark.createDataFrame([(i, i + 1) for i in range(20)], "doc_id long, n long")
+    pieces = pack.with_split(pack.pack(docs, 25, 1000))
+    files.write_pieces(pieces, str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.count() == pieces.count() and back.select("shard").distinct().count() == 9
+
+
 def test_sampling(spark):
     rows = spark.range(100).withColumnRenamed("id", "k")
     a, b = ({r.k for r in sampling.sample(rows, "k", 10, s).collect()} for s in (1, 1))

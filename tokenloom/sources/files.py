@@ -166,6 +166,13 @@ def write_shards(shards: DataFrame, path: str) -> None:
     checked_uint16(shards, "tokens").write.partitionBy("split").mode("overwrite").parquet(path)
 
 
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """Pieces of documents (split, shard, shard_offset, ids, ...) as Parquet by split and shard, in order of their
+    offsets; no shard has to fit in a row, as ``shards`` needs."""
+    placed = pieces.repartition("split", "shard").sortWithinPartitions("split", "shard", "shard_offset")
+    placed.write.partitionBy("split", "shard").mode("overwrite").parquet(path)
+
+
 def json_of(one_row: DataFrame, *columns: Column | str) -> DataFrame:
     """A row's columns as one JSON text, ``json``."""
     return one_row.select(F.to_json(F.struct(*(columns or one_row.columns))).alias("json"))
