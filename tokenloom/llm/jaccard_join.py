@@ -33,7 +33,9 @@ SIMILAR = 90
 #: Parts that may be empty: so many more than the differences are made.
 SPARE = 2
 #: Shingles of a cluster that one task joins; larger clusters are joined in cells of two chunks.
-CELL = 8_000_000
+CELL = 2_000_000
+#: Parts that the copies of one set are dealt to when they fetch their result.
+SALTS = 16
 #: Sets of a cluster whose overlaps with all others are kept to derive further ones from.
 PIVOTS = 64
 _PART, _KEY = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
@@ -309,7 +311,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     counted = linked.groupBy(F.col("a").alias("_class")).agg(F.sum("n").alias("n"))
     about = copies.join(found.withColumnRenamed("node", "_class"), "_class", "left").join(counted, "_class", "left")
     links = F.coalesce(F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_links")
-    return described.join(about, "_class", "left").select(*carried, "n_shingles", F.coalesce("component", "_class").alias("component_id"), links)
+    # a set may have very many copies: these are dealt to SALTS parts, each with the result once
+    about = about.withColumn("_salt", F.explode(F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(F.col("_class") == F.col(id_col), 0).otherwise(1 + F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    found = described.withColumn("_salt", salt).join(about, ["_class", "_salt"], "left")
+    return found.select(*carried, "n_shingles", F.coalesce("component", "_class").alias("component_id"), links)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
