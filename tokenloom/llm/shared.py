@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES, BUCKET_MOST = 8 << 20, 64 << 20
 #: Rows and bytes of an Arrow batch of texts: what a worker and its JVM hold of them at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -138,9 +138,11 @@ def blocks(rows: DataFrame, text: str, name: str) -> DataFrame:
     return written(rows.mapInArrow(pack, "block_id long, n_bytes long, body binary"), name, "uncompressed")
 
 
-def bucket_count(blocks_df: DataFrame) -> int:
+def bucket_count(blocks_df: DataFrame, most: int = BUCKET_MOST) -> int:
+    """Buckets for questions about all of the text: BUCKET_BYTES of text each, up to most in large tables,
+    where a block would else have a row of its questions for too few keys."""
     total = blocks_df.agg(F.sum("n_bytes")).first()[0] or 0
-    return int(max(64, total // BUCKET_BYTES))
+    return int(max(64, total // max(BUCKET_BYTES, min(total >> 12, most))))
 
 
 def ask(joined: DataFrame, emit: Callable, answer: Callable, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .run_length_index import smaller_owner_windows
-from .shared import ask, blocks, bucket_count, each_block, texts, with_answers, with_fields
+from .shared import BUCKET_BYTES, ask, blocks, bucket_count, each_block, texts, with_answers, with_fields
 from .units import byte_units
 
 MIN_BYTES = 50
@@ -81,7 +81,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = list(dict.fromkeys([id_col, text_col, *keep]))
     rows = docs.select(*columns)
     table = blocks(rows, text_col, "suffix")
-    n = bucket_count(table)
+    n, fine = bucket_count(table), bucket_count(table, BUCKET_BYTES)
 
     def anchors(batch, _):
         return _scan(batch, id_col, text_col, min_bytes)[1].anchors(n)
@@ -95,7 +95,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         data, scan = _scan(batch, id_col, text_col, min_bytes)
         scan.know_anchors(got.get("anchors", []))
         scan.know_contexts(got.get("contexts", []))
-        return _emit(data, scan, n)
+        return _emit(data, scan, fine)
 
     one = ask(with_answers(table), anchors, R.answer_anchors, "anchors")
     two = ask(with_answers(table, one), contexts, R.answer_contexts, "contexts")
