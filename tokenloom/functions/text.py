@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .answers import stripped
+from .answers import let, stripped
 from .inject import inject as inject_facts
 
 EOS = "<|endoftext|>"
@@ -43,15 +43,16 @@ def render_messages(messages: Column, inject: bool = False) -> Column:
         F.transform(messages, lambda m: F.struct(F.lower(F.coalesce(m["role"], F.lit(""))).alias("role"), stripped(F.coalesce(m["content"], F.lit(""))).alias("content"))),
         lambda m: m["content"] != "",
     )
-    system = F.reverse(F.transform(F.filter(clean, lambda m: m["role"] == "system"), lambda m: F.concat(F.lit("System: "), m["content"])))
 
     def line(m: Column) -> Column:
         said = inject_facts(m["content"]) if inject else m["content"]
         return F.when(m["role"] == "user", F.concat(F.lit("User: "), m["content"])).otherwise(F.concat(F.lit("Assistant: "), said))
 
-    spoken = F.transform(F.filter(clean, lambda m: m["role"].isin("user", "assistant")), line)
-    text = F.array_join(F.concat(system, spoken), "\n")
-    return F.when(text != "", F.concat(text, F.lit(EOS))).otherwise(text)
+    def joined(said: Column) -> Column:
+        system = F.reverse(F.transform(F.filter(said, lambda m: m["role"] == "system"), lambda m: F.concat(F.lit("System: "), m["content"])))
+        return F.array_join(F.concat(system, F.transform(F.filter(said, lambda m: m["role"].isin("user", "assistant")), line)), "\n")
+
+    return let(let(clean, joined), lambda text: F.when(text != "", F.concat(text, F.lit(EOS))).otherwise(text))
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from ..functions import facts
 from .tokenize import encode
 
-BUCKETS = 64
+#: Least and greatest number of ranges of an order column; in between, four for each shuffle partition.
+LEAST_RANGES, MOST_RANGES = 64, 4096
 
 
-def prefix_sum(rows: DataFrame, order: str, value: str, out: str = "start", buckets: int = BUCKETS) -> DataFrame:
+def _range_of(order: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are under order: first among every k-th, then among the k from there."""
+    k = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + k] for i in range(0, len(cuts), k)]
+    under = lambda array: F.size(F.filter(array, lambda c: c < order))
+    array = lambda values: F.array(*[F.lit(v) for v in values])
+    coarse = F.greatest(under(array([g[0] for g in groups])) - 1, F.lit(0))
+    return coarse * k + under(F.element_at(F.array(*[array(g) for g in groups]), coarse + 1))
+
+
+def prefix_sum(rows: DataFrame, order: str, value: str, out: str = "start", buckets: int | None = None) -> DataFrame:
     """The sum of value over all rows before, by a numeric order column without ties.
 
     A window over everything is one task.  Instead rows fall into ranges of the order
     column, cut at approximate quantiles: sums of ranges are a few rows, their prefix
     sums join back, and windows run within ranges only."""
-    cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    n = buckets or min(MOST_RANGES, max(LEAST_RANGES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * MOST_RANGES)).first()[0] or []
     cuts = sorted(set(cuts))
-    which = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    placed = rows.withColumn("_range", which)
+    placed = rows.withColumn("_range", _range_of(F.col(order), cuts) if cuts else F.lit(0))
     sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(F.broadcast(base), "_range")  # at most as many rows as ranges
+    joined = placed.join(F.broadcast(base), "_range")  # at most MOST_RANGES rows
     return joined.withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("bigint")).drop("_range", "_base")
 
 
@@ -43,7 +54,7 @@ def with_synthetic(docs: DataFrame, synthetic: DataFrame, shard_size: int, order
     return marked.unionByName(synthetic.filter(F.col(n) < shard_size).withColumn(order, F.lit(-1).cast(docs.schema[order].dataType)).withColumn("is_document", F.lit(False)), allowMissingColumns=True)
 
 
-def pack(docs: DataFrame, shard_size: int, target: int, order: str = "doc_id", n: str = "n", buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, shard_size: int, target: int, order: str = "doc_id", n: str = "n", buckets: int | None = None) -> DataFrame:
     """Pieces of documents in shards: order, shard, piece_start (place in the stream), length, shard_offset, doc_offset.
 
     A document is kept if it starts before the target; the last one is finished, but

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pack import BUCKETS, prefix_sum
+from .pack import prefix_sum
 
 
-def with_index(rows: DataFrame, order: str, out: str = "idx", buckets: int = BUCKETS) -> DataFrame:
+def with_index(rows: DataFrame, order: str, out: str = "idx", buckets: int | None = None) -> DataFrame:
     """Row numbers from 0 by a numeric order column without ties, in parallel."""
     return prefix_sum(rows.withColumn("_one", F.lit(1)), order, "_one", out, buckets).drop("_one")
 

@@ -133,7 +133,8 @@ def verify_counts(vocab: DataFrame) -> DataFrame:
 
 def token_histogram(rows: DataFrame, ids: str = "ids") -> DataFrame:
     """token_id and n; counted in each task before the shuffle."""
-    return rows.select(F.explode(ids).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+    # the outer form, as the other one would work the ids out once more to filter on their number
+    return rows.select(F.explode_outer(ids).alias("token_id")).filter("token_id is not null").groupBy("token_id").agg(F.count("*").alias("n"))
 
 
 def fact_histogram(histogram: DataFrame, spark: SparkSession) -> DataFrame:
