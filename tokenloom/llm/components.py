@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from .shared import written
 
 ROUNDS = 60
+#: Parts that the neighbours of a node are dealt to.
+PARTS = 16
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """For each node the least node among itself and its neighbours."""
-    both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m")))
-    return both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
+    """For each node with larger neighbours, the least among itself and all its neighbours."""
+    up = edges.select(F.col("a").alias("n"), F.col("b").alias("m"), F.lit(False).alias("head"))
+    down = edges.select(F.col("b").alias("n"), F.col("a").alias("m"), F.lit(True).alias("head"))
+    return up.unionByName(down).groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"), F.max("head").alias("head")).filter("head").drop("head")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     In a round, each node's larger neighbours are linked to its least neighbour, then
     its smaller ones and itself.  Least neighbours are aggregated before the shuffle and
-    joined back, so a node with very many neighbours is split like any hot join key.
+    joined back to a node's neighbours in PARTS parts, as a node may have very many.
     Edges from a node to itself and null ends are dropped; no edges give no rows."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     seen = None
@@ -30,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        least = _least(edges)
-        # both ends of an edge: the larger neighbours of n are the a's of edges whose b is n
-        large = edges.join(least, F.col("b") == F.col("n")).select("a", F.col("least").alias("b")).filter("a > b").distinct()
+        spread = _least(edges).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        dealt = edges.select("a", F.col("b").alias("n"), F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int").alias("part"))
+        large = dealt.join(spread, ["n", "part"]).select("a", F.col("least").alias("b")).filter("a > b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = written(large.join(small, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a > b").distinct(), "edges")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
