@@ -316,6 +316,25 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {i: root(i) for i in parent} and len(got) == len(parent)
 
 
+def test_shared_folder(spark, tmp_path):
+    from tokenloom.llm import shared
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, name, default=None):
+            return self.value if name == "spark.checkpoint.dir" else default
+
+    class Session:
+        def __init__(self, value):
+            self.conf = Conf(value)
+
+    assert shared.shared_dir(Session("hdfs://there/x")) == "hdfs://there/x"
+    assert shared.shared_dir(Session(None)) == shared.shared_dir(Session("")) != "hdfs://there/x"
+    assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 # ---- 7: quality ----
 
 

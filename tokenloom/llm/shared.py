@@ -26,13 +26,17 @@ BUCKET_BYTES, BUCKET_MOST = 8 << 20, 64 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
+_fallback: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir; a temporary one of this process only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not _fallback:
+        _fallback.append("file://" + tempfile.mkdtemp(prefix="tokenloom-"))
+    return _fallback[0]
 
 
 def small_batches(df: DataFrame) -> DataFrame:
