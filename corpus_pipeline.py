@@ -14,6 +14,9 @@ from tokenloom.llm.shared import written
 
 #: A document goes if its best language has under this share of its n-grams.
 LEAST_SCORE = 0.3
+#: Documents are near copies if their sets of so many words in a row have this similarity, in hundredths, or more; op6 has its own contract.
+COPY_SHINGLE = 5
+COPY_SIMILAR = 80
 
 #: No SQL expresses the stages on whole tables; the tests hold them against brute force.
 ORACLE_SQL = None
@@ -26,8 +29,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; of repeated ids one row."""
-    groups = jaccard_join.join(docs)
+    """Of every group of documents linked at COPY_SIMILAR the one with the smallest id; of repeated ids one row."""
+    groups = jaccard_join.join(docs, similar=COPY_SIMILAR, shingle=COPY_SHINGLE)
     gone = written(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.filter("doc_id is not null").agg(F.count("doc_id"), F.countDistinct("doc_id")).first()

@@ -51,6 +51,21 @@ def test_stages_on_odd_rows(spark, docs, none, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 5), (True, 0), (True, 0)]
 
 
+def test_near_copies_between_the_thresholds(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    rows = []
+    for k, (n, at, more) in enumerate([(100, (30, 60), 0), (50, (25,), 0), (100, (), 20), (200, (20, 60, 100, 140), 0), (100, (10, 40, 70), 0), (100, (), 30)]):
+        a = words(f"t{k}x", n)
+        b = [f"new{k}x{i}" if i in at else w for i, w in enumerate(a)] + words(f"more{k}x", more)
+        share = len(grams(a, 5) & grams(b, 5)) / len(grams(a, 5) | grams(b, 5))
+        assert share >= 0.8 if k < 4 else share < 0.8
+        rows += [(2 * k, " ".join(a), "en", "s", 1), (2 * k + 1, " ".join(b), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == {0, 2, 4, 6, 8, 9, 10, 11}
+
+
 def test_registry_covers_every_operator():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
