@@ -390,6 +390,25 @@ def test_decontamination(spark, docs, none, odd):
     assert decontaminate.without_leaks(odd, bench.limit(0)).count() == 6
 
 
+def test_no_copy_within_the_limit_is_missed():
+    draw = random.Random(15)
+    say = lambda n: " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 8))) for _ in range(n // 2))[: n - 1] + "e"
+    texts = [decontaminate.normal(say(n).encode()).strip() for n in (32, 33, 39, 40, 47, 81, 84, 100, 127, 129, 233, 394, 1500) for _ in range(3)]
+    items = decontaminate.Items([(k, t) for k, t in enumerate(texts)])
+    docs, want = [], set()
+    for spread in ("even", "drawn", "substituted"):
+        for k, t in enumerate(texts):
+            n, copy = len(t) * decontaminate.EDITS // 100, bytearray(t)
+            places = [(2 * j + 1) * len(t) // (2 * n) for j in range(n)] if spread == "even" else [draw.randrange(len(t)) for _ in range(n)]
+            for p in sorted(places, reverse=True):
+                act = 0 if spread != "drawn" else draw.randrange(3)
+                copy[p : p + (act != 2)] = b"" if act == 1 else b"q"
+            want.add((len(docs), k))
+            docs.append(say(draw.randrange(300)).encode() + b" " + bytes(copy) + b" " + say(draw.randrange(300)).encode())
+    found = {(d, k): e for d, k, _, _, e in decontaminate.leaks_in(items, docs)}
+    assert want <= set(found) and all(e <= items.limit(k) for (_, k), e in found.items())
+
+
 def test_alignment_is_the_edit_distance():
     draw = random.Random(9)
     for _ in range(200):

@@ -1,16 +1,13 @@
-"""Benchmark decontamination by an embedding of edit distance.
-
-The CGK embedding walks along a string: at each step it puts out the current byte
-and moves on or stays by a random bit that depends on step and byte.  Strings at a
-small edit distance get embeddings at a small Hamming distance, as the walks fall
-into step again after an edit.  Bit sampling of embeddings is the hash: a few steps'
-bytes are the key of a window.  Keys of all windows that begin at a word of an item
-and run to its end are indexed; a document's windows begin at each of its words.  A
-window that agrees with none of the items on the first sampled steps is not walked
-further, which changes no key.  Each key of a copy is another trial, and the whole
-is repeated with other bits, which brings recall up to what the tests demand.
-Candidates are then aligned with their item, and only an edit distance within the
-limit counts.
+"""Benchmark decontamination by counts of common grams, which lose no copy within the limit.
+
+An edit touches at most q of a text's grams of q bytes.  So of the m - q + 1 grams of an
+item of m bytes, a stretch that is at most k edits away keeps all but q * k, and it lies
+in m + k bytes.  Texts are divided into bins, and the places at which one of an item's
+grams begins are counted for each bin and item; a run of bins that could hold a copy and has
+enough of them is a candidate.  Of its grams the item must then find enough, too, which
+repeated words don't help.  What passes is aligned with the item, and only an edit
+distance within the limit counts.  Grams are looked up by hash: two that share a slot
+add to the counts and never take from them.
 """
 
 from __future__ import annotations
@@ -23,22 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, texts, tidy, with_fields
-from .units import SPACE, U, mix
+from .units import SPACE, U
 
 #: Edits that a copy may have, in hundredths of the item's bytes.
 EDITS = 15
-REPEATS = 2
-STEPS = 56
-SAMPLED = 18
-#: Steps that are not sampled, as words begin alike; and the sampled ones, from there to half way, after which windows without a partner stop.
-SKIPPED = 8
-EARLY = 8
+#: Bytes of a gram when places are counted, and when the item's grams are sought: both leave items of any length some.
+GRAM, FINE = 5, 4
+SLOTS = 1 << 20
+#: Bytes of a bin, and items that are counted together.
+BIN = 64
+TOGETHER = 256
+#: Bins that a copy in one candidate may begin in.
+JOINED = 4
 #: Items under so many bytes are only sought as they are.
 LEAST_BYTES = 32
 #: Bytes of items that one scan of the documents compares with; further items take further scans.
 ITEM_BYTES = 8 << 20
 PIECE = 1 << 20
-SEED = 20260101
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if SPACE[b] else b for b in range(256))
 
 
@@ -47,84 +45,76 @@ def normal(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
-class Walk:
-    """One repetition: a random bit for each step and byte, and the sampled steps."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (STEPS, 256)).astype(np.int64)
-        self.sampled = np.zeros(STEPS, bool)
-        early = SKIPPED + rng.choice(STEPS // 2 - SKIPPED, EARLY, replace=False)
-        late = STEPS // 2 + rng.choice(STEPS - STEPS // 2, SAMPLED - EARLY, replace=False)
-        self.sampled[early] = self.sampled[late] = True
-
-    def keys(self, data: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows still walked at the end, their keys and their early keys; known early keys stop all others."""
-        place, key = at.copy(), np.zeros(len(at), U)
-        which, early = np.arange(len(at)), key
-        for t in range(STEPS):
-            byte = data[place]
-            if self.sampled[t]:
-                key = key * U(257) + byte
-            place += self.bits[t][byte]
-            if t == STEPS // 2 - 1:
-                early = (mix(key) >> U(44)).astype(np.int64)
-                if known is not None:
-                    live = known[early]
-                    which, place, key, early = which[live], place[live], key[live], early[live]
-        return which, key, early
-
-
-def word_starts(data: np.ndarray) -> np.ndarray:
-    """Places of bytes that begin a word; 0 stands between texts."""
-    gap = (data == 32) | (data == 0)
-    return np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+def slots_of(data: np.ndarray, gram: int) -> np.ndarray:
+    """The slot of the gram that begins at each byte but the last seven."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,))
+    return (((eight << U(64 - 8 * gram)) * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int32)
+
+
+def _own(text: bytes, gram: int) -> np.ndarray:
+    return slots_of(np.frombuffer(text + bytes(8), np.uint8), gram)[: len(text) - gram + 1]
+
+
+class Group:
+    """Some items' grams: how many of the items have one in a slot, and which."""
+
+    def __init__(self, which: list[int], texts: list[bytes], limits: list[int]):
+        self.which = np.array(which, np.int64)
+        size, limit = np.array([len(t) for t in texts]), np.array(limits)
+        self.least = size - GRAM + 1 - GRAM * limit
+        self.reach = size + limit
+        self.bins = -(-(self.reach - GRAM) // BIN) + 1
+        own = [np.unique(_own(t, GRAM)) for t in texts]
+        slot, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.item = item[np.argsort(slot, kind="stable")].astype(np.int32)
+        self.n = np.bincount(slot, minlength=SLOTS).astype(np.int32)
+        self.first = (np.cumsum(self.n) - self.n).astype(np.int32)
+        self.some = self.n > 0
+
+    def candidates(self, slot: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of stretches that hold every copy, from the slots of texts' grams."""
+        k, rows = len(self.which), -(-len(slot) // BIN)
+        at = np.flatnonzero(self.some[slot])
+        n, first = self.n[slot[at]], self.first[slot[at]]
+        skip = np.repeat(first - (np.cumsum(n) - n), n)
+        cell = np.repeat((at // BIN) * k, n) + self.item[skip + np.arange(len(skip))]
+        upto = np.zeros((rows + int(self.bins.max()) + 1, k), np.int32)
+        upto[1 : rows + 1] = np.bincount(cell, minlength=rows * k).reshape(rows, k)
+        np.cumsum(upto, axis=0, out=upto)
+        for w in np.unique(self.bins).tolist():
+            of = np.flatnonzero(self.bins == w)
+            some = upto if len(of) == k else upto[:, of]
+            i, b = np.nonzero((some[w : w + rows] - some[:rows] >= self.least[of]).T)
+            cut = np.flatnonzero((np.diff(i) != 0) | (np.diff(b) > 1) | (np.diff(b // JOINED) != 0)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(i)], strict=True):
+                if lo < hi:
+                    j = of[i[lo]]
+                    yield int(self.which[j]), int(b[lo]) * BIN, (int(b[hi - 1]) + 1) * BIN + int(self.reach[j])
 
 
 class Items:
-    """Benchmark items, their windows' keys for each repetition."""
+    """Benchmark items, and the grams of those that are sought with edits."""
 
-    def __init__(self, items: list[tuple[int, bytes]], repeats: int = REPEATS, seed: int = SEED):
+    def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in items]
         self.texts = [normal(t).strip(b" ") for _, t in items]
         self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < LEAST_BYTES]
-        data = np.frombuffer(b"\0".join(self.texts) + bytes(2 * STEPS), np.uint8)
-        begin = np.cumsum([0] + [len(t) + 1 for t in self.texts])
-        at = word_starts(data[: begin[-1]])
-        item = np.searchsorted(begin, at, "right") - 1
-        offset = at - begin[item]
-        fits = np.array([len(t) for t in self.texts] or [0])[np.minimum(item, len(self.texts) - 1)] - offset >= LEAST_BYTES
-        at, item, offset = at[fits], item[fits], offset[fits]
-        self.walks = []
-        for r in range(repeats):
-            walk = Walk(seed + r)
-            _, key, early = walk.keys(data, at)
-            known = np.zeros(1 << 20, bool)
-            known[early] = True
-            order = np.argsort(key)
-            self.walks.append((walk, known, key[order], item[order], offset[order]))
+        by_size = sorted((k for k, t in enumerate(self.texts) if len(t) >= LEAST_BYTES), key=lambda k: len(self.texts[k]))
+        self.fine = {k: _own(self.texts[k], FINE) for k in by_size}
+        self.groups = []
+        for lo in range(0, len(by_size), TOGETHER):
+            which = by_size[lo : lo + TOGETHER]
+            self.groups.append(Group(which, [self.texts[k] for k in which], [self.limit(k) for k in which]))
 
     def limit(self, k: int) -> int:
         return len(self.texts[k]) * EDITS // 100 if len(self.texts[k]) >= LEAST_BYTES else 0
 
-    def candidates(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (item, likely start) of windows at the given places."""
-        found = []
-        for walk, known, keys, item, offset in self.walks:
-            if not len(keys):
-                continue
-            which, key, _ = walk.keys(data, at, known)
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            hit = np.repeat(np.flatnonzero(n), n[n > 0])
-            slot = lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n[n > 0]) - n[n > 0], n[n > 0])
-            found.append(np.stack((item[slot], at[which[hit]] - offset[slot])))
-        return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-
-    def align(self, k: int, text: bytes) -> tuple[int, int, int]:
-        """(edits, start, end) of the stretch of text closest to item k."""
+    def align(self, k: int, text: bytes) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the stretch of text closest to item k, if within its limit."""
         item = self.texts[k]
         edits, end = _closest(item, text, False)
+        if edits > self.limit(k):
+            return None
         _, back = _closest(item[::-1], text[:end][::-1], True)
         return edits, end - back, end
 
@@ -160,24 +150,25 @@ def _closest(pattern: bytes, text: bytes, anchored: bool) -> tuple[int, int]:
 def leaks_in(items: Items, docs: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, item, start, end, edits) of every item that a text holds, its closest place."""
     begin = np.cumsum([0] + [len(d) + 1 for d in docs])
-    joined = b"\0".join(docs) + bytes(2 * STEPS)
+    joined = b"\0".join(docs) + bytes(8)
     data = np.frombuffer(joined, np.uint8)
+    slot, fine = slots_of(data, GRAM), slots_of(data, FINE)
+    here = np.zeros(SLOTS, bool)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: dict[tuple[int, int], int] = {}
-    item, start = items.candidates(data, word_starts(data[: begin[-1]]))
-    for k, s in zip(item.tolist(), start.tolist(), strict=True):
-        limit, n = items.limit(k), len(items.texts[k])
-        d = int(np.searchsorted(begin, max(s, 0) if s >= 0 else 0, "right")) - 1
-        # the window that gave the candidate lies in the document that holds most of the item
-        for doc in {d, min(d + 1, len(docs) - 1)}:
-            lo = max(s - limit, int(begin[doc]))
-            hi = min(s + n + 2 * limit, int(begin[doc]) + len(docs[doc]))
-            if hi - lo < n - limit or abs(tried.get((doc, k), -1 << 40) - s) * 2 < limit and best.get((doc, k)):
+    for group in items.groups:
+        for k, start, end in group.candidates(slot):
+            own, seen = items.fine[k], fine[start:end]
+            here[seen] = True
+            kept = np.count_nonzero(here[own])
+            here[seen] = False
+            if kept < len(own) - FINE * items.limit(k):
                 continue
-            tried[doc, k] = s
-            edits, x, y = items.align(k, joined[lo:hi])
-            if edits <= limit and ((doc, k) not in best or edits < best[doc, k][2]):
-                best[doc, k] = (lo - int(begin[doc]) + x, lo - int(begin[doc]) + y, edits)
+            least = len(items.texts[k]) - items.limit(k)
+            for doc in range(int(np.searchsorted(begin, start, "right")) - 1, int(np.searchsorted(begin[:-1], end))):
+                at = int(begin[doc])
+                lo, hi = max(start, at), min(end, at + len(docs[doc]))
+                if hi - lo >= least and (got := items.align(k, joined[lo:hi])) and ((doc, k) not in best or got[0] < best[doc, k][2]):
+                    best[doc, k] = (lo - at + got[1], lo - at + got[2], got[0])
     for k in items.short:
         for doc, text in enumerate(docs):
             x = text.find(items.texts[k])
