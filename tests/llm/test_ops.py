@@ -239,6 +239,24 @@ def test_plan_by_the_linear_program(monkeypatch, seed):
     assert (np.where(same, (offset + lengths)[by][:-1], 0) == offset[by][1:]).all()
 
 
+@pytest.mark.parametrize("hot, best", [({600: 40_000, 400: 40_000}, 40_000), ({700: 90_000, 300: 50_000, 150: 30_000}, 90_000), ({340: 200_000, 600: 30_000}, 86_667), ({513: 60_000, 258: 60_000, 252: 60_000}, 60_000)])
+@pytest.mark.parametrize("others", [0, 30_000])
+def test_plan_of_common_lengths(hot, best, others):
+    lengths = np.clip(np.random.default_rng(4).lognormal(5.5, 0.8, others).astype(int), 1, 1024)
+    histogram = np.bincount(lengths, minlength=1025)
+    for l, n in hot.items():
+        histogram[l] += n
+    made = best_fit_packing.plan(histogram)
+    got = np.zeros(1025, np.int64)
+    for c, n in made:
+        assert n > 0 and sum(l * k for l, k in c.items()) <= 1024
+        for l, k in c.items():
+            got[l] += n * k
+    assert (got == histogram).all() and len(made) < 20_000
+    least = max(-(-int((histogram * np.arange(1025)).sum()) // 1024), int(histogram[513:].sum()))
+    assert sum(n for _, n in made) <= (1.03 * least if others else best)
+
+
 def test_encoder_takes_the_fast_way_only_where_it_is_safe(library):
     e = best_fit_packing.Encoder(PATH)
     for text in ("plain text", "l'été, naïve", "中文", "<|endoftext|> x", "tab\tand\r\n", "  \n\n a", ""):

@@ -36,7 +36,7 @@ PRICED = 200
 PRICE_SLACK = 0.1
 #: Longer pieces are harder to place; at first they weigh a little more than their length.
 POWER = 1.05
-#: Pieces left over that best fit places one by one.
+#: So few pieces are left to best fit.
 RESIDUE = 20_000
 
 #: Texts of these characters alone are merged by tiktoken: no Unicode version disagrees on their classes.
@@ -175,50 +175,71 @@ def solve(left: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[d
     return [(dict(c), x / max(1.0, max(covered[l] for l, _ in c))) for c, x in found.items()]
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(configuration, how often) of sequences that hold every piece once; histogram[l] pieces have length l."""
-    left, out = histogram.astype(np.int64).copy(), []
-    if left[capacity]:
-        out.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
+def rounded(left: np.ndarray, capacity: int, full: bool) -> list[tuple[dict[int, int], int]]:
+    """Configurations, all full ones if so wanted, of solutions scaled and rounded down; takes their pieces from left."""
+    out = []
     for _ in range(SOLUTIONS):
         if left.sum() <= RESIDUE:
             break
         for c, x in sorted(solve(left, capacity), key=lambda y: (-max(y[0]), -y[1])):
             n = int(min([x, *(left[l] // k for l, k in c.items())]))
-            if n > 0 and sum(l * k for l, k in c.items()) == capacity:  # others waste room for good
+            if n > 0 and (not full or sum(l * k for l, k in c.items()) == capacity):  # others waste room for good
                 out.append((c, n))
                 for l, k in c.items():
                     left[l] -= n * k
-    return out + best_fit(left, capacity)
+    return out
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(configuration, how often) of sequences that hold every piece once; histogram[l] pieces have length l.
+
+    Full configurations come first.  If many pieces are left, as common lengths that no
+    others complete, configurations with room are tried for these, too; so is best fit
+    alone, and the fewest sequences count."""
+    left, out = histogram.astype(np.int64).copy(), []
+    if left[capacity]:
+        out.append(({capacity: 1}, int(left[capacity])))
+        left[capacity] = 0
+    tried = [best_fit(left, capacity)]
+    made = rounded(left, capacity, True)
+    tried.append(made + best_fit(left, capacity))
+    if left.sum() > RESIDUE:
+        made += rounded(left, capacity, False)
+        tried.append(made + best_fit(left, capacity))
+    return out + min(tried, key=lambda made: sum(n for _, n in made))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Longest first, each piece to the fullest sequence that has room; equal lengths go in bulk where they fill new sequences."""
-    open_: list[tuple[int, int]] = []  # room, number
-    bins: list[dict[int, int]] = []
+    """Longest first, each piece to the fullest sequence that has room; sequences of equal content are held as one with their number."""
+    open_: list[int] = []  # rooms, each once
+    held: dict[int, list[tuple[dict[int, int], int]]] = {}
     out: list[tuple[dict[int, int], int]] = []
-    for l in range(capacity, 0, -1):
+
+    def put(room: int, c: dict[int, int], n: int) -> None:
+        if not room:
+            out.append((c, n))
+            return
+        if room not in held:
+            insort(open_, room)
+        held.setdefault(room, []).append((c, n))
+
+    for l in np.flatnonzero(left)[::-1].tolist():
         n = int(left[l])
-        while n and (i := bisect_left(open_, (l, -1))) < len(open_):
-            room, b = open_.pop(i)
-            k = min(n, room // l)
-            bins[b][l] = bins[b].get(l, 0) + k
-            n -= k
-            if room - k * l:
-                insort(open_, (room - k * l, b))
-        k = capacity // l
-        full = n // k
-        if full > RESIDUE:  # too many to keep open: such sequences are left as they are
-            out.append(({l: k}, full))
-            n -= full * k
         while n:
-            take = min(n, k)
-            bins.append({l: take})
-            n -= take
-            if capacity - take * l:
-                insort(open_, (capacity - take * l, len(bins) - 1))
-    return out + [(b, 1) for b in bins]
+            i = bisect_left(open_, l)
+            room, c, same = capacity, {}, n
+            if i < len(open_):
+                room = open_[i]
+                c, same = held[room].pop()
+                if not held[room]:
+                    del held[room], open_[i]
+            k = min(n, room // l)
+            used = min(same, n // k)
+            if same > used and c:
+                put(room, c, same - used)
+            put(room - k * l, c | {l: k}, used)
+            n -= used * k
+    return out + [x for room in open_ for x in held[room]]
 
 
 class Places:
