@@ -371,6 +371,20 @@ def test_quality(spark, none, odd, docs, small):
     assert all((rows[i].score == 0 and not rows[i].good) for i, t, *_ in small if not (t or "").strip(" \t\n\x0b\x0c\r"))
 
 
+def test_distinct_words_are_counted_in_the_whole_text():
+    at = list(quality_model.LABELLERS).index("distinct")
+    fresh = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    junk = "buy now cheap " * 1200
+    for text in (fresh(0, 400) + " " + junk, junk + fresh(0, 400)):
+        m = quality_model.measures(text.encode())
+        assert m[at] < 0.2 and quality_model.votes(m) // 3**at % 3 == quality_model.BAD
+    for n in (1, 399, 400, 401, 1000):
+        assert quality_model.measures(fresh(0, n).encode())[at] == 1
+    words = [f"w{i * i % 97}" for i in range(950)]
+    want = np.mean([len(set(words[i : i + 400])) / 400 for i in (0, 400, 550)])
+    assert quality_model.measures(" ".join(words).encode())[at] == pytest.approx(want)
+
+
 # ---- 8: decontamination ----
 
 

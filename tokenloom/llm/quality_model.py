@@ -30,13 +30,15 @@ EPOCHS = 200
 LABELLERS = {
     "marks": (-1, 0.09),  # share of bytes that are neither letters, digits nor white space
     "repeats": (-1, 0.2),  # share of words that equal the word before
-    "distinct": (0.5, 2, 0.6, 0.99),  # distinct words by words, of the first 400
+    "distinct": (0.5, 2, 0.6, 0.99),  # distinct words by words, mean over stretches of STRETCH words
     "length": (4.0, 7.3),  # mean bytes of a word
     "digits": (-1, 0.15),  # share of digits
     "capitals": (-1, 0.3),  # share of capitals among letters
     "lines": (-1, 0.3),  # share of lines that repeat an earlier one
     "bars": (-1, 0.1),  # bars and tabs by words
 }
+#: Words in which distinct ones are counted, as their share falls with the length.
+STRETCH = 400
 #: Votes on texts with fewer words say little.
 FEW_WORDS = 20
 #: Texts with fewer words than this get no votes, and their posterior as score.
@@ -49,6 +51,14 @@ for _b in range(128):
 _SHAPE[128:] = 0
 
 
+def distinct_share(u: np.ndarray) -> float:
+    """Mean share of distinct words in the stretches that cover a text; the last one ends with it, and none is shorter but a short text."""
+    n = min(len(u), STRETCH)
+    at = np.append(np.arange(0, len(u) - n, n), len(u) - n)
+    rows = np.sort(u[at[:, None] + np.arange(n)], axis=1)
+    return float((1 + np.count_nonzero(rows[:, 1:] != rows[:, :-1], axis=1)).mean() / n)
+
+
 def measures(data: bytes) -> np.ndarray:
     """The labellers' measures of a text, in their order, and its number of words."""
     starts, ends = words_of(data)
@@ -61,7 +71,7 @@ def measures(data: bytes) -> np.ndarray:
     marks = shape[4:].sum() / size
     lines = [x for x in data.split(b"\n") if x.strip()]
     bars = data.count(b"|") + data.count(b"\t")
-    return np.array([marks, np.count_nonzero(u[1:] == u[:-1]) / n, len(np.unique(u[:400])) / min(n, 400), float((ends - starts).mean()), shape[2] / size, shape[1] / max(1, letters), 1 - len(set(lines)) / max(1, len(lines)), bars / n, n])
+    return np.array([marks, np.count_nonzero(u[1:] == u[:-1]) / n, distinct_share(u), float((ends - starts).mean()), shape[2] / size, shape[1] / max(1, letters), 1 - len(set(lines)) / max(1, len(lines)), bars / n, n])
 
 
 def votes(m: np.ndarray) -> int:
