@@ -102,7 +102,7 @@ class Scan:
         ids = np.array([self.ids[i] for i in self.use], np.int64)
         whole = np.array([int(np.add.reduce(mix(self.sets[i] ^ _KEY))) for i in self.use], U)
         other = np.array([int(np.add.reduce(mix(self.sets[i] ^ _PART))) ^ len(self.sets[i]) for i in self.use], U)
-        self.equal = R.Keys(mix(whole) >> U(24), mix(other) >> U(24), ids)
+        self.equal = R.Keys(mix(whole), mix(other) >> U(24), ids)
         bounds = classes(similar)
         lead = np.zeros(len(ids), bool)
         lead[self.equal.first] = True
@@ -110,7 +110,7 @@ class Scan:
         keys = [keys_of(self.sets[self.use[i]], similar, bounds) for i in self.lead]
         self.owner = np.repeat(self.lead, [len(k) for k in keys])
         k = np.concatenate(keys) if keys else np.zeros(0, U)
-        self.shared = R.Keys(k >> U(24), mix(k) >> U(24), ids[self.owner])
+        self.shared = R.Keys(k, mix(k) >> U(24), ids[self.owner])
         self.id_array = ids
 
     def emit(self, buckets: int):

@@ -52,7 +52,7 @@ class Scan:
             s = prefix(units)
             h = all_windows(s, k) & ~U(3)
             pos = minimizers(h, self.w)
-            self.docs.append(Doc(doc_id, n, s, h, pos, mix(h[pos] ^ _SALT) >> U(24)))
+            self.docs.append(Doc(doc_id, n, s, h, pos, mix(h[pos] ^ _SALT)))
         #: A null id is under all others only as a place holder; such a document has no windows.
         self.ids = np.array([-(1 << 62) if d.id is None else d.id for d in self.docs], np.int64)
         each = [np.unique(d.g) for d in self.docs if len(d.g)]
@@ -62,7 +62,7 @@ class Scan:
     # round 1
     def anchors(self, buckets: int):
         for b, lo, hi in slices(self.keys, buckets):
-            yield b, packed40(self.keys[lo:hi]) + np.packbits(self.several[lo:hi]).tobytes() + np.uint32(hi - lo).tobytes()
+            yield b, packed40(within(self.keys[lo:hi], buckets)) + np.packbits(self.several[lo:hi]).tobytes() + np.uint32(hi - lo).tobytes()
 
     # round 2
     def know_anchors(self, answers: list[bytes]) -> None:
@@ -117,7 +117,7 @@ class Scan:
 
 
 class Keys:
-    """Occurrences by an 80-bit key (g, c): each key once, with its least document."""
+    """Occurrences by a key of 64 (g) and 40 (c) bits: each key once, with its least document."""
 
     def __init__(self, g: np.ndarray, c: np.ndarray, ids: np.ndarray):
         order = np.lexsort((ids, c, g))
@@ -131,7 +131,7 @@ class Keys:
 
     def emit(self, buckets: int):
         for b, lo, hi in slices(self.g, buckets):
-            yield b, packed40(self.g[lo:hi]) + packed40(self.c[lo:hi]) + self.least[lo:hi].astype("<i8").tobytes()
+            yield b, packed40(within(self.g[lo:hi], buckets)) + packed40(self.c[lo:hi]) + self.least[lo:hi].astype("<i8").tobytes()
 
     def spread(self, known: np.ndarray) -> np.ndarray:
         """For each occurrence: does a smaller document have its key, here or (known) elsewhere?"""
@@ -140,15 +140,21 @@ class Keys:
 
 
 def slices(keys: np.ndarray, buckets: int):
-    """(bucket, from, to) of sorted 40-bit keys."""
+    """(bucket, from, to) of sorted 64-bit keys: each bucket has an equal range of them."""
     if not len(keys):
         return
-    b = (keys * U(buckets)) >> U(40)
+    low, n = U(0xFFFFFFFF), U(buckets)
+    b = ((keys >> U(32)) * n + ((keys & low) * n >> U(32))) >> U(32)
     cut = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]))
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         yield int(b[lo]), lo, hi
 
 
+def within(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """40 bits that tell keys of one bucket apart: where in its range they stand, so more buckets resolve more keys."""
+    return (keys * U(buckets)) >> U(24)
+
+
 def bits(answers: list[bytes]) -> np.ndarray:
     """Answers of round 1 and of window questions: a bit for each key, the count last."""
     out = [np.unpackbits(np.frombuffer(x, np.uint8)[:-4], count=int(np.frombuffer(x[-4:], np.uint32)[0])) for x in answers]

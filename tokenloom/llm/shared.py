@@ -109,8 +109,10 @@ def sized(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBat
         start = min(end, n)
 
 
-def blocks(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Rows as (block_id, n_bytes, body); a row is never cut, so a long text is a block by itself."""
+def blocks(rows: DataFrame, text: str, name: str, add: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """Rows as (block_id, n_bytes, body); a row is never cut, so a long text is a block by itself.
+
+    add may give batches further columns, worked out once and kept in the blocks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,7 +135,7 @@ def blocks(rows: DataFrame, text: str, name: str) -> DataFrame:
                 data = part.nbytes
                 if held and size + data > BLOCK_BYTES:
                     yield flush()
-                held.append(part)
+                held.append(add(part) if add else part)
                 size += data
         if held:
             yield flush()

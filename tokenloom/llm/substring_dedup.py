@@ -58,7 +58,7 @@ def _window_keys(scan: R.Scan):
         edge = np.flatnonzero(state == R.EDGE)
         if len(edge):
             whole = all_windows(d.s, scan.window)[edge]
-            g.append(whole >> U(24))
+            g.append(whole)
             c.append(mix(whole ^ span_hash(d.s, edge, edge + scan.k)) >> U(24))
             i.append(np.full(len(edge), at))
             j.append(edge)

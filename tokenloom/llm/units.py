@@ -2,17 +2,21 @@
 
 A document is an array of 64-bit unit values.  Window hashes are polynomial
 hashes modulo 2**64 taken from one prefix sum, then mixed, so the hash of any
-span costs two look-ups.
+span costs two look-ups.  Spans stay far under 2**10 units, where such hashes are sound.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _TOP = U(0xFFFFFFFFFFFFFFFF)
+#: Longer words are hashed by BLAKE2: from 2**10 units on there are spans that a polynomial modulo 2**64 can't tell apart.
+LONG_WORD = 500
 #: The ASCII white space that separates words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -86,9 +90,34 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_units(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each word, the same for the same bytes."""
     if not len(starts):
         return np.zeros(0, U)
-    return mix(span_hash(prefix(byte_units(data)), starts, ends) + (ends - starts).astype(U))
+    size = ends - starts
+    out = mix(span_hash(prefix(byte_units(data)), starts, ends) + size.astype(U))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def text_minimizers(s: np.ndarray, ends: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Positions in several joined texts that hold the least hash of k units in some window within one text.
+
+    s are prefix sums over all texts, ends where each text ends."""
+    w, n = window - k + 1, len(s) - 1
+    if n < window:
+        return np.zeros(0, np.int64)
+    h = all_windows(s, k) & ~U(3)
+    least = window_min(h, w)
+    starts = np.concatenate(([0], ends[:-1]))
+    mark = np.zeros(n + 1, np.int8)
+    long = ends > starts
+    np.add.at(mark, np.maximum(starts, ends - window + 1)[long], 1)
+    np.add.at(mark, ends[long], -1)
+    least[np.cumsum(mark[: len(least)], dtype=np.int8) > 0] = 0  # these windows reach into the next text
+    m = np.zeros(len(h) + w - 1, U)
+    m[w - 1 : w - 1 + len(least)] = least
+    return np.flatnonzero((_slide(m, w, np.maximum) == h) & (h != 0))
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
