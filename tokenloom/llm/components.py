@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-ROUNDS = 60
+#: Rounds grow with the logarithm of a component's size; more than these would be a fault.
+ROUNDS = 200
 #: Parts that the neighbours of a node are dealt to.
 PARTS = 16
 
@@ -25,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     In a round, each node's larger neighbours are linked to its least neighbour, then
     its smaller ones and itself.  Least neighbours are aggregated before the shuffle and
     joined back to a node's neighbours in PARTS parts, as a node may have very many.
-    Edges from a node to itself and null ends are dropped; no edges give no rows."""
+    Edges from a node to itself and null ends are dropped; no edges give no rows.  What
+    has not settled after ROUNDS rounds is an error, never a result."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     seen = None
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS + 1):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             break
@@ -38,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = dealt.join(spread, ["n", "part"]).select("a", F.col("least").alias("b")).filter("a > b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = written(large.join(small, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a > b").distinct(), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return found.unionByName(roots)

@@ -1,10 +1,13 @@
 """Exact Jaccard self-join of documents on word n-grams, by set relations.
 
+Survivors: a set whose partner has a Jaccard similarity of t holds at most 1 - t of its
+shingles alone.  Blocks ask which shingles a second set has, and sets with more than
+that of their own are done with: a common passage doesn't keep them.
+
 Candidates: two sets with a Jaccard similarity of t differ in at most
-(1 - t) / (1 + t) of their joint size.  A set's shingles are dealt to a few more
+(1 - t) / (1 + t) of their joint size.  A survivor's shingles are dealt to a few more
 parts than that by their hash, so two linked sets agree on whole parts; a part's
-hash is the key.  Unlike single shingles, parts aren't common to documents that
-share a passage only.  Keys go to buckets, which answer with the least document.
+hash is the key.
 
 Join: documents that keys connect are joined in one place, by set relations.  The
 cluster's index lists stand in order of set size, so blocks of a list whose sets are
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .components import components
-from .shared import ask, blocks, bucket_count, each_block, texts, unpack, with_answers, with_fields, written
+from .shared import ask, blocks, bucket_count, each_block, packed40, texts, with_answers, with_fields, written
 from .units import U, all_windows, mix, prefix, span_hash, word_units, words_of
 
 SHINGLE = 3
@@ -32,13 +35,14 @@ SHINGLE = 3
 SIMILAR = 90
 #: Parts that may be empty: so many more than the differences are made.
 SPARE = 2
-#: Shingles of a cluster that one task joins; larger clusters are joined in cells of two chunks.
-CELL = 2_000_000
+#: Shingles and sets of a cluster that one task joins; larger clusters are joined in cells of two chunks.
+CELL, CELL_SETS = 2_000_000, 1024
 #: Parts that the copies of one set are dealt to when they fetch their result.
 SALTS = 16
 #: Sets of a cluster whose overlaps with all others are kept to derive further ones from.
 PIVOTS = 64
 _PART, _KEY = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
+_EQUAL, _SHINGLES = b"=", b"s"
 
 
 def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -91,32 +95,51 @@ def keys_of(shingles: np.ndarray, similar: int, bounds: np.ndarray) -> np.ndarra
 
 
 class Scan:
-    """One block's sets, their keys, and the least document of each key in the block."""
+    """One block's sets, the least document of each, and which shingles a second set has."""
 
-    def __init__(self, batch: pa.RecordBatch, id_col: str, text_col: str, similar: int, shingle: int, with_keys: bool = True):
+    def __init__(self, batch: pa.RecordBatch, id_col: str, text_col: str, shingle: int):
         self.ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
         self.sets = [shingle_set(x or b"", shingle) for x in texts(batch.column(batch.schema.get_field_index(text_col)))]
         self.use = np.array([i for i, s in enumerate(self.sets) if len(s) and self.ids[i] is not None], np.int64)
-        if not with_keys:
-            return
         ids = np.array([self.ids[i] for i in self.use], np.int64)
         whole = np.array([int(np.add.reduce(mix(self.sets[i] ^ _KEY))) for i in self.use], U)
         other = np.array([int(np.add.reduce(mix(self.sets[i] ^ _PART))) ^ len(self.sets[i]) for i in self.use], U)
         self.equal = R.Keys(mix(whole), mix(other) >> U(24), ids)
-        bounds = classes(similar)
-        lead = np.zeros(len(ids), bool)
-        lead[self.equal.first] = True
-        self.lead = np.flatnonzero(lead)
-        keys = [keys_of(self.sets[self.use[i]], similar, bounds) for i in self.lead]
-        self.owner = np.repeat(self.lead, [len(k) for k in keys])
-        k = np.concatenate(keys) if keys else np.zeros(0, U)
-        self.shared = R.Keys(k, mix(k) >> U(24), ids[self.owner])
-        self.id_array = ids
+        self.lead = np.sort(self.equal.first)
+        size = np.array([len(self.sets[i]) for i in self.use[self.lead]], np.int64)
+        self.owner = np.repeat(np.arange(len(size)), size)
+        flat = np.concatenate([self.sets[i] for i in self.use[self.lead]]) if len(size) else np.zeros(0, U)
+        order = np.argsort(flat)
+        v = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(v)))
+        self.keys, self.several = v[first], n > 1
+        self.entry = np.empty(len(v), np.int64)
+        self.entry[order] = np.repeat(np.arange(len(first)), n)
 
     def emit(self, buckets: int):
-        for kind, keys in (("=", self.equal), ("~", self.shared)):
-            for b, body in keys.emit(buckets):
-                yield b + (buckets if kind == "~" else 0), body
+        for b, body in self.equal.emit(buckets):
+            yield b, _EQUAL + body
+        for b, lo, hi in R.slices(self.keys, buckets):
+            yield b + buckets, _SHINGLES + packed40(R.within(self.keys[lo:hi], buckets)) + np.packbits(self.several[lo:hi]).tobytes() + np.uint32(hi - lo).tobytes()
+
+    def know(self, answers: list[bytes], similar: int) -> tuple[list[int | None], list[int]]:
+        """The class of each row, and the rows whose set may have partners, one for each class and version."""
+        whole = _least([x[1:] for x in answers if x[:1] == _EQUAL], self.equal.least)[self.equal.entry]
+        alone = ~R.bits([x[1:] for x in answers if x[:1] == _SHINGLES])
+        alone = np.bincount(self.owner, alone[self.entry], len(self.lead))
+        size = np.bincount(self.owner, minlength=len(self.lead))
+        may = alone <= size - -(-similar * size // 100)
+        cls: list[int | None] = list(self.ids)
+        for i, c in zip(self.use.tolist(), whole.tolist(), strict=True):
+            cls[i] = c
+        rows = self.use[self.lead[may]].tolist()
+        return cls, [i for i in rows if cls[i] == self.ids[i]]
+
+
+def _reply(bodies: list[bytes]) -> list[bytes]:
+    kind, own = bodies[0][:1], [x[1:] for x in bodies]  # a bucket is asked one kind of question
+    return [kind + x for x in (_answer(own) if kind == _EQUAL else R.answer_anchors(own))]
 
 
 def _answer(bodies: list[bytes]) -> list[bytes]:
@@ -221,88 +244,70 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     its own included) and ``n_links`` (rows it links with, equal sets included).  A document with fewer words than a shingle has all of them
     as its one shingle; a null text or one without words has an empty set and no links;
     a row with a null id has no links and a null component; rows of equal ids are one
-    document's versions and share their links; an empty table gives an empty one.  Other
+    document's versions and share their links; a very long text is a block by itself, in
+    one worker with about 40 times its size; an empty table gives an empty one.  Other
     columns are not carried; a column of ``keep`` with a result's name is replaced.
+
+    Shingles are told apart by 64 bits of hash, equal sets by 104.
     """
     columns = list(dict.fromkeys([id_col, text_col, *keep]))
     rows = docs.select(*columns)
     table = blocks(rows, text_col, "jaccard")
     n = bucket_count(table)
 
-    def emit(batch, _):
-        return Scan(batch, id_col, text_col, similar, shingle).emit(n)
-
-    answers = ask(with_answers(table), emit, _answer, "keys")
+    answers = ask(with_answers(table), lambda batch, _: Scan(batch, id_col, text_col, shingle).emit(n), _reply, "keys")
 
     out_columns = [c for c in columns if c == id_col or c in keep]
-    schema = with_fields(rows.select(*out_columns).schema, ("n_shingles", "long"), ("_class", "long"), ("_near", "array<long>"), ("_block", "long"))
-    carried = [f.name for f in schema.fields[:-4]]
+    schema = with_fields(rows.select(*out_columns).schema, ("n_shingles", "long"), ("_class", "long"), ("_set", "binary"))
+    carried = [f.name for f in schema.fields[:-3]]
 
     def describe(batches):
-        for block_id, batch, got in each_block(batches):
-            scan = Scan(batch, id_col, text_col, similar, shingle)
-            both, equal, shared = got.get("keys", []), [], []
-            have = 0
-            for x in both:
-                (equal if have < len(scan.equal.g) else shared).append(x)
-                have += int(np.frombuffer(x[:4], np.uint32)[0])
-            whole = _least(equal, scan.equal.least)[scan.equal.entry]
-            near = _least(shared, scan.shared.least)[scan.shared.entry]
-            cls: list[int | None] = list(scan.ids)
-            edges: list[list[int]] = [[] for _ in scan.ids]
-            for i, c in zip(scan.use.tolist(), whole.tolist(), strict=True):
-                cls[i] = c
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(scan.owner)) + 1, [len(scan.owner)])) if len(scan.owner) else [0]
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                i = int(scan.owner[lo])
-                if whole[i] == scan.id_array[i]:
-                    u = np.unique(near[lo:hi])
-                    edges[scan.use[i]] = u[u != whole[i]].tolist()
+        for _, batch, got in each_block(batches):
+            scan = Scan(batch, id_col, text_col, shingle)
+            cls, survivors = scan.know(got.get("keys", []), similar)
+            sets: list[bytes | None] = [None] * len(cls)
+            for i in survivors:
+                sets[i] = scan.sets[i].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in carried]
-                + [pa.array([len(s) for s in scan.sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array([block_id] * len(edges), pa.int64())],
-                names=[*carried, "n_shingles", "_class", "_near", "_block"],
+                [batch.column(batch.schema.get_field_index(c)) for c in carried] + [pa.array([len(s) for s in scan.sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())],
+                names=[*carried, "n_shingles", "_class", "_set"],
             )
 
     described = written(with_answers(table, answers).mapInArrow(describe, schema), "described")
-    copies = described.filter("n_shingles > 0").groupBy("_class").agg(F.count("*").alias("copies"))
-    edges = described.select(F.col("_class").alias("a"), F.explode("_near").alias("b"))
-    clusters = components(edges).select(F.col("node").alias("_class"), F.col("component").alias("cluster"))
-    heads = described.filter(F.col("_class") == F.col(id_col)).select("_class", F.col("_block").alias("block_id"), "n_shingles")
-    placed = written(heads.join(clusters, "_class").join(copies, "_class"), "places")
-    weight = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CELL).cast("int").alias("chunks"))
-    at = placed.join(weight, "cluster").select("block_id", F.struct(F.col("_class").alias("doc"), "cluster", "chunks", "copies").alias("x"))
-    lists = at.groupBy("block_id").agg(F.collect_list("x").alias("x"))
-    moved = table.select("block_id", "body").join(lists.hint("shuffle_hash"), "block_id")
-
-    def send(batches):
+    survivors = described.filter("_set is not null").select("_class", "n_shingles", "_set")
+
+    def deal(batches):
+        bounds = classes(similar)
         for batch in batches:
-            for i in range(batch.num_rows):
-                want = {x["doc"]: (x["cluster"], x["chunks"], x["copies"]) for x in batch.column(2)[i].as_py()}
-                scan = Scan(unpack(batch.column(1)[i].as_buffer()), id_col, text_col, similar, shingle, with_keys=False)
-                out, done = [], set()
-                for k in scan.use.tolist():
-                    doc, version = scan.ids[k], scan.sets[k].tobytes()
-                    if doc in want and (doc, version) not in done:
-                        done.add((doc, version))
-                        cluster, chunks, copies = want[doc]
-                        own = int(mix(np.array([doc], np.int64).view(U))[0] % U(chunks))
-                        cells = [(min(own, o), max(own, o)) for o in range(chunks) if o != own] or [(0, 0)]
-                        out += [(cluster, a, b, own, doc, copies, version) for a, b in cells]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                for lo in range(0, len(out), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[lo : lo + 256]], t) for j, t in enumerate(kinds)], names=["cluster", "a", "b", "chunk", "doc", "copies", "s"])
+            keys = [keys_of(np.frombuffer(x, U), similar, bounds) for x in texts(batch.column(1))]
+            if keys:
+                docs = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(docs)], names=["key", "doc"])
+
+    keyed = written(survivors.select("_class", "_set").mapInArrow(deal, "key long, doc long"), "keyed")
+    least = keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key", "least")
+    edges = keyed.join(least, "key").filter("doc > least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    clusters = components(edges).select(F.col("node").alias("_class"), F.col("component").alias("cluster"))
+    copies = described.filter("n_shingles > 0").groupBy("_class").agg(F.count("*").alias("copies"))
+    placed = written(survivors.select("_class", "n_shingles").join(clusters, "_class"), "places")
+    weight = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n_shingles") / CELL, F.count("*") / CELL_SETS)).cast("int").alias("chunks"))
+    places = placed.select("_class", "cluster").distinct().join(weight, "cluster").join(copies, "_class")
+    own = F.pmod(F.xxhash64("_class"), F.col("chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: o != F.col("chunk"))
+    cells = F.when(F.col("chunks") > 1, F.transform(others, lambda o: F.struct(F.least(o, "chunk").alias("a"), F.greatest(o, "chunk").alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))))
+    sent = survivors.select("_class", F.col("_set").alias("s")).join(places, "_class").withColumn("chunk", own).withColumn("cell", F.explode(cells))
+    sent = sent.select("cluster", "cell.a", "cell.b", "chunk", F.col("_class").alias("doc"), "copies", "s")
 
     def link(group: pa.Table) -> pa.Table:
-        ids, chunk = group.column("doc").to_numpy(), group.column("chunk").to_numpy()
-        sets = [np.frombuffer(x, U) for x in group.column("s").to_pylist()]
-        found, near, far = link_sets(ids, sets, group.column("copies").to_numpy(), chunk, similar)
+        docs, raw = group.column("doc").to_pylist(), group.column("s").to_pylist()
+        keep = sorted({(i, x): k for k, (i, x) in enumerate(zip(docs, raw, strict=True))}.values())  # repeated rows of one id
+        ids, chunk, copies = (group.column(c).to_numpy()[keep] for c in ("doc", "chunk", "copies"))
+        found, near, far = link_sets(ids, [np.frombuffer(raw[k], U) for k in keep], copies, chunk, similar)
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
         # links within a chunk are found in each of its cells, and count in one
         once = a == b or np.where(chunk == a, b == (1 if a == 0 else 0), a == 0)
         return pa.table({"a": pa.array(ids), "b": pa.array(found), "n": pa.array(np.where(once, near, 0) + far)})
 
-    sent = moved.mapInArrow(send, "cluster long, a int, b int, chunk int, doc long, copies long, s binary")
     linked = written(sent.groupBy("cluster", "a", "b").applyInArrow(link, "a long, b long, n long"), "linked")
     if weight.filter("chunks > 1").limit(1).count():
         found = components(linked)
