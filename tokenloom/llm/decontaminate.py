@@ -5,8 +5,8 @@ item of m bytes, a stretch that is at most k edits away keeps all but q * k, and
 in m + k bytes.  Texts are divided into bins, and the places at which one of an item's
 grams begins are counted for each bin and item; a run of bins that could hold a copy and has
 enough of them is a candidate.  Of its grams the item must then find enough, too, which
-repeated words don't help.  What passes is aligned with the item, and only an edit
-distance within the limit counts.  Grams are looked up by hash: two that share a slot
+repeated words don't help, and find them in order: k edits shift places by k at most.
+What passes is aligned with the item, and only an edit distance within the limit counts.  Grams are looked up by hash: two that share a slot
 add to the counts and never take from them.
 """
 
@@ -28,10 +28,10 @@ EDITS = 15
 GRAM, FINE = 5, 4
 SLOTS = 1 << 20
 #: Bytes of a bin, and items that are counted together.
-BIN = 64
+BIN = 32
 TOGETHER = 256
 #: Bins that a copy in one candidate may begin in.
-JOINED = 4
+JOINED = 8
 #: Items under so many bytes are only sought as they are.
 LEAST_BYTES = 32
 #: Bytes of items that one scan of the documents compares with; further items take further scans.
@@ -101,6 +101,7 @@ class Items:
         self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < LEAST_BYTES]
         by_size = sorted((k for k, t in enumerate(self.texts) if len(t) >= LEAST_BYTES), key=lambda k: len(self.texts[k]))
         self.fine = {k: _own(self.texts[k], FINE) for k in by_size}
+        self.places = {k: np.argsort(own, kind="stable") for k, own in self.fine.items()}
         self.groups = []
         for lo in range(0, len(by_size), TOGETHER):
             which = by_size[lo : lo + TOGETHER]
@@ -109,6 +110,20 @@ class Items:
     def limit(self, k: int) -> int:
         return len(self.texts[k]) * EDITS // 100 if len(self.texts[k]) >= LEAST_BYTES else 0
 
+    def in_order(self, k: int, seen: np.ndarray) -> bool:
+        """Whether enough of item k's grams lie in a stretch of text, by its grams' slots, with shifts that differ by its limit at most.
+
+        Shifts are taken in ranges of limit + 1, each with the next one, so none that fits is lost."""
+        place, width = self.places[k], self.limit(k) + 1
+        own = self.fine[k][place]
+        first = np.searchsorted(own, seen)
+        n = np.searchsorted(own, seen, "right") - first
+        at = np.repeat(np.arange(len(seen)), n)
+        i = place[np.arange(len(at)) - np.repeat(np.cumsum(n) - n - first, n)]
+        shift = (at - i + len(own)) // width
+        key = np.unique(np.concatenate((shift, shift + 1)) * len(own) + np.concatenate((i, i)))
+        return len(key) > 0 and int(np.bincount(key // len(own)).max()) >= len(own) - FINE * self.limit(k)
+
     def align(self, k: int, text: bytes) -> tuple[int, int, int] | None:
         """(edits, start, end) of the stretch of text closest to item k, if within its limit."""
         item = self.texts[k]
@@ -161,7 +176,7 @@ def leaks_in(items: Items, docs: list[bytes]) -> Iterator[tuple[int, int, int, i
             here[seen] = True
             kept = np.count_nonzero(here[own])
             here[seen] = False
-            if kept < len(own) - FINE * items.limit(k):
+            if kept < len(own) - FINE * items.limit(k) or not items.in_order(k, seen):
                 continue
             least = len(items.texts[k]) - items.limit(k)
             for doc in range(int(np.searchsorted(begin, start, "right")) - 1, int(np.searchsorted(begin[:-1], end))):
@@ -185,7 +200,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     bytes as edit distance, case and kind of white space aside; the closest place is
     returned, in bytes.  Items under LEAST_BYTES bytes count only as they are.  Null or
     empty texts and items hold and are nothing; a null id stays null; repeated items
-    each give their rows and repeated documents too; empty tables give an empty result.
+    each give their rows and repeated documents too; a very long text is read whole, in one
+    worker with about 20 times its size; empty tables give an empty result.
     Other columns are not carried.
     """
     rows = small_batches(docs).select(id_col, F.col(text_col).cast("string").alias("_text"))
