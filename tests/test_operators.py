@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions import facts
-from tokenloom.operators import generators, pack, registry, sampling, tokenize
+from tokenloom.functions import facts, text
+from tokenloom.operators import generators, pack, registry, sampling, service, tokenize
 from tokenloom.sources import files
 from tokenloom.streaming import streams
 
@@ -144,9 +144,12 @@ def test_registry(spark):
 
 
 def test_generators(spark):
-    lines = generators.synthetic_text().split("\n")
-    assert generators.synthetic_text() == generators.synthetic_text() and "6 × 9 = 54" in lines
+    text = generators.synthetic_text(spark).first().text
+    lines = text.split("\n")
+    assert generators.synthetic_text(spark).first().text == text and "6 × 9 = 54" in lines
+    assert generators.synthetic_text(spark, seed=7).first().text != text
     assert sum(x.startswith("If you have") for x in lines) == 200
+    assert [lines.index(t) for t in generators.SECTIONS] == sorted(lines.index(t) for t in generators.SECTIONS)
     by = {r.category: r["count"] for r in generators.probes(spark).groupBy("category").count().collect()}
     assert by == {"mul_table": 81, "mul_multidigit": 100, "addition": 100}
 
@@ -194,3 +197,92 @@ def test_streams(spark, tmp_path):
         assert r.piece_start == at and r.shard == at // 12 and r.shard_offset == at % 12
         at += r.length
     assert at == 80
+
+
+def test_calls_of_a_service(spark):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"r{i}", "old") for i in range(50)], "id int, request string, error string").repartition(3)
+
+    def make_client():
+        seen = {}
+
+        def client(request):
+            seen[request] = seen.get(request, 0) + 1
+            if request.endswith("7"):
+                raise RuntimeError("x" * 500)
+            if request.endswith("5") and seen[request] < 3:
+                raise TimeoutError
+            return request.upper()
+
+        return client
+
+    got = {r.id: r for r in service.call_each(rows, "request", make_client, calls_at_once=4, tries=3).collect()}
+    assert len(got) == 50
+    for i, r in got.items():
+        if i == 3:
+            assert (r.success, r.response, r.error, r.calls) == (False, None, "no request", 0)
+        elif i % 10 == 7:
+            assert (r.success, r.response, r.error, r.calls) == (False, None, "x" * service.ERROR_LENGTH, 3)
+        else:
+            assert (r.success, r.response, r.error, r.calls) == (True, f"R{i}", None, 3 if i % 10 == 5 else 1)
+    assert {r.error for r in service.call_each(rows.filter("id = 5"), "request", make_client).collect()} == {"TimeoutError"}
+    assert service.call_each(rows.limit(0), "request", make_client).collect() == []
+
+
+def test_settings_of_several_levels():
+    text = """
+# a comment
+training:
+  max_length: 512   # of tokens
+  rates: [1e-5, 2, "x"]
+  deep:
+    on: true
+    none: null
+name: 'a: b'
+empty:
+"""
+    got = files.config(text, {"training": {"max_length": 8, "batch": 4, "deep": {"off": 1}}, "empty": {"kept": 1}, "seed": 42})
+    assert got == {
+        "training": {"max_length": 512, "batch": 4, "rates": [1e-5, 2, "x"], "deep": {"off": 1, "on": True, "none": None}},
+        "name": "a: b",
+        "empty": {"kept": 1},
+        "seed": 42,
+    }
+
+
+def test_known_models(spark):
+    models = registry.known_models(spark, "someone/{name}")
+    assert [r.repository for r in models.filter("name = 'sft_tulu_mul_tokens'").collect()] == ["someone/sft-tulu-mul-tokens"]
+    groups = {}
+    for r in registry.model_groups(models).orderBy("pos").collect():
+        groups.setdefault(r.group, []).append(r.member)
+    assert groups["pretrained"] == ["hf_baseline_10b", "hf_mul_tokens_10b"]
+    assert groups["baseline"] == ["hf_baseline_10b", "sft_tulu_baseline", "sft_gsm8k_baseline"] and len(groups) == 5
+
+
+def test_numbers_in_names_keep_their_digits(spark):
+    got = spark.createDataFrame([(1234567, 190720), (3, 20), (None, None)], "i long, step long").select(text.shard_name(F.lit("train"), F.col("i")), text.checkpoint_name(F.col("step"))).collect()
+    assert [tuple(r) for r in got] == [("corpus_train_1234567.npy", "model_190720.pt"), ("corpus_train_000003.npy", "model_00020.pt"), (None, None)]
+
+
+def test_batches_of_pieces_are_those_of_whole_shards(spark):
+    docs = spark.createDataFrame([(i, "abcdefg"[: i % 8] * (i % 5)) for i in range(60)], "doc_id long, text string")
+    pieces = pack.build_pieces(docs, 100, 1 << 40, 1, "baseline")
+    whole = pack.build_corpus(docs, 100, 1 << 40, 1, "baseline")
+    sizes = pieces.groupBy("shard").agg(F.sum("length").alias("size"))
+    plan = pack.batches(sizes, 3, 8, 2)
+    order = ("shard", "rank", "step", "row")
+    one = pack.batch_rows(pieces, plan, 3, 8, tokens="ids").orderBy(*order).collect()
+    two = pack.batch_rows(whole, plan, 3, 8).orderBy(*order).collect()
+    tokens = {r.shard: r.tokens for r in whole.collect()}
+    assert one == two and len(one) > 5
+    for r in one:
+        at = 3 * 8 * (r.rank + 2 * r.step) + 8 * r.row
+        assert r.x == tokens[r.shard][at : at + 8] and r.y == tokens[r.shard][at + 1 : at + 9]
+
+
+def test_bytes_are_counted_where_they_lie(spark):
+    rows = spark.createDataFrame([("aab",), (None,), ("",), ("bé",)], "text string").repartition(2)
+    want = {97: 2, 98: 2, 0xC3: 1, 0xA9: 1}
+    assert {r.token_id: r.n for r in tokenize.byte_histogram(rows).collect()} == want
+    assert {r.token_id: r.n for r in tokenize.token_histogram(tokenize.with_ids(rows, condition="baseline")).collect()} == want
+    assert tokenize.byte_histogram(rows.limit(0)).collect() == []

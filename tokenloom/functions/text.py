@@ -132,12 +132,17 @@ def repair_json(text: Column) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), STEPS_SCHEMA)
 
 
+def numbered(n: Column, width: int) -> Column:
+    """A number with zeros in front up to the width; longer ones keep all their digits."""
+    return F.when(n.isNotNull(), F.format_string(f"%0{width}d", n.cast("bigint")))
+
+
 def shard_name(split: Column, index: Column, prefix: str = "corpus") -> Column:
-    return F.concat(F.lit(prefix + "_"), split, F.lit("_"), F.lpad(index.cast("string"), 6, "0"), F.lit(".npy"))
+    return F.concat(F.lit(prefix + "_"), split, F.lit("_"), numbered(index, 6), F.lit(".npy"))
 
 
 def checkpoint_name(step: Column) -> Column:
-    return F.concat(F.lit("model_"), F.lpad(step.cast("string"), 5, "0"), F.lit(".pt"))
+    return F.concat(F.lit("model_"), numbered(step, 5), F.lit(".pt"))
 
 
 def sample_name(n: Column) -> Column:

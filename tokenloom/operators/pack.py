@@ -9,6 +9,7 @@ from ..functions import facts
 from .tokenize import encode
 
 #: Least and greatest number of ranges of an order column; in between, four for each shuffle partition.
+#: The greatest is what one expression can look up; rows of a range are spilled by the window, not held.
 LEAST_RANGES, MOST_RANGES = 64, 4096
 
 
@@ -111,16 +112,41 @@ def short_shards(shard_sizes: DataFrame, batch: int, length: int, ranks: int, si
 
 
 def batch_rows(packed: DataFrame, plan: DataFrame, batch: int, length: int, shard: str = "shard", tokens: str = "tokens") -> DataFrame:
-    """x and y of every row of every batch: length tokens, and those one further."""
-    each = plan.join(packed, shard).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
-    at = (F.col("position") + F.col("row") * length + 1).cast("int")
-    return each.select(shard, "rank", "step", "row", F.slice(tokens, at, F.lit(length)).alias("x"), F.slice(tokens, at + 1, F.lit(length)).alias("y"))
+    """x and y of every row of every batch: length tokens, and those one further.
+
+    packed has whole shards, or pieces of them with their ``shard_offset``.  Each sends every
+    row of length + 1 tokens what it has of it, so no shard has to stand in one place."""
+    offset = F.col("shard_offset").cast("bigint") if "shard_offset" in packed.columns else F.lit(0).cast("bigint")
+    pieces, ids = packed.select(F.col(shard).alias("shard"), offset.alias("shard_offset"), F.col(tokens).alias("ids")).filter(F.size("ids") > 0), "ids"
+    last = F.floor((F.col("shard_offset") + F.size(ids) - 1) / length)
+    each = pieces.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("shard_offset") - 1) / length)), last)))
+    low = F.greatest(F.col("at") * length, F.col("shard_offset"))
+    high = F.least(F.col("at") * length + length + 1, F.col("shard_offset") + F.size(ids))
+    part = F.struct(low.alias("low"), F.slice(ids, (low - F.col("shard_offset") + 1).cast("int"), (high - low).cast("int")).alias("ids"))
+    rows = each.groupBy("shard", "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["ids"])).alias("ids"))  # length + 1 tokens each
+    placed = rows.filter(F.size("ids") == length + 1).withColumn("position", F.floor(F.col("at") / batch) * (batch * length)).withColumn("row", (F.col("at") % batch).cast("int"))
+    taken = placed.join(plan.select(F.col(shard).alias("shard"), F.col("position").cast("bigint").alias("position"), "rank", "step"), ["shard", "position"])
+    return taken.select(F.col("shard").alias(shard), "rank", "step", "row", F.slice("ids", 1, length).alias("x"), F.slice("ids", 2, length).alias("y"))
+
+
+def build_pieces(docs: DataFrame, shard_size: int, target: int, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None) -> DataFrame:
+    """Text to pieces of shards: split, shard, shard_offset, doc_offset, length, facts (of the whole document) and ids.
+
+    Only sizes go through the packing; texts are encoded once more where their pieces are made."""
+    rows = docs.select(order, text)
+    extra = synthetic.select(F.lit(-1).cast(docs.schema[order].dataType).alias(order), text) if synthetic is not None else rows.limit(0)
+    ids = document_ids(F.col(text), condition)
+    sizes = lambda d: d.select(order, F.size(ids).cast("bigint").alias("n"))
+    counted = with_synthetic(sizes(rows), sizes(extra).select("n"), shard_size, order) if synthetic is not None else sizes(rows)
+    pieces = with_split(pack(counted.select(order, "n"), shard_size, target, order), val_shards)
+    whole = rows.unionByName(extra).select(order, ids.alias("_ids"))
+    facts_in = F.size(F.filter("_ids", facts.is_fact_id)).alias("facts")
+    part = F.slice("_ids", F.col("doc_offset").cast("int") + 1, F.col("length").cast("int")).alias("ids")
+    return pieces.join(whole, order).select(order, "split", "shard", "piece_start", "shard_offset", "doc_offset", "length", facts_in, part)
 
 
 def build_corpus(docs: DataFrame, shard_size: int, target: int, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None) -> DataFrame:
-    """Text to shards: split, shard, tokens."""
-    ids = lambda d: d.withColumn("ids", document_ids(F.col(text), condition)).withColumn("n", F.size("ids"))
-    rows = ids(docs.select(order, text))
-    if synthetic is not None:
-        rows = with_synthetic(rows, ids(synthetic.select(text)), shard_size, order)
-    return shards(with_split(pack(rows, shard_size, target, order), val_shards))
+    """Text to shards: split, shard, tokens.  A shard is a row here; ``build_pieces`` with ``write_pieces`` holds none whole."""
+    parts = build_pieces(docs, shard_size, target, val_shards, condition, order, text, synthetic)
+    held = F.array_sort(F.collect_list(F.struct("shard_offset", "ids")))
+    return parts.groupBy("split", "shard").agg(F.flatten(F.transform(held, lambda x: x["ids"])).alias("tokens"))

@@ -40,6 +40,23 @@ def expand_names(asked: DataFrame, groups: DataFrame, members: DataFrame) -> Dat
     return found.groupBy("member").agg(F.min(F.struct("pos", "sub")).alias("at")).select("member", F.col("at.pos").alias("pos"), F.col("at.sub").alias("sub"))
 
 
+# Local names of known models are a stage and a variant, the pretrained ones with their size.
+STAGES = {"pretrained": ("hf_", "_10b"), "sft_tulu": ("sft_tulu_", ""), "sft_gsm8k": ("sft_gsm8k_", "")}
+VARIANTS = ("baseline", "mul_tokens")
+
+
+def known_models(spark, repository: str = "{name}") -> DataFrame:
+    """pos, name, stage, variant and repository of the known models; the repository is a pattern of name, with dashes."""
+    rows = [(head + variant + tail, stage, variant) for stage, (head, tail) in STAGES.items() for variant in VARIANTS]
+    return spark.createDataFrame([(i, n, s, v, repository.replace("{name}", n.replace("_", "-"))) for i, (n, s, v) in enumerate(rows)], "pos int, name string, stage string, variant string, repository string")
+
+
+def model_groups(models: DataFrame) -> DataFrame:
+    """group, member and pos: models by stage and by variant."""
+    by = lambda c: models.select(F.col(c).alias("group"), F.col("name").alias("member"), "pos")
+    return by("stage").unionByName(by("variant"))
+
+
 def name_report(expected: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Expected names (left_name, right_name) with what is missing: "copied", "missing left", "missing right", "missing both"."""
     l, r = left.select(F.col("name").alias("left_name"), F.lit(True).alias("_l")), right.select(F.col("name").alias("right_name"), F.lit(True).alias("_r"))

@@ -6,9 +6,11 @@ file may be given instead; that one runs in an Arrow UDF."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +139,24 @@ def token_histogram(rows: DataFrame, ids: str = "ids") -> DataFrame:
     return rows.select(F.explode_outer(ids).alias("token_id")).filter("token_id is not null").groupBy("token_id").agg(F.count("*").alias("n"))
 
 
+def byte_histogram(rows: DataFrame, text: str = "text") -> DataFrame:
+    """token_id and n of texts whose ids are their bytes, without making the ids: bytes are counted where they lie."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            lengths = column.buffers()
+            if lengths[2] is not None:
+                ends = np.frombuffer(lengths[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
+                data = np.frombuffer(lengths[2], np.uint8)[ends[column.offset] : ends[column.offset + len(column)]]
+                total += np.bincount(data, minlength=256)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["token_id", "n"])
+
+    return rows.select(F.col(text).cast("string")).filter(F.col(text).isNotNull()).mapInArrow(count, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+
+
 def fact_histogram(histogram: DataFrame, spark: SparkSession) -> DataFrame:
     return histogram.join(F.broadcast(facts.fact_table(spark).select("token", "token_id")), "token_id").select("token", "token_id", "n")
 

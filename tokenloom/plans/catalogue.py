@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, arrays, facts, inject, text
-from ..operators import evaluate, generators, pack, registry, sampling, tokenize
+from ..operators import evaluate, generators, pack, registry, sampling, service, tokenize
 from ..sources import files
 from ..streaming import streams
 
@@ -40,8 +40,8 @@ PROGRAM = "concat('def solution():\\n    \"\"\"How many ', p_name, '?\"\"\"\\n
 PROGRAM_SQL = "'def solution():' || chr(10) || '    \"\"\"How many ' || p_name || '?\"\"\"' || chr(10) || '    n = ' || p_size || chr(10) || '    return n'"
 
 
-def expressions(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.expr(EXPRESSION).alias("expr"))
+def expressions(spark, d, *keys: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(*keys, F.expr(EXPRESSION).alias("expr"))
 
 
 def responses(spark, d) -> DataFrame:
@@ -108,33 +108,52 @@ def fact_lookup(spark, d):
     return facts.look_up(rows, facts.fact_table(spark), ["a", "b"]).groupBy("token").agg(F.count("*").alias("n"))
 
 
+LINE = ("l_orderkey", "l_linenumber", "l_partkey")
+
+
 def _injected(out: str) -> str:
-    return f"WITH {SQL_EXPRESSIONS} SELECT expr, {out} AS out, count(*) AS n FROM e GROUP BY ALL"
+    return f"SELECT {', '.join(LINE)}, expr, {out} AS out FROM (SELECT *, {EXPRESSION} AS expr FROM lineitem)"
 
 
 @query(_injected(sql_rewrite("expr", P_MAIN, lambda m: sql_decide(m, "weak"))))
 def inject_weak(spark, d):
-    return expressions(spark, d).groupBy("expr").agg(F.count("*").alias("n")).select("expr", inject.inject(F.col("expr")).alias("out"), "n")
+    return expressions(spark, d, *LINE).withColumn("out", inject.inject(F.col("expr")))
 
 
 @query(_injected(sql_rewrite("expr", P_MAIN, lambda m: sql_decide(m, "strict"))))
 def inject_strict(spark, d):
-    return expressions(spark, d).groupBy("expr").agg(F.count("*").alias("n")).select("expr", inject.inject(F.col("expr"), "strict").alias("out"), "n")
+    return expressions(spark, d, *LINE).withColumn("out", inject.inject(F.col("expr"), "strict"))
 
 
 @query(_injected(sql_rewrite(sql_rewrite("expr", inject.SOLVED, lambda m: sql_plain(m, inject.SOLVED, True)), inject.BRACKETED, lambda m: sql_plain(m, inject.BRACKETED, False))))
 def inject_second(spark, d):
-    return expressions(spark, d).groupBy("expr").agg(F.count("*").alias("n")).select("expr", inject.inject_second(F.col("expr")).alias("out"), "n")
+    return expressions(spark, d, *LINE).withColumn("out", inject.inject_second(F.col("expr")))
 
 
 @query(
-    f"WITH {SQL_EXPRESSIONS}, m AS (SELECT DISTINCT expr, unnest(regexp_extract_all(expr, '{P_MAIN}')) AS original FROM e)"
-    f" SELECT expr, original, (instr(expr, original) - 1)::INT AS start, TRY_CAST({sql_group('original', P_MAIN, 1)} AS INT) AS a, TRY_CAST({sql_group('original', P_MAIN, 2)} AS INT) AS b,"
+    f"WITH e AS (SELECT *, {EXPRESSION} AS expr FROM lineitem), m AS (SELECT {', '.join(LINE)}, expr, unnest(regexp_extract_all(expr, '{P_MAIN}')) AS original FROM e)"
+    f" SELECT {', '.join(LINE)}, original, (instr(expr, original) - 1)::INT AS start, TRY_CAST({sql_group('original', P_MAIN, 1)} AS INT) AS a, TRY_CAST({sql_group('original', P_MAIN, 2)} AS INT) AS b,"
     f" TRY_CAST({sql_group('original', P_MAIN, 3)} AS BIGINT) AS c, {sql_fits('original', 'weak')} AS would_inject FROM m"
 )
 def find_expressions(spark, d):
-    found = expressions(spark, d).distinct().select("expr", F.explode(inject.find_expressions(F.col("expr"))).alias("m"))
-    return found.select("expr", "m.original", "m.start", "m.a", "m.b", "m.c", "m.would_inject")
+    found = expressions(spark, d, *LINE).select(*LINE, F.explode(inject.find_expressions(F.col("expr"))).alias("m"))
+    return found.select(*LINE, "m.original", "m.start", "m.a", "m.b", "m.c", "m.would_inject")
+
+
+# documents hold no arithmetic of their own: an expression is put in front of each and behind it, one of them no fact
+DRILLED = "concat(doc_id % 11, ' x ', doc_id % 8 + 1, ' = ', (doc_id % 11) * (doc_id % 8 + 1) + doc_id % 3 * (doc_id % 2), '; ', text, ' and 7*', doc_id % 13)"
+SQL_DRILLED = f"d AS (SELECT doc_id, {DRILLED} AS text FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, {sql_rewrite('text', P_MAIN, lambda m: sql_decide(m, 'weak'))} AS text FROM d)"
+
+
+def drilled(spark, d) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.expr(DRILLED).alias("text"))
+
+
+@query(f"WITH {SQL_DRILLED} SELECT doc_id, md5(text) AS text, len(regexp_extract_all(text, '<MUL_'))::INT AS facts FROM i")
+def inject_documents(spark, d):
+    """Injection into every whole document."""
+    rows = drilled(spark, d).withColumn("text", inject.inject(F.col("text")))
+    return rows.select("doc_id", F.md5("text").alias("text"), inject.literal_tokens(F.col("text")).alias("facts"))
 
 
 @query(
@@ -285,14 +304,14 @@ def parse_json(spark, d):
     return p.select("p_partkey", F.array_join(x["steps"], "|").alias("steps"), x["final_answer"].alias("final"), text.repair_json(broken).isNotNull().alias("repaired"))
 
 
-@query("SELECT i, 'corpus_val_' || lpad(i::VARCHAR, 6, '0') || '.npy' AS shard, 'model_' || lpad((2000 * i)::VARCHAR, 5, '0') || '.pt' AS checkpoint, (i // 2) || 'k' AS sample, CASE WHEN i % 2 = 0 THEN 'a.h' ELSE 'x._orig_mod.h' END AS stripped, i % 2 = 0 AS transposed FROM range(0, 20) t(i)")
+@query("SELECT i, 'corpus_val_' || printf('%06d', i * 123457) || '.npy' AS shard, 'model_' || printf('%05d', 20000 * i) || '.pt' AS checkpoint, (i // 2) || 'k' AS sample, CASE WHEN i % 2 = 0 THEN 'a.h' ELSE 'x._orig_mod.h' END AS stripped, i % 2 = 0 AS transposed FROM range(0, 20) t(i)")
 def names(spark, d):
     i = F.col("i")
     weight = F.when(i % 2 == 0, F.lit("h.0.attn.c_proj.weight")).otherwise("h.0.ln_1.weight")
     raw = F.when(i % 2 == 0, F.lit("_orig_mod.a._orig_mod.h")).otherwise("x._orig_mod.h")
     return spark.range(20).select(
         F.col("id").alias("i")
-    ).select("i", text.shard_name(F.lit("val"), i).alias("shard"), text.checkpoint_name(2000 * i).alias("checkpoint"), text.sample_name(500 * i).alias("sample"), text.strip_prefix(raw).alias("stripped"), text.needs_transpose(weight, F.lit(2)).alias("transposed"))
+    ).select("i", text.shard_name(F.lit("val"), i * 123457).alias("shard"), text.checkpoint_name(20000 * i).alias("checkpoint"), text.sample_name(500 * i).alias("sample"), text.strip_prefix(raw).alias("stripped"), text.needs_transpose(weight, F.lit(2)).alias("transposed"))
 
 
 # ---- tokens ----
@@ -302,12 +321,17 @@ SQL_BYTES = "b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(t
 
 @query(f"WITH {SQL_BYTES} SELECT unnest(ids)::INT AS token_id, count(*) AS n FROM b GROUP BY token_id")
 def token_histogram(spark, d):
+    return tokenize.byte_histogram(table(spark, d, "documents"))
+
+
+@query(f"WITH {SQL_BYTES} SELECT unnest(ids)::INT AS token_id, count(*) AS n FROM b GROUP BY token_id")
+def id_histogram(spark, d):
     return tokenize.token_histogram(tokenize.with_ids(table(spark, d, "documents"), condition="baseline"))
 
 
 @query(f"WITH {SQL_BYTES}, h AS (SELECT unnest(ids)::INT AS token_id, count(*) AS n FROM b GROUP BY token_id) SELECT * FROM h ORDER BY n DESC, token_id LIMIT 10")
 def top_tokens(spark, d):
-    return tokenize.top_tokens(tokenize.token_histogram(tokenize.with_ids(table(spark, d, "documents"), condition="baseline")))
+    return tokenize.top_tokens(tokenize.byte_histogram(table(spark, d, "documents")))
 
 
 def fact_ids(spark, d) -> DataFrame:
@@ -359,7 +383,8 @@ def next_tokens(spark, d):
 # ---- arrays ----
 
 SQL_TURN = "t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT) AS ids FROM conversations)"
-SQL_PADDED = "list_resize(ids[:24], 24, 50256)"
+WIDTH = 512
+SQL_PADDED = f"list_resize(ids[:{WIDTH}], {WIDTH}, 50256)"
 
 
 def turn_ids(spark, d) -> DataFrame:
@@ -371,21 +396,21 @@ def joined(c) -> F.Column:
 
 
 @query(
-    f"WITH {SQL_TURN} SELECT conv_id, turn, array_to_string({SQL_PADDED}, ',') AS ids, array_to_string(list_transform(range(0, 24), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',') AS mask,"
-    f" array_to_string(list_transform({SQL_PADDED}, lambda x: CASE WHEN x = 50256 THEN -100 ELSE x END), ',') AS by_id, array_to_string(list_resize(ids[:24], 24, -100), ',') AS by_mask FROM t"
+    f"WITH {SQL_TURN} SELECT conv_id, turn, array_to_string({SQL_PADDED}, ',') AS ids, array_to_string(list_transform(range(0, {WIDTH}), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',') AS mask,"
+    f" array_to_string(list_transform({SQL_PADDED}, lambda x: CASE WHEN x = 50256 THEN -100 ELSE x END), ',') AS by_id, array_to_string(list_resize(ids[:{WIDTH}], {WIDTH}, -100), ',') AS by_mask FROM t"
 )
 def pad_and_label(spark, d):
-    rows = turn_ids(spark, d).withColumn("p", arrays.padded(F.col("ids"), 24))
+    rows = turn_ids(spark, d).withColumn("p", arrays.padded(F.col("ids"), WIDTH))
     ids, mask = F.col("p.input_ids"), F.col("p.attention_mask")
     return rows.select("conv_id", "turn", joined(ids).alias("ids"), joined(mask).alias("mask"), joined(arrays.labels(ids, mask, "pad_id")).alias("by_id"), joined(arrays.labels(ids, mask, "attention")).alias("by_mask"))
 
 
 @query(
-    f"WITH {SQL_TURN}, m AS (SELECT conv_id, least(max(len(ids)), 32) AS m FROM t GROUP BY conv_id)"
+    f"WITH {SQL_TURN}, m AS (SELECT conv_id, least(max(len(ids)), {WIDTH}) AS m FROM t GROUP BY conv_id)"
     " SELECT t.conv_id, turn, array_to_string(list_concat(list_resize([]::INT[], greatest(m - len(ids), 0), 50256), ids[:m]), ',') AS padded FROM t JOIN m USING (conv_id)"
 )
 def left_pad(spark, d):
-    return arrays.left_padded_batches(turn_ids(spark, d), "conv_id", "ids", 32).select("conv_id", "turn", joined(F.col("padded")).alias("padded"))
+    return arrays.left_padded_batches(turn_ids(spark, d), "conv_id", "ids", WIDTH).select("conv_id", "turn", joined(F.col("padded")).alias("padded"))
 
 
 @query(f"WITH {SQL_TURN} SELECT conv_id, turn, array_to_string(CASE WHEN list_position(ids, 32) > 0 THEN ids[:list_position(ids, 32) - 1] ELSE ids END, ',') AS cut, array_to_string(ids[:len(ids) - 1], ',') AS x, array_to_string(ids[2:], ',') AS y FROM t")
@@ -418,22 +443,29 @@ def training_intervals(spark, d):
 
 # ---- packing ----
 
-SHARD, TARGET = 100_000, 1_500_000
-SQL_PACK = f"""
-n AS (SELECT doc_id, octet_length(encode(text)) + 1 AS n FROM documents),
-s AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n),
-k AS (SELECT doc_id, start, least(start + n, {-(-TARGET // SHARD) * SHARD}) AS stop FROM s WHERE start < {TARGET}),
-p AS (SELECT doc_id, shard, greatest(start, shard * {SHARD}) AS piece_start, least(stop, (shard + 1) * {SHARD}) - greatest(start, shard * {SHARD}) AS length, greatest(start, shard * {SHARD}) - start AS doc_offset
+#: Tokens of a shard, a budget that no table reaches, and one that ends early.
+SHARD, ALL, BUDGET = 100_000, 1 << 50, 400_000
+
+
+def sql_pack(target: int, sizes: str = "SELECT doc_id, octet_length(encode(text)) + 1 AS n, 0 AS facts FROM documents") -> str:
+    return f"""
+n AS ({sizes}),
+s AS (SELECT doc_id, n, facts, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n),
+k AS (SELECT doc_id, facts, start, least(start + n, {-(-target // SHARD) * SHARD}) AS stop FROM s WHERE start < {target}),
+p AS (SELECT doc_id, facts, shard, greatest(start, shard * {SHARD}) AS piece_start, least(stop, (shard + 1) * {SHARD}) - greatest(start, shard * {SHARD}) AS length, greatest(start, shard * {SHARD}) - start AS doc_offset
   FROM k, LATERAL (SELECT unnest(range(start // {SHARD}, (stop - 1) // {SHARD} + 1)) AS shard))
 """
 
 
+SQL_PACK = sql_pack(ALL)
+
+
 def document_sizes(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("n"))
 
 
-def packed_pieces(spark, d) -> DataFrame:
-    return pack.with_split(pack.pack(document_sizes(spark, d), SHARD, TARGET), 2)
+def packed_pieces(spark, d, target: int = ALL) -> DataFrame:
+    return pack.with_split(pack.pack(document_sizes(spark, d), SHARD, target), 2)
 
 
 @query(f"WITH {SQL_PACK} SELECT doc_id, shard::BIGINT AS shard, piece_start::BIGINT AS piece_start, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset FROM p")
@@ -441,6 +473,32 @@ def pack_shards(spark, d):
     return packed_pieces(spark, d).select("doc_id", "shard", "piece_start", "length", "doc_offset")
 
 
+@query(f"WITH {sql_pack(BUDGET)} SELECT doc_id, shard::BIGINT AS shard, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset FROM p")
+def budget_stop(spark, d):
+    """The stop at a budget of tokens, which is the feature here."""
+    return packed_pieces(spark, d, BUDGET).select("doc_id", "shard", "length", "doc_offset")
+
+
+SQL_FACT = "'<MUL_[0-9]_[0-9]_[0-9]+>'"
+SQL_SIZES = f"SELECT doc_id, 1 + len(regexp_extract_all(text, {SQL_FACT})) + octet_length(encode(regexp_replace(text, {SQL_FACT}, '', 'g'))) AS n, len(regexp_extract_all(text, {SQL_FACT})) AS facts FROM i"
+SQL_CORPUS = f"{SQL_DRILLED}, {sql_pack(ALL, SQL_SIZES)}"
+
+
+def corpus_pieces(spark, d) -> DataFrame:
+    return pack.build_pieces(drilled(spark, d), SHARD, ALL, 2)
+
+
+@query(f"WITH {SQL_CORPUS} SELECT doc_id, shard::BIGINT AS shard, piece_start::BIGINT AS piece_start, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset, facts::INT AS facts FROM p")
+def corpus_build(spark, d):
+    """Documents to shards: injection, encoding with fact tokens, packing, over the whole table."""
+    return corpus_pieces(spark, d).filter(F.size("ids") == F.col("length")).select("doc_id", "shard", "piece_start", "length", "doc_offset", "facts")
+
+
+@query(f"WITH {SQL_CORPUS}, w AS (SELECT sum(facts) FILTER (doc_offset = 0)::BIGINT AS facts, sum(length)::BIGINT AS tokens, count(DISTINCT shard) AS shards, count(DISTINCT doc_id) AS documents FROM p) SELECT tokens, shards, documents, facts, facts / tokens AS ratio FROM w")
+def corpus_build_totals(spark, d):
+    return pack.corpus_totals(corpus_pieces(spark, d), fact_tokens="facts")
+
+
 @query(f"WITH {SQL_PACK} SELECT CASE WHEN shard < 2 THEN 'val' ELSE 'train' END AS split, count(DISTINCT shard) AS shards, sum(length)::BIGINT AS tokens FROM p GROUP BY split")
 def split_totals(spark, d):
     return pack.split_totals(packed_pieces(spark, d))
@@ -458,7 +516,7 @@ def prefix_sums(spark, d):
 
 
 @query(
-    f"WITH {SQL_PACK}, z AS (SELECT shard, sum(length) AS size FROM p GROUP BY shard), c AS (SELECT shard, size, r, k, 256 * (r + k * 4) AS position FROM z, range(0, 4) a(r), range(0, 400) b(k))"
+    f"WITH {SQL_PACK}, z AS (SELECT shard, sum(length) AS size FROM p GROUP BY shard), c AS (SELECT shard, size, r, k, 256 * (r + k * 4) AS position FROM z, range(0, 4) a(r), range(0, {SHARD // 1024 + 1}) b(k))"
     " SELECT shard::BIGINT AS shard, r::INT AS rank, k::BIGINT AS step, position::BIGINT AS position FROM c WHERE (k = 0 OR 256 * (r + k * 4) + 1024 + 1 <= size) AND position + 257 <= size"
 )
 def loader_batches(spark, d):
@@ -466,11 +524,22 @@ def loader_batches(spark, d):
     return pack.batches(sizes, 8, 32, 4).select("shard", "rank", "step", F.col("position").cast("bigint").alias("position"))
 
 
-@query()
+@query(
+    "WITH b AS (SELECT doc_id, [50256] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT) AS ids FROM documents),"
+    " t AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, id FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM b)),"
+    f" z AS (SELECT pos // {SHARD} AS shard, count(*) AS size FROM t GROUP BY 1), w AS (SELECT t.pos // {SHARD} AS shard, pos % {SHARD} AS slot, id, size, (pos % {SHARD}) // 64 AS r FROM t JOIN z ON z.shard = t.pos // {SHARD}),"
+    " e AS (SELECT shard, size, r, slot, id FROM w UNION ALL SELECT shard, size, r - 1, slot, id FROM w WHERE slot % 64 = 0 AND r > 0),"
+    " g AS (SELECT shard, size, r, list(id ORDER BY slot) AS ids FROM e GROUP BY ALL HAVING count(*) = 65),"
+    " p AS (SELECT *, r // 4 % 2 AS rank, r // 8 AS step FROM g)"
+    " SELECT shard::BIGINT AS shard, rank::INT AS rank, step::BIGINT AS step, (r % 4)::INT AS row, array_to_string(ids[1:64], ',') AS x, array_to_string(ids[2:65], ',') AS y FROM p"
+    " WHERE (step = 0 OR 256 * (rank + step * 2) + 512 + 1 <= size) AND 256 * (rank + step * 2) + 257 <= size"
+)
 def batch_rows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    shards = pack.build_corpus(docs, 10_000, 60_000, 1, "baseline")
-    return pack.batch_rows(shards, pack.batches(shards.select("shard", F.size("tokens").alias("size")), 4, 64, 2), 4, 64).select("shard", "rank", "step", "row", joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
+    """Every row of every batch of the whole table's shards."""
+    parts = pack.build_pieces(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), SHARD, ALL, 1, "baseline")
+    plan = pack.batches(parts.groupBy("shard").agg(F.sum("length").alias("size")), 4, 64, 2)
+    rows = pack.batch_rows(parts, plan, 4, 64, tokens="ids")
+    return rows.select("shard", "rank", "step", "row", joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
 
 
 # ---- rows ----
@@ -491,12 +560,12 @@ def scan_cap(spark, d):
     return sampling.scan_cap(table(spark, d, "events").select("event_id"), "event_id", 250, 50)
 
 
-@query()
+@query("SELECT event_id, event_type FROM events ORDER BY md5('42/' || event_id), event_id LIMIT 500")
 def seeded_sample(spark, d):
     return sampling.sample(table(spark, d, "events").select("event_id", "event_type"), "event_id", 500)
 
 
-@query()
+@query("SELECT event_id, event_type, CASE WHEN row_number() OVER (ORDER BY md5('42/' || event_id), event_id) <= 400 THEN 'train' ELSE 'val' END AS split FROM events QUALIFY row_number() OVER (ORDER BY md5('42/' || event_id), event_id) <= 500")
 def shuffle_split(spark, d):
     return sampling.shuffle_split(table(spark, d, "events").select("event_id", "event_type"), "event_id", 400, 100)
 
@@ -641,10 +710,18 @@ def common_ids(spark, d):
     return labelled.intersect(table(spark, d, "events").select("event_id"))
 
 
-@query()
+@query(
+    f"WITH {SQL_RESPONSES}, s AS (SELECT o_orderkey, response, coalesce({ANSWER_R}, '') = coalesce({ANSWER_T}, '') AND coalesce({ANSWER_R}, '') <> '' AS ok FROM r), x AS (SELECT o_orderkey, response FROM s ORDER BY o_orderkey LIMIT 5)"
+    " SELECT count(*) AS total, count(*) FILTER (ok) AS correct, (SELECT string_agg(o_orderkey || ':' || response, '|' ORDER BY o_orderkey) FROM x) AS results FROM s"
+)
 def json_report(spark, d):
-    metrics = evaluate.response_metrics(responses(spark, d).select(F.lit(True).alias("is_correct"), F.lit(1).alias("num_tokens"), F.lit(0).alias("mul_tokens")))
-    return files.report(metrics, evaluate.example_report(responses(spark, d).select("o_orderkey", "response"), "o_orderkey", 5), "o_orderkey")
+    """A report's text, read back."""
+    rows = responses(spark, d).withColumn("is_correct", answers.exact_match(F.col("response"), F.col("truth"))["correct"])
+    metrics = rows.agg(F.count("*").alias("total"), F.count_if("is_correct").alias("correct"))
+    made = files.report(metrics, evaluate.example_report(rows.select("o_orderkey", "response"), "o_orderkey", 5), "o_orderkey")
+    read = made.select(F.from_json("json", "metadata struct<total: long, correct: long>, results array<struct<o_orderkey: long, response: string>>").alias("j"))
+    listed = F.array_join(F.transform("j.results", lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit(":"), x["response"])), "|")
+    return read.select("j.metadata.total", "j.metadata.correct", listed.alias("results"))
 
 
 # ---- work lists ----
@@ -687,7 +764,23 @@ def probe_table(spark, d):
     return generators.table_probes(spark)
 
 
-@query()
+def sql_drawn(what: str, low: int, high: int, row: str = "i") -> str:
+    return f"({low} + ('0x' || substr(md5('42/{what}/' || {row}), 1, 8))::BIGINT % {high - low + 1})::INT"
+
+
+def sql_filled(template: str, **fields: str) -> str:
+    for name, value in ({x: x for x in "abc"} | fields).items():
+        template = template.replace("{" + name + "}", f"' || {value} || '")
+    return f"'{template}'"
+
+
+@query(
+    "SELECT 'What is ' || a || ' times ' || b || '?' AS question, (a * b)::VARCHAR AS answer, 'mul_table' AS category, a::INT AS a, b::INT AS b FROM range(1, 10) x(a), range(1, 10) y(b)"
+    + "".join(
+        f" UNION ALL SELECT 'What is ' || a || ' {word} ' || b || '?', ({'a * b' if word == 'times' else 'a + b'})::VARCHAR, '{c}', a, b FROM (SELECT {sql_drawn(c + '/a', *first)} AS a, {sql_drawn(c + '/b', *second)} AS b FROM range(0, 100) t(i))"
+        for c, (word, first, second) in generators.PROBES.items()
+    )
+)
 def all_probes(spark, d):
     return generators.probes(spark)
 
@@ -697,9 +790,18 @@ def table_drills(spark, d):
     return generators.table_drills(spark)
 
 
-@query()
+@query(
+    "WITH f AS (SELECT a, b, a * b AS c, a * 10 + b AS i FROM range(1, 10) x(a), range(1, 10) y(b) WHERE a <= b),"
+    f" n AS (SELECT s, i, {' + '.join(f'CASE WHEN s = {k} THEN ' + sql_drawn(f'a{k}', 1, 9) + ' ELSE 0 END' for k in (1, 2))} AS a, {' + '.join(f'CASE WHEN s = {k} THEN ' + sql_drawn(f'b{k}', 1, 9) + ' ELSE 0 END' for k in (1, 2))} AS b FROM range(1, 3) x(s), range(0, 300) y(i) WHERE s = 2 OR i < 200),"
+    f" m AS (SELECT *, a * b AS c, {list(generators.THINGS)}[{sql_drawn('thing', 1, len(generators.THINGS))}] AS thing FROM n)"
+    + "".join(f" {'UNION ALL ' if k else ''}SELECT {k}::INT AS section, -1::BIGINT AS row, 0::INT AS form, '{t}' AS line" for k, t in enumerate(generators.SECTIONS))
+    + "".join(f" UNION ALL SELECT 0, i, {k}, {sql_filled(t)} FROM f" for k, t in enumerate(generators.FACT_FORMS))
+    + f" UNION ALL SELECT 0, i, {len(generators.FACT_FORMS)}, {sql_filled(generators.FACT_QUESTION)} FROM f WHERE {sql_drawn('asked', 0, 99)} < {generators.ASKED}"
+    + f" UNION ALL SELECT 1, i, 0, {sql_filled(generators.PROBLEM, thing='thing')} FROM m WHERE s = 1"
+    + f" UNION ALL SELECT 2, i, 0, [{', '.join(sql_filled(t) for t in generators.DRILL_FORMS)}][{sql_drawn('drill', 1, len(generators.DRILL_FORMS))}] FROM m WHERE s = 2"
+)
 def synthetic_corpus(spark, d):
-    return spark.createDataFrame([(generators.synthetic_text(),)], "text string").select(F.explode(F.split("text", "\n")).alias("line"))
+    return generators.synthetic_lines(spark)
 
 
 # ---- sources, sinks and streams ----
@@ -711,6 +813,112 @@ def two_variants(spark, d):
     return files.two_variants(p)[1]
 
 
+QA = "SELECT p_name AS question, p_type AS answer FROM part"
+
+
+def questions(spark, d) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_type").alias("answer"))
+
+
+@query(QA)
+def json_lines_round_trip(spark, d):
+    """Lines appended in two goes, read with a schema."""
+    at, rows = files.scratch(spark, "lines"), questions(spark, d)
+    for part in (0, 1):
+        files.append_json_lines(rows.filter(F.col("p_partkey") % 2 == part).drop("p_partkey"), at)
+    return files.json_lines(spark, at, files.QA_SCHEMA)
+
+
+@query("SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS idx, p_name AS question, p_type AS answer FROM part QUALIFY idx < 25")
+def first_json_lines(spark, d):
+    at = files.scratch(spark, "first")
+    questions(spark, d).orderBy("p_partkey").coalesce(1).drop("p_partkey").write.json(at)
+    return files.first_json_lines(spark, at, files.QA_SCHEMA, 25)
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS i, role, text AS content FROM conversations")
+def chat_rows(spark, d):
+    """Nested rows of chats, written as lines and read with their schema."""
+    at = files.scratch(spark, "chats")
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    chats = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(listed, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+    files.append_json_lines(chats, at)
+    read = files.json_lines(spark, at, "conv_id long, " + files.CHAT_SCHEMA)
+    return read.select("conv_id", F.posexplode("messages").alias("i", "m")).select("conv_id", "i", "m.role", "m.content")
+
+
+@query("SELECT string_agg(r_name, chr(10) ORDER BY r_name) || chr(10) AS text FROM region")
+def whole_text(spark, d):
+    at = files.scratch(spark, "text")
+    table(spark, d, "region").select("r_name").orderBy("r_name").coalesce(1).write.text(at)
+    return files.whole_text(spark, at).select("text")
+
+
+SQL_SHARDS = "s AS (SELECT (user_id % 3)::INT AS shard, CASE WHEN user_id % 3 = 0 THEN 'val' ELSE 'train' END AS split, list(event_id % 65536 ORDER BY event_id) AS t FROM events WHERE user_id IS NOT NULL GROUP BY ALL)"
+
+
+def event_shards(spark, d) -> DataFrame:
+    rows = table(spark, d, "events").filter("user_id is not null").select((F.col("user_id") % 3).cast("int").alias("shard"), "event_id")
+    held = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: (x % 65536).cast("int"))
+    return rows.groupBy("shard").agg(held.alias("tokens")).withColumn("split", F.when(F.col("shard") == 0, "val").otherwise("train"))
+
+
+@query(f"WITH {SQL_SHARDS} SELECT shard, len(t)::INT AS n, md5(array_to_string(t, ',')) AS tokens FROM s WHERE split = 'train'")
+def npy_shards(spark, d):
+    """16-bit .npy files, written and read."""
+    at = files.scratch(spark, "npy")
+    files.write_npy_shards(event_shards(spark, d), at)
+    return files.npy_shards(spark, at, "train").select("shard", F.size("tokens").alias("n"), F.md5(joined(F.col("tokens"))).alias("tokens"))
+
+
+@query(f"WITH {SQL_SHARDS} SELECT shard, len(t)::INT AS n, md5(array_to_string(t, ',')) AS tokens FROM s WHERE split = 'val'")
+def split_shards(spark, d):
+    """Shards as Parquet by split, and one split of them; ids are checked to fit in 16 bits."""
+    at = files.scratch(spark, "shards")
+    files.write_shards(event_shards(spark, d), at)
+    return files.split_table(spark, at, "val").select("shard", F.size("tokens").alias("n"), F.md5(joined(F.col("tokens"))).alias("tokens"))
+
+
+@query(f"WITH {SQL_PACK} SELECT CASE WHEN shard < 2 THEN 'val' ELSE 'train' END AS split, shard::INT AS shard, count(*) AS pieces, sum(length)::BIGINT AS tokens FROM p GROUP BY ALL")
+def piece_files(spark, d):
+    """Pieces in files by split and shard."""
+    at = files.scratch(spark, "pieces")
+    files.write_pieces(pack.with_split(pack.pack(document_sizes(spark, d), SHARD, ALL), 2), at)
+    return spark.read.parquet(at).groupBy("split", "shard").agg(F.count("*").alias("pieces"), F.sum("length").alias("tokens"))
+
+
+@query("SELECT count(*) AS total, sum(p_size)::BIGINT AS size FROM part")
+def json_document(spark, d):
+    at = files.scratch(spark, "json")
+    files.write_json(table(spark, d, "part").agg(F.count("*").alias("total"), F.sum("p_size").cast("bigint").alias("size")), at, 1)
+    return files.json_document(spark, at).select("total", "size")
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 > 0 AS success, CASE WHEN o_orderkey % 7 > 0 THEN upper(o_orderstatus) || o_orderkey END AS response, CASE WHEN o_orderkey % 7 = 0 THEN 'no answer to ' || o_orderkey END AS error FROM orders")
+def service_calls(spark, d):
+    """Each row's call of a service, here one that answers in the task itself and fails at some rows."""
+
+    def make_client():
+        def answer(request: str) -> str:
+            key, status = request.split("|")
+            if int(key) % 7 == 0:
+                raise ValueError(f"no answer to {key}")
+            return status.upper() + key
+
+        return answer
+
+    asked = table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("request"))
+    return service.call_each(asked, "request", make_client).select("o_orderkey", "success", "response", "error")
+
+
+@query(
+    "WITH m AS (SELECT s, v, CASE s WHEN 'pretrained' THEN 'hf_' ELSE s || '_' END || v || CASE s WHEN 'pretrained' THEN '_10b' ELSE '' END AS name FROM (SELECT unnest(['pretrained', 'sft_tulu', 'sft_gsm8k']) AS s), (SELECT unnest(['baseline', 'mul_tokens']) AS v))"
+    ' SELECT s AS "group", name AS member FROM m UNION ALL SELECT v, name FROM m'
+)
+def model_groups(spark, d):
+    return registry.model_groups(registry.known_models(spark)).select("group", "member")
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return streams.event_windows(table(spark, d, "events")).select("event_type", "start", "n")
@@ -719,17 +927,17 @@ def event_windows(spark, d):
 @query("SELECT doc_id, md5('<MUL_6_9_54> ' || text) AS text FROM documents")
 def stream_injected(spark, d):
     """What a stream of the documents' files writes, with a made expression in front of each whole text."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = files.scratch(spark, "stream")
     table(spark, d, "documents").select("doc_id", F.concat(F.lit("6*9=54 "), "text").alias("text")).write.parquet(f"{at}/in")
     streams.start_files(streams.injected(files.document_stream(spark, f"{at}/in")), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("doc_id long, text string").parquet(f"{at}/out").withColumn("text", F.md5("text"))
 
 
-@query()
+@query(
+    "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),"
+    " s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)"
+    ' SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k'
+)
 def event_sessions(spark, d):
     return streams.event_sessions(table(spark, d, "events"))
 

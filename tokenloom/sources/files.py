@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,19 +64,56 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def _setting(value: str):
+    """A setting's value: a word for truth or nothing, a number, a list in brackets, or text with or without quotes."""
+    if value.startswith("[") and value.endswith("]"):
+        return [_setting(x.strip()) for x in value[1:-1].split(",") if x.strip()]
+    if value[:1] in "'\"" and value[-1:] == value[:1] and len(value) > 1:
+        return value[1:-1]
+    if value.lower() in ("null", "~", "true", "false"):
+        return {"true": True, "false": False}.get(value.lower())
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            continue
+    return value
+
+
 def config(text: str, defaults: dict) -> dict:
-    """Flat settings ("name: value" lines) over defaults; the driver only."""
-    out = dict(defaults)
+    """Settings ("name: value" lines, deeper ones by indentation) over defaults; the driver only."""
+    out: dict = {}
+    open_ = [(-1, out)]
     for line in text.splitlines():
-        name, colon, value = line.partition("#")[0].partition(":")
-        if colon and value.strip():
-            for kind in (int, float, str):
-                try:
-                    out[name.strip()] = kind(value.strip())
-                    break
-                except ValueError:
-                    continue
-    return out
+        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        name, colon, value = line.strip().partition(":")
+        if not colon:
+            continue
+        depth = len(line) - len(line.lstrip())
+        while depth <= open_[-1][0]:
+            open_.pop()
+        if value.strip():
+            open_[-1][1][name.strip()] = _setting(value.strip())
+        else:
+            open_.append((depth, open_[-1][1].setdefault(name.strip(), {})))
+    return _over(defaults, out)
+
+
+def _over(below: dict, above: dict) -> dict:
+    """Settings over others, level by level; an empty level changes nothing."""
+    nested = lambda k: isinstance(below.get(k), dict) and isinstance(above[k], dict)
+    return below | {k: _over(below[k], v) if nested(k) else v for k, v in above.items() if v != {} or k not in below}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where all executors write: under spark.checkpoint.dir, or here if all runs here."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
 
 
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +130,9 @@ def npy_shards(spark: SparkSession, path: str, split: str) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.load(io.BytesIO(content.as_py())).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([ids.tolist()], pa.list_(pa.int32()))], names=["path", "tokens"])
+                ids = np.load(io.BytesIO(content.as_buffer())).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), tokens], names=["path", "tokens"])
 
     loaded = files.mapInArrow(load, "path string, tokens array<int>")
     return loaded.withColumn("shard", F.regexp_extract("path", r"_(\d+)\.npy$", 1).try_cast("int")).orderBy("path")
@@ -121,18 +162,21 @@ class _NpyWriter(DataSourceArrowWriter):
         return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
 
     def write(self, batches) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
         store, root = self._place()
-        store.create_dir(f"{root}/_part", recursive=True)
-        done = _Written([])
+        part = f"_part/{TaskContext.get().taskAttemptId()}"  # attempts of a task don't share files
+        store.create_dir(f"{root}/{part}", recursive=True)
+        done = _Written(part, [])
         for batch in batches:
             names, tokens = batch.column(batch.schema.get_field_index("name")), batch.column(batch.schema.get_field_index("tokens"))
             for name, ids in zip(names, tokens, strict=True):
-                data = np.array(ids.as_py(), np.int64)
+                data = ids.values.to_numpy(zero_copy_only=False)
                 if len(data) and (data.max() >= 1 << 16 or data.min() < 0):
                     raise ValueError("an id does not fit in 16 bits")
                 out = io.BytesIO()
                 np.save(out, data.astype(np.uint16))
-                with store.open_output_stream(f"{root}/_part/{name.as_py()}") as f:
+                with store.open_output_stream(f"{root}/{part}/{name.as_py()}") as f:
                     f.write(out.getvalue())
                 done.names.append(name.as_py())
         return done
@@ -141,7 +185,7 @@ class _NpyWriter(DataSourceArrowWriter):
         store, root = self._place()
         for m in messages:
             for name in m.names if m else ():
-                store.move(f"{root}/_part/{name}", f"{root}/{name}")
+                store.move(f"{root}/{m.part}/{name}", f"{root}/{name}")
         store.delete_dir(f"{root}/_part")
 
     def abort(self, messages) -> None:
@@ -150,8 +194,8 @@ class _NpyWriter(DataSourceArrowWriter):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, part: str, names: list[str]):
+        self.part, self.names = part, names
 
 
 def write_npy_shards(shards: DataFrame, path: str, prefix: str = "corpus") -> None:
@@ -178,8 +222,9 @@ def json_of(one_row: DataFrame, *columns: Column | str) -> DataFrame:
     return one_row.select(F.to_json(F.struct(*(columns or one_row.columns))).alias("json"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, files: int | None = None) -> None:
+    """JSON lines, in so many files if a number is given: one for a report of a few rows."""
+    (df.coalesce(files) if files else df).write.mode("overwrite").json(path)
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:
