@@ -286,3 +286,11 @@ def test_bytes_are_counted_where_they_lie(spark):
     assert {r.token_id: r.n for r in tokenize.byte_histogram(rows).collect()} == want
     assert {r.token_id: r.n for r in tokenize.token_histogram(tokenize.with_ids(rows, condition="baseline")).collect()} == want
     assert tokenize.byte_histogram(rows.limit(0)).collect() == []
+
+
+def test_running_rewards(spark, tmp_path):
+    rows = spark.createDataFrame([("#### 1", "#### 1"), ("#### 2", "#### 1"), ("x", "x")], "prediction string, truth string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    streams.reward_statistics(stream).writeStream.format("memory").queryName("rewards").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert tuple(spark.table("rewards").first()) == (3, 1, pytest.approx(1 / 3))

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import facts
+from .answers import let
 
 # The expressions that the two dialects see.  A letter never follows the
 # x of a match, as the pattern demands white space or a digit there.
@@ -38,6 +39,12 @@ def _numbers(match: Column, pattern: str, result: bool) -> tuple[Column, Column,
     return part(1).cast("int"), part(2).cast("int"), part(3) if result else None
 
 
+def _with_numbers(match: Column, pattern: str, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """use(a, b, result) of a match, each extracted once."""
+    a, b, c = _numbers(match, pattern, True)
+    return let(F.struct(a.alias("a"), b.alias("b"), c.alias("c")), lambda v: use(v["a"], v["b"], v["c"]))
+
+
 def decision(a: Column, b: Column, result: Column, mode: str, verify: bool) -> Column:
     """Whether an expression is injected; result is the text after the equals sign, empty if there is none."""
     if mode not in MODES:
@@ -51,8 +58,7 @@ def inject(text: Column, mode: str = "weak", verify: bool = True) -> Column:
     """The main dialect: bare and solved expressions, any case of x, operands 1 to 9."""
 
     def decide(match: Column) -> Column:
-        a, b, c = _numbers(match, EXPRESSION, True)
-        return F.when(decision(a, b, c, mode, verify), facts.token(a, b)).otherwise(match)
+        return _with_numbers(match, EXPRESSION, lambda a, b, c: F.when(decision(a, b, c, mode, verify), facts.token(a, b)).otherwise(match))
 
     return rewritten(text, EXPRESSION, decide)
 
@@ -62,8 +68,7 @@ def inject_second(text: Column) -> Column:
     plain = lambda a, b: a.between(2, 9) & b.between(2, 9)
 
     def solved(match: Column) -> Column:
-        a, b, c = _numbers(match, SOLVED, True)
-        return F.when(plain(a, b) & F.coalesce(c.try_cast("bigint") == a * b, F.lit(False)), facts.token(a, b)).otherwise(match)
+        return _with_numbers(match, SOLVED, lambda a, b, c: F.when(plain(a, b) & F.coalesce(c.try_cast("bigint") == a * b, F.lit(False)), facts.token(a, b)).otherwise(match))
 
     def bracketed(match: Column) -> Column:
         a, b, _ = _numbers(match, BRACKETED, False)
@@ -78,8 +83,9 @@ def find_expressions(text: Column, mode: str = "weak", verify: bool = True) -> C
     Places count characters from 0; c is null without a result."""
 
     def describe(match: Column, start: Column) -> Column:
-        a, b, c = _numbers(match, EXPRESSION, True)
-        fit = decision(a, b, c, mode, verify)
+        return _with_numbers(match, EXPRESSION, lambda a, b, c: let(decision(a, b, c, mode, verify), lambda fit: row(match, start, a, b, c, fit)))
+
+    def row(match: Column, start: Column, a: Column, b: Column, c: Column, fit: Column) -> Column:
         return F.struct(
             start.cast("int").alias("start"),
             (start + F.length(match)).cast("int").alias("stop"),
@@ -93,8 +99,10 @@ def find_expressions(text: Column, mode: str = "weak", verify: bool = True) -> C
 
     found = F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(0))
     sizes = F.zip_with(F.transform(F.split(text, EXPRESSION, -1), F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda s, x: s + x["g"] + x["m"]) + F.element_at(sizes, i + 1)["g"]
-    return F.transform(found, lambda m, i: describe(m, start(i)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    passed = lambda s, x: F.struct((s["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts"))
+    starts = F.aggregate(sizes, none, passed, lambda s: s["starts"])
+    return let(starts, lambda at: F.transform(found, lambda m, i: describe(m, at[i])))
 
 
 def literal_tokens(text: Column) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -200,6 +202,7 @@ class _Written(WriterCommitMessage):
 
 def write_npy_shards(shards: DataFrame, path: str, prefix: str = "corpus") -> None:
     """Shards (split, shard, tokens) as .npy files."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the sink's planner has not this process's path
     shards.sparkSession.dataSource.register(NpyShards)
     rows = shards.select(shard_name(F.col("split"), F.col("shard"), prefix).alias("name"), "tokens")
     rows.write.format("npy_shards").option("path", path).mode("append").save()
