@@ -1,13 +1,11 @@
 """Exact Jaccard self-join of documents on word n-grams, by set relations.
 
-Survivors: a set whose partner has a Jaccard similarity of t holds at most 1 - t of its
-shingles alone.  Blocks ask which shingles a second set has, and sets with more than
-that of their own are done with: a common passage doesn't keep them.
-
-Candidates: two sets with a Jaccard similarity of t differ in at most
-(1 - t) / (1 + t) of their joint size.  A survivor's shingles are dealt to a few more
-parts than that by their hash, so two linked sets agree on whole parts; a part's
-hash is the key.
+Candidates: two sets with a Jaccard similarity of t share at least t of either.  So if
+all sets order their shingles alike, the first 1 - t of them and one more of either
+have one in common.  Rare shingles come first: blocks ask in how many sets each is.
+Those that one set has alone can't be common, and sets with too many of these are done
+with; a common passage neither keeps a set nor brings it together with others.  The
+shingles that remain, with the class of the set's size, are its keys.
 
 Join: documents that keys connect are joined in one place, by set relations.  The
 cluster's index lists stand in order of set size, so blocks of a list whose sets are
@@ -27,14 +25,12 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .components import components
-from .shared import ask, blocks, bucket_count, each_block, packed40, texts, with_answers, with_fields, written
+from .shared import ask, blocks, bucket_count, each_block, packed40, texts, unpacked40, with_answers, with_fields, written
 from .units import U, all_windows, mix, prefix, span_hash, word_units, words_of
 
 SHINGLE = 3
 #: The least similarity, in hundredths.
 SIMILAR = 90
-#: Parts that may be empty: so many more than the differences are made.
-SPARE = 2
 #: Shingles and sets of a cluster that one task joins; larger clusters are joined in cells of two chunks.
 CELL, CELL_SETS = 2_000_000, 1024
 #: Parts that the copies of one set are dealt to when they fetch their result.
@@ -65,33 +61,23 @@ def classes(similar: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def parts_of(least_next: int, similar: int) -> int:
-    """Parts for pairs whose smaller set has under least_next shingles."""
-    small = least_next - 1
-    return (100 - similar) * (small + small * 100 // similar) // (100 + similar) + 1 + SPARE
-
+def first_shingles(shingles: np.ndarray, rank: np.ndarray, similar: int) -> np.ndarray:
+    """Those of a set, rare ones first, one of which a set as similar as that has among its own; none if it has no partners.
 
-def keys_of(shingles: np.ndarray, similar: int, bounds: np.ndarray) -> np.ndarray:
-    """64-bit keys of a set's parts, as the smaller set of a pair (in its class) or the larger (in the class before, too)."""
+    rank tells how common a shingle is, 0 if no other set has it; equal ranks go by hash."""
     n = len(shingles)
+    most = n - -(-similar * n // 100) + 1
+    if np.count_nonzero(rank == 0) >= most:
+        return shingles[:0]
+    first = np.lexsort((mix(shingles ^ _PART), rank))[:most]
+    return shingles[first[rank[first] > 0]]
+
+
+def keys_of(first: np.ndarray, n: int, similar: int, bounds: np.ndarray) -> np.ndarray:
+    """64-bit keys of a set of n shingles: the first ones with its class, and with the class before if that may hold partners."""
     own = int(np.searchsorted(bounds, n, "right")) - 1
-    out = []
-    mixed = mix(shingles ^ _KEY)
-    for c in (own, own - 1):
-        if c < 0 or (c < own and similar * n > 100 * (int(bounds[own]) - 1)):
-            continue
-        m = parts_of(int(bounds[c + 1]), similar)
-        part = ((mix(shingles ^ (_PART + U(c))) >> U(32)) * U(m)) >> U(32)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        total = np.add.reduceat(mixed[order], first)
-        tag = U(c) << U(32)
-        out.append(mix(total + mix(p[first] + tag)))
-        if m - len(first) > SPARE:  # so many empty parts that two sets may agree on these alone
-            empty = np.setdiff1d(np.arange(m, dtype=U), p[first])
-            out.append(mix(mix(empty + tag) + U(1)))
-    return np.concatenate(out)
+    at = [c for c in (own, own - 1) if c == own or c >= 0 and similar * n <= 100 * (int(bounds[own]) - 1)]
+    return np.concatenate([mix(first ^ mix(np.array([c + 1], U))) for c in at])
 
 
 class Scan:
@@ -113,7 +99,7 @@ class Scan:
         v = flat[order]
         first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(v)))
-        self.keys, self.several = v[first], n > 1
+        self.keys, self.count = v[first], np.minimum(n, 255)
         self.entry = np.empty(len(v), np.int64)
         self.entry[order] = np.repeat(np.arange(len(first)), n)
 
@@ -121,25 +107,48 @@ class Scan:
         for b, body in self.equal.emit(buckets):
             yield b, _EQUAL + body
         for b, lo, hi in R.slices(self.keys, buckets):
-            yield b + buckets, _SHINGLES + packed40(R.within(self.keys[lo:hi], buckets)) + np.packbits(self.several[lo:hi]).tobytes() + np.uint32(hi - lo).tobytes()
+            n = self.count[lo:hi]
+            yield b + buckets, _SHINGLES + np.uint32(hi - lo).tobytes() + packed40(R.within(self.keys[lo:hi], buckets)) + np.packbits(n > 1).tobytes() + n[n > 1].astype(np.uint8).tobytes()
 
-    def know(self, answers: list[bytes], similar: int) -> tuple[list[int | None], list[int]]:
-        """The class of each row, and the rows whose set may have partners, one for each class and version."""
+    def know(self, answers: list[bytes], similar: int) -> tuple[list[int | None], dict[int, np.ndarray]]:
+        """The class of each row; the first shingles of the rows whose set may have partners, one for each class and version."""
         whole = _least([x[1:] for x in answers if x[:1] == _EQUAL], self.equal.least)[self.equal.entry]
-        alone = ~R.bits([x[1:] for x in answers if x[:1] == _SHINGLES])
-        alone = np.bincount(self.owner, alone[self.entry], len(self.lead))
-        size = np.bincount(self.owner, minlength=len(self.lead))
-        may = alone <= size - -(-similar * size // 100)
+        known = [np.frombuffer(x, np.uint8, offset=1) for x in answers if x[:1] == _SHINGLES]
+        rank = (np.concatenate(known) if known else np.zeros(0, np.uint8))[self.entry]
+        ends = np.append(0, np.cumsum(np.bincount(self.owner, minlength=len(self.lead))))
         cls: list[int | None] = list(self.ids)
         for i, c in zip(self.use.tolist(), whole.tolist(), strict=True):
             cls[i] = c
-        rows = self.use[self.lead[may]].tolist()
-        return cls, [i for i in rows if cls[i] == self.ids[i]]
+        out = {}
+        for k, i in enumerate(self.use[self.lead].tolist()):
+            if cls[i] == self.ids[i] and len(first := first_shingles(self.sets[i], rank[ends[k] : ends[k + 1]], similar)):
+                out[i] = first
+        return cls, out
+
+
+def _ranks(bodies: list[bytes]) -> list[bytes]:
+    """For each shingle: 0 if one set has it, else more the more sets of all blocks have it, by powers of the root of 2."""
+    sizes = [int(np.frombuffer(x, np.uint32, 1)[0]) for x in bodies]
+    keys = np.concatenate([unpacked40(x[4 : 4 + 5 * n]) for x, n in zip(bodies, sizes, strict=True)])
+    counts = []
+    for x, n in zip(bodies, sizes, strict=True):
+        own, at = np.ones(n, np.int64), 4 + 5 * n
+        many = np.unpackbits(np.frombuffer(x, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+        own[many] = np.frombuffer(x, np.uint8, offset=at + (n + 7) // 8)
+        counts.append(own)
+    order = np.argsort(keys)
+    k = keys[order]
+    start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    total = np.add.reduceat(np.concatenate(counts)[order], start)
+    rank = (2 * np.log2(total)).astype(np.uint8)
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.repeat(rank, np.diff(np.append(start, len(k))))
+    return [x.tobytes() for x in R._split(out, sizes)]
 
 
 def _reply(bodies: list[bytes]) -> list[bytes]:
     kind, own = bodies[0][:1], [x[1:] for x in bodies]  # a bucket is asked one kind of question
-    return [kind + x for x in (_answer(own) if kind == _EQUAL else R.answer_anchors(own))]
+    return [kind + x for x in (_answer(own) if kind == _EQUAL else _ranks(own))]
 
 
 def _answer(bodies: list[bytes]) -> list[bytes]:
@@ -248,7 +257,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     one worker with about 40 times its size; an empty table gives an empty one.  Other
     columns are not carried; a column of ``keep`` with a result's name is replaced.
 
-    Shingles are told apart by 64 bits of hash, equal sets by 104.
+    Shingles are told apart by 64 bits of hash, equal sets by 104; two that share 40 bits
+    where they are counted pass for more common ones, which costs candidates, not links.
     """
     columns = list(dict.fromkeys([id_col, text_col, *keep]))
     rows = docs.select(*columns)
@@ -258,33 +268,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     answers = ask(with_answers(table), lambda batch, _: Scan(batch, id_col, text_col, shingle).emit(n), _reply, "keys")
 
     out_columns = [c for c in columns if c == id_col or c in keep]
-    schema = with_fields(rows.select(*out_columns).schema, ("n_shingles", "long"), ("_class", "long"), ("_set", "binary"))
-    carried = [f.name for f in schema.fields[:-3]]
+    schema = with_fields(rows.select(*out_columns).schema, ("n_shingles", "long"), ("_class", "long"), ("_set", "binary"), ("_first", "binary"))
+    carried = [f.name for f in schema.fields[:-4]]
 
     def describe(batches):
         for _, batch, got in each_block(batches):
             scan = Scan(batch, id_col, text_col, shingle)
             cls, survivors = scan.know(got.get("keys", []), similar)
-            sets: list[bytes | None] = [None] * len(cls)
-            for i in survivors:
-                sets[i] = scan.sets[i].tobytes()
+            sets = [scan.sets[i].tobytes() if i in survivors else None for i in range(len(cls))]
+            first = [survivors[i].tobytes() if i in survivors else None for i in range(len(cls))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in carried] + [pa.array([len(s) for s in scan.sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())],
-                names=[*carried, "n_shingles", "_class", "_set"],
+                [batch.column(batch.schema.get_field_index(c)) for c in carried] + [pa.array([len(s) for s in scan.sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary()), pa.array(first, pa.binary())],
+                names=[*carried, "n_shingles", "_class", "_set", "_first"],
             )
 
     described = written(with_answers(table, answers).mapInArrow(describe, schema), "described")
-    survivors = described.filter("_set is not null").select("_class", "n_shingles", "_set")
+    survivors = described.filter("_first is not null")
 
     def deal(batches):
         bounds = classes(similar)
         for batch in batches:
-            keys = [keys_of(np.frombuffer(x, U), similar, bounds) for x in texts(batch.column(1))]
+            keys = [keys_of(np.frombuffer(x, U), n, similar, bounds) for x, n in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
             if keys:
                 docs = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(docs)], names=["key", "doc"])
 
-    keyed = written(survivors.select("_class", "_set").mapInArrow(deal, "key long, doc long"), "keyed")
+    keyed = written(survivors.select("_class", "_first", "n_shingles").mapInArrow(deal, "key long, doc long"), "keyed")
     least = keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key", "least")
     edges = keyed.join(least, "key").filter("doc > least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
     clusters = components(edges).select(F.col("node").alias("_class"), F.col("component").alias("cluster"))
