@@ -6,7 +6,7 @@ with a table in the shared folder between any two."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm import best_fit_packing, decontaminate, jaccard_join, language_id, substring_dedup
@@ -23,24 +23,36 @@ ORACLE_SQL = None
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without letters or like none of them go."""
+    """Documents in a language that was learned; those without letters, null or empty texts, or like none of them go.
+
+    Whole texts are read however long; repeated rows and null ids are judged like others; other columns stay."""
     found = language_id.identify(docs, language_id.fit_on_documents(docs), keep=tuple(docs.columns))
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents linked at COPY_SIMILAR the one with the smallest id; of repeated ids one row."""
+    """Of every group of documents linked at COPY_SIMILAR the one with the smallest id.
+
+    Null, empty and blank texts have no links and stay.  Rows of one id are one document's
+    versions: they go together if one of them links to a smaller id; of those equal in id and
+    text one stays, the least by its other columns.  Rows with a null id all stay."""
     groups = jaccard_join.join(docs, similar=COPY_SIMILAR, shingle=COPY_SHINGLE)
     gone = written(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.filter("doc_id is not null").agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if ids[0] == ids[1]:
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", "text").orderBy(*others)
+    first = kept.filter("doc_id is not null").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
+    return first.unionByName(kept.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that smaller ones have; untouched texts stay as they are, emptied ones go."""
+    """Documents without passages that smaller ones have; untouched texts stay as they are, emptied ones go.
+
+    Null and empty texts stay, and so do rows with a null id, which neither cut nor are cut; rows of
+    one id don't cut each other; a very long text is read whole, in one worker; n_chars follows the text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
     cut = substring_dedup.remove_repeats(docs, keep=others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
@@ -48,12 +60,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.  Null and empty texts hold none; a very long text is read whole."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in sequences."""
+    """The documents' pieces with their places in sequences.  A null or empty text is a piece of one end id; repeated rows are packed each."""
     import public_tokenizers
 
     return best_fit_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
