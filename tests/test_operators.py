@@ -294,3 +294,23 @@ def test_running_rewards(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     streams.reward_statistics(stream).writeStream.format("memory").queryName("rewards").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert tuple(spark.table("rewards").first()) == (3, 1, pytest.approx(1 / 3))
+
+
+def test_cached_json_lines(spark, tmp_path):
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if len(asked) == 1:
+            yield b'{"question": "half'
+            raise ConnectionError
+        yield b'{"question": "a", "answ'
+        yield 'er": "é"}\n{"question": "b"}\n'.encode()
+
+    at = str(tmp_path / "kept.jsonl")
+    with pytest.raises(ConnectionError):
+        files.cached_json_lines(spark, "http://there/x.jsonl", at, files.QA_SCHEMA, fetch)
+    for _ in range(2):
+        got = files.cached_json_lines(spark, "http://there/x.jsonl", at, files.QA_SCHEMA, fetch).orderBy("question").collect()
+        assert [tuple(r) for r in got] == [("a", "é"), ("b", None)]
+    assert len(asked) == 2 and [p.name for p in tmp_path.iterdir() if "crc" not in p.name] == ["kept.jsonl"]

@@ -6,8 +6,9 @@ import io
 import re
 import sys
 import tempfile
+import urllib.request
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,35 @@ def _in_order(column: str):
     return Window.partitionBy(F.lit(0)).orderBy(column)
 
 
+def _chunks(url: str) -> Iterator[bytes]:
+    """A file from the network, piece by piece."""
+    with urllib.request.urlopen(url) as answer:
+        while chunk := answer.read(1 << 20):
+            yield chunk
+
+
+def cached_json_lines(spark: SparkSession, url: str, cache: str, schema: str, fetch: Callable[[str], Iterable[bytes]] = _chunks) -> DataFrame:
+    """JSON lines of one file from elsewhere, kept under the path cache, from which they are read ever after.
+
+    The driver copies the file piece by piece and gives it its name when it is whole, so one
+    that was cut short is fetched again."""
+    jvm = spark.sparkContext._jvm
+    there, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (cache, f"{cache}.{uuid.uuid4().hex}"))
+    store = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(there):
+        out = store.create(part)
+        try:
+            for chunk in fetch(url):
+                out.write(bytearray(chunk))
+        except BaseException:
+            out.close()
+            store.delete(part, False)
+            raise
+        out.close()
+        store.rename(part, there)
+    return json_lines(spark, cache, schema)
+
+
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
 
