@@ -8,7 +8,9 @@ the one before:
 2. contexts: the units around a repeated anchor that any window holding it can
    reach.  A context also found in a smaller document settles all its windows at
    once, so long common passages and groups of copies cost one entry per block
-   and not one for each window and copy;
+   and not one for each window and copy.  Contexts are dealt by their own hash, and
+   a block tells of each anchor only whether it has one context or several, so an
+   anchor with very many contexts loads no task;
 3. windows: only at the edges of common passages, where contexts differ, single
    windows are compared; how is up to the operator.
 """
@@ -25,6 +27,9 @@ from .units import U, all_windows, minimizers, mix, prefix, span_hash, window_mi
 COVERED, EDGE, ALONE, OTHER = 0, 1, 2, 3
 _SALT = U(0xA0761D6478BD642F)
 _SALT2 = U(0xE7037ED1A0B428DB)
+_SALT3 = U(0x8EBC6AF09C88C6E3)
+#: Kinds of questions that go to buckets of their own.
+CONTEXT, ANCHOR, WINDOW = b"CAW"
 
 
 @dataclass
@@ -37,6 +42,23 @@ class Doc:
     g: np.ndarray
 
 
+def other(units: np.ndarray) -> np.ndarray:
+    """Units for a second hash, independent of the first."""
+    return mix(units ^ _SALT3)
+
+
+def second(s: np.ndarray) -> np.ndarray:
+    """Prefix sums of the second hash from those of the first."""
+    n = np.arange(len(s) - 1)
+    return prefix(other(span_hash(s, n, n + 1)))
+
+
+def answer(bodies: list[bytes]) -> list[bytes]:
+    """Answers to questions about contexts, anchors or windows; a bucket is asked one kind."""
+    kind, own = bodies[0][0], [x[1:] for x in bodies]
+    return [bytes([kind]) + x for x in (several(own) if kind == ANCHOR else smaller(own))]
+
+
 class Scan:
     """One block's documents with their anchors, and what is known of these."""
 
@@ -67,36 +89,33 @@ class Scan:
     # round 2
     def know_anchors(self, answers: list[bytes]) -> None:
         repeated = bits(answers)
-        self.occ_doc, self.occ_at, self.occ_pos = [], [], []
-        g, c = [], []
+        docs, places, at, one, two, g = [], [], [], [], [], []
         for i, d in enumerate(self.docs):
-            if not len(d.g):
+            own = np.flatnonzero(repeated[np.searchsorted(self.keys, d.g)]) if len(d.g) else ()
+            if not len(own):
                 continue
-            at = np.flatnonzero(repeated[np.searchsorted(self.keys, d.g)])
-            if not len(at):
-                continue
-            p = d.pos[at]
+            p = d.pos[own]
             lo, hi = np.maximum(p - (self.window - self.k), 0), np.minimum(p + self.window, d.n)
-            g.append(d.g[at])
-            c.append(mix(span_hash(d.s, lo, hi) ^ mix((p - lo).astype(U) * U(1 << 20) + (hi - p).astype(U)) ^ _SALT2) >> U(24))
-            self.occ_doc.append(np.full(len(at), i))
-            self.occ_at.append(at)
-            self.occ_pos.append(p)
-        if not g:
-            self.keyed = Keys(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
-            self.occ_doc = self.occ_at = self.occ_pos = np.zeros(0, np.int64)
-            return
-        self.occ_doc, self.occ_at, self.occ_pos = np.concatenate(self.occ_doc), np.concatenate(self.occ_at), np.concatenate(self.occ_pos)
-        self.keyed = Keys(np.concatenate(g), np.concatenate(c), self.ids[self.occ_doc])
+            g.append(d.g[own])
+            one.append(mix(span_hash(d.s, lo, hi) ^ mix((p - lo).astype(U) * U(1 << 20) + (hi - p).astype(U)) ^ _SALT2))
+            two.append(mix(span_hash(second(d.s), lo, hi)) >> U(40))
+            docs.append(np.full(len(own), i))
+            at.append(own)
+            places.append(p)
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.occ_doc, self.occ_at, self.occ_pos = whole(docs, np.int64), whole(at, np.int64), whole(places, np.int64)
+        self.keyed = Asked(whole(one, U), whole(two, U), self.ids[self.occ_doc])
+        self.groups = Groups(whole(g, U)[self.keyed.first], self.keyed.a)
 
     def contexts(self, buckets: int):
-        return self.keyed.emit(buckets)
+        yield from self.keyed.emit(buckets, CONTEXT)
+        yield from self.groups.emit(buckets)
 
     # round 3
     def know_contexts(self, answers: list[bytes]) -> None:
-        raw = [np.frombuffer(x, np.uint8) for x in answers]
-        self.entry_state = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
-        assert len(self.entry_state) == len(self.keyed.g)
+        other = bits(of_kind(answers, CONTEXT))
+        assert len(other) == len(self.keyed.a)
+        self.entry_state = np.where(other, COVERED, np.where(self.groups.states(answers) > 0, EDGE, ALONE)).astype(np.uint8)
         self.occ_state = np.where(self.keyed.later, COVERED, self.entry_state[self.keyed.entry]).astype(np.uint8)
 
     def window_states(self):
@@ -133,10 +152,83 @@ class Keys:
         for b, lo, hi in slices(self.g, buckets):
             yield b, packed40(within(self.g[lo:hi], buckets)) + packed40(self.c[lo:hi]) + self.least[lo:hi].astype("<i8").tobytes()
 
-    def spread(self, known: np.ndarray) -> np.ndarray:
-        """For each occurrence: does a smaller document have its key, here or (known) elsewhere?"""
-        assert len(known) == len(self.g)
-        return known[self.entry] | self.later
+
+class Groups:
+    """Contexts by their anchor: each anchor once, with one of its contexts and their number."""
+
+    def __init__(self, g: np.ndarray, context: np.ndarray):
+        order = np.argsort(g, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(g)))
+        self.of = np.empty(len(g), np.int64)
+        self.of[order] = np.repeat(np.arange(len(start)), n)
+        self.g, self.context, self.n = g[order][start], context[order][start] >> U(24), np.minimum(n, 0xFFFF)
+
+    def emit(self, buckets: int):
+        for b, lo, hi in slices(self.g, buckets):
+            yield b + buckets, bytes([ANCHOR]) + packed40(within(self.g[lo:hi], buckets)) + packed40(self.context[lo:hi]) + self.n[lo:hi].astype("<u2").tobytes()
+
+    def states(self, answers: list[bytes]) -> np.ndarray:
+        """For each context: what ``several`` says of its anchor."""
+        known = [np.frombuffer(x, np.uint8) for x in of_kind(answers, ANCHOR)]
+        both = np.concatenate(known) if known else np.zeros(0, np.uint8)
+        assert len(both) == len(self.g)
+        return both[self.of]
+
+
+class Asked:
+    """Occurrences by a key of 64 (a) and 24 (b) bits: each key once, with its least document."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray):
+        order = np.argsort(a, kind="stable")
+        x, y = a[order], b[order]
+        if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+            order = np.lexsort((b, a))
+            x, y = a[order], b[order]
+        start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(a) else np.zeros(0, np.int64)
+        self.a, self.b = x[start], y[start]
+        own = ids[order]
+        self.least = np.minimum.reduceat(own, start) if len(a) else own
+        entry = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(a))))
+        self.entry = np.empty(len(a), np.int64)
+        self.entry[order] = entry
+        self.later = ids > self.least[self.entry]
+        at = np.flatnonzero(own == self.least[entry])[::-1]
+        self.first = np.empty(len(start), np.int64)
+        self.first[entry[at]] = order[at]
+
+    def emit(self, buckets: int, kind: int):
+        for b, lo, hi in slices(self.a, buckets):
+            key = (self.a[lo:hi] * U(buckets)).astype("<u8")  # what the bucket leaves open of it
+            yield b, bytes([kind]) + key.tobytes() + self.b[lo:hi].astype("<u4").tobytes() + self.least[lo:hi].astype("<i8").tobytes()
+
+
+def of_kind(answers: list[bytes], kind: int) -> list[bytes]:
+    return [x[1:] for x in answers if x[0] == kind]
+
+
+def smaller(bodies: list[bytes]) -> list[bytes]:
+    """For each key: does a smaller document have it?"""
+    sizes = [len(x) // 20 for x in bodies]
+    a, b, d = (np.concatenate([np.frombuffer(x, t, n, at * n) for x, n in zip(bodies, sizes, strict=True)]) for t, at in (("<u8", 0), ("<u4", 8), ("<i8", 12)))
+    got = Asked(a, b, d)
+    return [np.packbits(x).tobytes() + np.uint32(len(x)).tobytes() for x in _split(got.later, sizes)]
+
+
+def several(bodies: list[bytes], hot: int = 1 << 62) -> list[bytes]:
+    """For each anchor: 0 if all have one context, 1 if there are others, 2 if more than hot."""
+    sizes = [len(x) // 12 for x in bodies]
+    g = np.concatenate([unpacked40(x[: 5 * n]) for x, n in zip(bodies, sizes, strict=True)])
+    one = np.concatenate([unpacked40(x[5 * n : 10 * n]) for x, n in zip(bodies, sizes, strict=True)])
+    count = np.concatenate([np.frombuffer(x, "<u2", n, 10 * n) for x, n in zip(bodies, sizes, strict=True)]).astype(np.int64)
+    order = np.argsort(g)
+    start = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1])))
+    total = np.add.reduceat(count[order], start)
+    many = (np.minimum.reduceat(one[order], start) != np.maximum.reduceat(one[order], start)) | (np.maximum.reduceat(count[order], start) > 1)
+    state = np.where(many, np.where(total > hot, 2, 1), 0).astype(np.uint8)
+    out = np.empty(len(g), np.uint8)
+    out[order] = np.repeat(state, np.diff(np.append(start, len(g))))
+    return [x.tobytes() for x in _split(out, sizes)]
 
 
 def slices(keys: np.ndarray, buckets: int):
@@ -195,31 +287,6 @@ def _gathered(bodies: list[bytes]):
     return sizes, g[order], c[order], d[order], order
 
 
-def answer_contexts(bodies: list[bytes]) -> list[bytes]:
-    """For each (anchor, context): COVERED if a smaller document has it, else EDGE if the anchor has other contexts, else ALONE."""
-    sizes, g, c, d, order = _gathered(bodies)
-    new_g = np.ones(len(g), bool)
-    new_g[1:] = g[1:] != g[:-1]
-    new = new_g.copy()
-    new[1:] |= c[1:] != c[:-1]
-    least = d[new][np.cumsum(new) - 1]
-    group = np.cumsum(new_g) - 1
-    many = np.bincount(group[new])[group] > 1
-    out = np.empty(len(g), np.uint8)
-    out[order] = np.where(least < d, COVERED, np.where(many, EDGE, ALONE))
-    return [x.tobytes() for x in _split(out, sizes)]
-
-
-def answer_windows(bodies: list[bytes]) -> list[bytes]:
-    """For each window: does a smaller document have it?"""
-    sizes, g, c, d, order = _gathered(bodies)
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-    out = np.empty(len(g), bool)
-    out[order] = d[new][np.cumsum(new) - 1] < d
-    return [np.packbits(x).tobytes() + np.uint32(len(x)).tobytes() for x in _split(out, sizes)]
-
-
 def covered_spans(starts: np.ndarray, window: int) -> np.ndarray:
     """The maximal runs of units within windows that begin at starts, as rows of start and end."""
     s = np.unique(starts)

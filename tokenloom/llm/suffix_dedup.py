@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from .run_length_index import smaller_owner_windows
-from .shared import BUCKET_BYTES, ask, blocks, bucket_count, buffers, each_block, packed40, unpacked40, with_answers, with_fields
+from .shared import BUCKET_BYTES, ask, blocks, bucket_count, buffers, each_block, packed40, with_answers, with_fields
 from .units import U, byte_units, mix, prefix, span_hash, stir, text_minimizers
 
 MIN_BYTES = 50
@@ -40,9 +40,9 @@ HOT = 1 << 14
 STRETCH = 1 << 17
 #: The column of a block's rows that has the distances between anchors; not a name that a table's column has.
 _ANCHORS = "\0anchors"
-_SALT, _SALT2, _SALT3 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
-_OTHER = mix(byte_units(bytes(range(256))) ^ _SALT3)
-_CONTEXT, _ANCHOR, _TEXT, _WINDOW = b"CATW"
+_SALT, _SALT2 = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+_OTHER = R.other(byte_units(bytes(range(256))))
+_TEXT, _WINDOW = b"TW"
 
 
 def anchor_bytes(window: int) -> int:
@@ -146,32 +146,19 @@ class Block:
         self.lo, self.hi = np.maximum(p - self.reach, self.off[doc]), np.minimum(p + self.window, self.off[doc + 1])
         one, two = self.hashes(self.lo, self.hi, True)
         shape = mix((p - self.lo).astype(U) * U(1 << 20) + (self.hi - p).astype(U))
-        self.contexts = Asked(mix(one ^ shape ^ _SALT2), two, self.ids[doc])
-        of = self.contexts.first
-        g = self.g[self.occ[of]]
-        order = np.argsort(g, kind="stable")
-        start = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1]))) if len(g) else np.zeros(0, np.int64)
-        n = np.diff(np.append(start, len(g)))
-        self.group_of = np.empty(len(g), np.int64)
-        self.group_of[order] = np.repeat(np.arange(len(start)), n)
-        self.group_g, self.group_one, self.group_n = g[order][start], self.contexts.a[order][start] >> U(24), np.minimum(n, 0xFFFF)
+        self.contexts = R.Asked(mix(one ^ shape ^ _SALT2), two, self.ids[doc])
+        self.groups = R.Groups(self.g[self.occ[self.contexts.first]], self.contexts.a)
 
     def ask_contexts(self, buckets: int):
-        yield from self.contexts.emit(buckets, _CONTEXT)
-        for b, lo, hi in R.slices(self.group_g, buckets):
-            g, one, n = self.group_g[lo:hi], self.group_one[lo:hi], self.group_n[lo:hi]
-            yield b + buckets, bytes([_ANCHOR]) + packed40(R.within(g, buckets)) + packed40(one) + n.astype("<u2").tobytes()
+        yield from self.contexts.emit(buckets, R.CONTEXT)
+        yield from self.groups.emit(buckets)
 
     # round 3
     def know_contexts(self, answers: list[bytes]) -> None:
         """Which entries' windows are all copies, and which entries are edges, by anchors that are hot or not."""
-        here = _of(answers, _CONTEXT)
-        other = R.bits(here) if here else np.zeros(0, bool)
-        both = np.concatenate([np.frombuffer(x, np.uint8) for x in _of(answers, _ANCHOR)] or [np.zeros(0, np.uint8)])
-        assert len(other) == len(self.contexts.a) and len(both) == len(self.group_g)
+        other, state = R.bits(R.of_kind(answers, R.CONTEXT)), self.groups.states(answers)
         self.covered = other[self.contexts.entry] | self.contexts.later  # of occurrences
-        edge = ~other & (both[self.group_of] > 0)
-        hot = both[self.group_of] > 1
+        edge, hot = ~other & (state > 0), state > 1
         self.place_windows(np.flatnonzero(edge))
         by_g = lambda x: x[np.argsort(self.g[self.occ[self.contexts.first[x]]], kind="stable")]
         self.texts, self.hot = by_g(np.flatnonzero(edge & ~hot)), np.flatnonzero(edge & hot)
@@ -207,7 +194,7 @@ class Block:
             body = b"".join([raw[s:e] for s, e in zip(lo[x:y].tolist(), hi[x:y].tolist(), strict=True)])
             yield b, bytes([_TEXT]) + np.uint32(y - x).tobytes() + self.contexts.least[self.texts[x:y]].astype("<i8").tobytes() + (hi - lo)[x:y].astype(np.uint8).tobytes() + body
 
-    def hot_windows(self) -> Asked:
+    def hot_windows(self) -> R.Asked:
         """The single windows of edges whose anchor is hot; their starts, and the entries these are from."""
         n = np.maximum(self.last[self.hot] - self.first[self.hot] + 1, 0)
         start = np.repeat(self.first[self.hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -215,18 +202,18 @@ class Block:
         order = np.argsort(start, kind="stable")
         self.hot_start, self.hot_entry = start[order], entry[order]
         one, two = self.hashes(self.hot_start, self.hot_start + self.window, True)
-        return Asked(mix(one ^ _SALT2), two, self.contexts.least[self.hot_entry])
+        return R.Asked(mix(one ^ _SALT2), two, self.contexts.least[self.hot_entry])
 
     def copies(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Spans of the block whose bytes are to go, from all answers."""
         spans = [np.stack((self.lo[self.covered], self.hi[self.covered]), 1)]
         n = len(self.contexts.a)
         marks = np.zeros(n, np.uint32)
-        known = [np.frombuffer(x, "<u4") for x in _of(answers, _TEXT)]
+        known = [np.frombuffer(x, "<u4") for x in R.of_kind(answers, _TEXT)]
         if known:
             marks[self.texts] = np.concatenate(known)
         if len(self.hot):
-            asked, bits = self.hot_windows(), R.bits(_of(answers, _WINDOW))
+            asked, bits = self.hot_windows(), R.bits(R.of_kind(answers, _WINDOW))
             hit = bits[asked.entry] | asked.later
             np.bitwise_or.at(marks, self.hot_entry[hit], np.uint32(1) << (self.hot_start - self.first[self.hot_entry])[hit].astype(np.uint32))
         p = self.pos[self.occ]
@@ -239,61 +226,6 @@ class Block:
         return spans[spans[:, 1] - spans[:, 0] >= self.window]
 
 
-class Asked:
-    """Occurrences by a key of 64 (a) and 24 (b) bits: each key once, with its least document."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray):
-        order = np.argsort(a, kind="stable")
-        x, y = a[order], b[order]
-        if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
-            order = np.lexsort((b, a))
-            x, y = a[order], b[order]
-        start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(a) else np.zeros(0, np.int64)
-        self.a, self.b = x[start], y[start]
-        own = ids[order]
-        self.least = np.minimum.reduceat(own, start) if len(a) else own
-        entry = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(a))))
-        self.entry = np.empty(len(a), np.int64)
-        self.entry[order] = entry
-        self.later = ids > self.least[self.entry]
-        at = np.flatnonzero(own == self.least[entry])[::-1]
-        self.first = np.empty(len(start), np.int64)
-        self.first[entry[at]] = order[at]
-
-    def emit(self, buckets: int, kind: int):
-        for b, lo, hi in R.slices(self.a, buckets):
-            key = (self.a[lo:hi] * U(buckets)).astype("<u8")  # what the bucket leaves open of it
-            yield b, bytes([kind]) + key.tobytes() + self.b[lo:hi].astype("<u4").tobytes() + self.least[lo:hi].astype("<i8").tobytes()
-
-
-def _of(answers: list[bytes], kind: int) -> list[bytes]:
-    return [x[1:] for x in answers if x[0] == kind]
-
-
-def _smaller(bodies: list[bytes]) -> list[bytes]:
-    """For each key: does a smaller document have it?"""
-    sizes = [len(x) // 20 for x in bodies]
-    a, b, d = (np.concatenate([np.frombuffer(x, t, n, at * n) for x, n in zip(bodies, sizes, strict=True)]) for t, at in (("<u8", 0), ("<u4", 8), ("<i8", 12)))
-    got = Asked(a, b, d)
-    return [np.packbits(x).tobytes() + np.uint32(len(x)).tobytes() for x in R._split(got.later, sizes)]
-
-
-def _several(bodies: list[bytes]) -> list[bytes]:
-    """For each anchor: 0 if all have one context, 1 if there are others, 2 if more than HOT."""
-    sizes = [len(x) // 12 for x in bodies]
-    g = np.concatenate([unpacked40(x[: 5 * n]) for x, n in zip(bodies, sizes, strict=True)])
-    one = np.concatenate([unpacked40(x[5 * n : 10 * n]) for x, n in zip(bodies, sizes, strict=True)])
-    count = np.concatenate([np.frombuffer(x, "<u2", n, 10 * n) for x, n in zip(bodies, sizes, strict=True)]).astype(np.int64)
-    order = np.argsort(g)
-    start = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1])))
-    total = np.add.reduceat(count[order], start)
-    many = (np.minimum.reduceat(one[order], start) != np.maximum.reduceat(one[order], start)) | (np.maximum.reduceat(count[order], start) > 1)
-    state = np.where(many, np.where(total > HOT, 2, 1), 0).astype(np.uint8)
-    out = np.empty(len(g), np.uint8)
-    out[order] = np.repeat(state, np.diff(np.append(start, len(g))))
-    return [x.tobytes() for x in R._split(out, sizes)]
-
-
 def _indexed(bodies: list[bytes], window: int) -> list[bytes]:
     """For each text: a bit for each of its windows that a text of a smaller document has, too."""
     sizes, owners, texts = [], [], []
@@ -312,7 +244,7 @@ def _indexed(bodies: list[bytes], window: int) -> list[bytes]:
 def _answer(window: int):
     def answer(bodies: list[bytes]) -> list[bytes]:
         kind, own = bodies[0][0], [x[1:] for x in bodies]  # a bucket is asked one kind of question
-        got = _indexed(own, window) if kind == _TEXT else _several(own) if kind == _ANCHOR else _smaller(own)
+        got = _indexed(own, window) if kind == _TEXT else R.several(own, HOT) if kind == R.ANCHOR else R.smaller(own)
         return [bytes([kind]) + x for x in got]
 
     return answer
