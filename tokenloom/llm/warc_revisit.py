@@ -2,7 +2,7 @@
 
 A revisit has no body; it stands for the latest earlier full response of its URL, if
 that is the one its validators name.  The as-of join runs in two levels: time is cut
-into slices, and within (URL, slice) a window carries the last full response forward;
+into slices of about equally many captures, and within (URL, slice) a window carries the last full response forward;
 the last one of every slice is carried over the slices, a few rows for each URL.  So a
 URL with a great share of all captures is spread over its slices.  All of it is
 DataFrame expressions; bodies never move.
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+#: Slices at least; more, if the cluster has more shuffle partitions, up to MOST_SLICES.
+SLICES, MOST_SLICES = 64, 1024
 #: Headers that a not-modified answer may update in the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only tell where a visitor came from.
@@ -21,7 +22,9 @@ TRACKING = "utm_[a-z]+|fbclid|gclid|ref"
 
 
 def canonical_url(url: Column) -> Column:
-    """One name for a page's addresses: no scheme, www. or m., fragment, tracking parameters, default file or final slash."""
+    """One name for a page's addresses: no scheme, www. or m., fragment, tracking parameters, default file or final slash.
+
+    All is put in lower case, so paths that differ by case alone are one page, and so are a host and its m. host."""
     u = F.lower(F.trim(url))
     u = F.regexp_replace(u, r"#.*$", "")
     u = F.regexp_replace(u, r"^[a-z][a-z0-9+.-]*://", "")
@@ -39,14 +42,34 @@ def _strong(tag: Column) -> Column:
 
 
 def merged_headers(stored: Column, update: Column) -> Column:
-    """The stored headers with those permitted ones that the update has; names in lower case."""
-    low = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    """The stored headers with those permitted ones that the update has; names in lower case; of names that differ only by case the greatest counts, so small letters before capitals.
+
+    Null headers are none; the result is null only if both are."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+    def low(headers: Column) -> Column:
+        entries = F.transform(F.map_entries(headers), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lower(e["key"]).alias("name")))
+        names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+        values = F.transform(names, lambda n: F.array_max(F.filter(entries, lambda e: e["name"] == n))["value"])
+        return F.coalesce(F.map_from_arrays(names, values), none)
+
     new = F.map_filter(low(update), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
-    new = F.coalesce(new, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    return F.map_concat(F.map_filter(low(stored), lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    merged = F.map_concat(F.map_filter(low(stored), lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    return F.when(stored.isNotNull() | update.isNotNull(), merged)
 
 
-def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
+def slice_of(time: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are under time: by stretches of them first, then within one."""
+    k = max(1, int(len(cuts) ** 0.5))
+    under = lambda values: F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda c: c < time))
+    out = None
+    for i in range(((len(cuts) - 1) // k) * k, -1, -k):
+        here = F.lit(i) + under(cuts[i : i + k])
+        out = here if out is None else F.when(time > cuts[i + k], out).otherwise(here)
+    return out if out is not None else F.lit(0)
+
+
+def resolve(captures: DataFrame, slices: int | None = None) -> DataFrame:
     """Every revisit with the response that it stands for.
 
     captures: record_id, url, time (long), kind ("response" or "revisit"), etag,
@@ -57,16 +80,19 @@ def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     response is earlier.  Headers are merged for the first two, else the revisit's own.
     A response at a revisit's own time isn't earlier; of several at one time the
     greatest record_id counts.  Captures with a null url or time, or of another kind, take no
-    part; repeated revisits each give a row; names of headers that differ only by case
-    are an error of the input; an empty table gives an empty one, and other columns are
-    not carried.
+    part; repeated revisits each give a row; of headers whose names differ only by case the
+    greatest name counts; texts are carried however long; an empty table gives an empty one, and
+    other columns are not carried.
+
+    No slice has many more captures than its share, so neither has a URL's part of one,
+    unless that many are of one time.
     """
     c = captures.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("time").cast("long").alias("time"), "kind", "etag", "last_modified", "headers")
     c = c.filter(F.col("canonical").isNotNull() & F.col("time").isNotNull() & F.col("kind").isin("response", "revisit"))
-    span = c.agg(F.min("time"), F.max("time")).first()
-    low, width = span[0] or 0, max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // slices))
+    n = slices or min(MOST_SLICES, max(SLICES, int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = c.agg(F.percentile_approx("time", [i / n for i in range(1, n)], 10 * MOST_SLICES)).first()[0] if n > 1 else []
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers"))
-    c = c.withColumn("slice", F.floor((F.col("time") - low) / width)).withColumn("full", full)
+    c = c.withColumn("slice", slice_of(F.col("time"), sorted(set(cuts or [])))).withColumn("full", full)
     # at one time revisits come first, so that they never see a response of their own time
     order = [F.col("time"), (F.col("kind") == "response").cast("int"), F.col("record_id")]
     inside = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
