@@ -22,8 +22,10 @@ from .units import U, mix
 
 #: Bound of the sample that filters are fitted on: about so many rows of each language, by a hash of their ids.
 SAMPLE_ROWS = 1500
-#: Languages that one mask holds.
-MAX_LANGUAGES = 64
+#: Languages of one word of a mask; there are as many words as languages need.
+WORD = 64
+#: More languages than this are an error of the column, not languages.
+MAX_LANGUAGES = 4096
 SLOTS = 1 << 20
 HASHES = 3
 SIZES = (2, 3, 4, 5)
@@ -91,12 +93,13 @@ def slots_of(h: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class Filters:
-    """Fitted filters: languages by bit, masks by slot, and the false-positive rate of each language."""
+    """Fitted filters: languages by bit, masks by word and slot, and the false-positive rate of each language."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
         self.languages = languages
+        masks = masks.reshape(-1, SLOTS)
         self.masks = masks.astype(np.uint8 if len(languages) <= 8 else np.uint64)
-        fill = np.array([np.count_nonzero(masks >> np.uint64(i) & np.uint64(1)) / SLOTS for i in range(len(languages))])
+        fill = np.array([np.count_nonzero(masks[i // WORD] >> np.uint64(i % WORD) & np.uint64(1)) / SLOTS for i in range(len(languages))])
         self.false = fill**HASHES
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -117,12 +120,14 @@ class Filters:
         letters, text, n_letters = letters_of(raw, offsets)
         hits, total = np.zeros((k, m)), np.zeros(m)
         for h, t in grams(letters, text):
-            found = None
-            for s in slots_of(h):
-                found = self.masks[s] if found is None else found & self.masks[s]
+            slots = list(slots_of(h))
             total += np.bincount(t, minlength=m)
-            for i in range(k):
-                hits[i] += np.bincount(t[(found >> found.dtype.type(i) & found.dtype.type(1)).view(found.dtype).astype(bool)], minlength=m)
+            for word, masks in enumerate(self.masks):
+                found = masks[slots[0]]
+                for s in slots[1:]:
+                    found = found & masks[s]
+                for i in range(min(WORD, k - word * WORD)):
+                    hits[word * WORD + i] += np.bincount(t[(found >> found.dtype.type(i) & found.dtype.type(1)).astype(bool)], minlength=m)
         false = self.false[:, None]
         share = np.clip((hits / np.maximum(total, 1) - false) / (1 - false), 0, 1)
         best = share.argmax(0)
@@ -137,8 +142,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows:
 
     What reaches the driver is bounded by the number of slots, whatever the input."""
     usable = small_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    seen = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    seen = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES + 1).collect()
     languages = [r[0] for r in seen]
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} values")
     if not languages:
         return Filters([], np.zeros(SLOTS, np.uint64))
     # a share of each language by a hash of the ids, so that no language has to meet in one place
@@ -162,17 +169,18 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows:
     sizes = sample.groupBy("lang").count().collect()
     least = {bit[r[0]]: max(2, int(np.ceil(MIN_SHARE * r[1]))) if r[1] > 20 else 1 for r in sizes}
     enough = F.element_at(F.create_map(*[F.lit(x) for p in least.items() for x in p]), F.col("lang"))
-    masks = counts.filter(F.col("n") >= enough).groupBy("h").agg(F.expr("bit_or(shiftleft(1L, lang))").alias("mask"))
+    words = -(-len(languages) // WORD)
+    masks = counts.filter(F.col("n") >= enough).withColumn("word", F.expr(f"lang div {WORD}").cast("int")).groupBy("word", "h").agg(F.expr(f"bit_or(shiftleft(1L, lang % {WORD}))").alias("mask"))
 
     def place(batches):
         for batch in batches:
-            h, mask = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy()
+            h = batch.column(1).to_numpy().view(U)
             for s in slots_of(h):
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(mask)], names=["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.astype(np.int32)), batch.column(2)], names=["word", "slot", "mask"])
 
-    filled = masks.mapInArrow(place, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy()
+    filled = masks.mapInArrow(place, "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros((words, SLOTS), np.int64)
+    out[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("mask").to_numpy()
     return Filters(languages, out.view(np.uint64))
 
 
@@ -181,7 +189,8 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
     A null text, an empty one and one without a letter are ``und`` with score 0, and so
     is everything if no language was learned.  Of equal shares the language with more
-    documents to learn from wins.  Rows stay as they are, repeated or with a null id; columns that are not
+    documents to learn from wins.  A very long text is read whole, in one worker with
+    about 60 times its size.  Rows stay as they are, repeated or with a null id; columns that are not
     named are not carried; a column of ``keep`` with a result's name is replaced.
     """
     spark = small_batches(docs).sparkSession
