@@ -141,7 +141,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     Returns id_col, ``pattern`` (votes, base 3), ``weak`` (posterior of good by votes
     alone), ``score`` (the scorer's probability) and ``good`` (score of 0.5 or more).
     A null or empty text, or one of white space, has no votes, score 0 and is not good.
-    Null ids and repeated rows are scored like others; of an empty table nothing is
+    Very long texts are judged whole; those of under LEAST_WORDS words have no votes and their
+    pattern's posterior as score.  Null ids and repeated rows are scored like others; of an empty table nothing is
     learned and nothing returned.  Other columns are not carried.
     """
     spark = docs.sparkSession
@@ -156,19 +157,22 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     post, _, _ = estimate(patterns, counts)
     weak = dict(zip(patterns.tolist(), post.tolist(), strict=True))
     share = min(1.0, sample_rows / max(1.0, counts.sum()))
-    picked = rows.filter(F.pmod(F.xxhash64(id_col, F.octet_length("_text")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    place = F.pmod(F.xxhash64(id_col, F.octet_length("_text")), F.lit(1 << 30))
+    picked = rows.withColumn("_place", place).filter(F.col("_place") < int(share * (1 << 30)) + 1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
-            for text in texts(batch.column(1)):
+            x, y, at = [], [], []
+            for text, where in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 m = measures(text or b"")
                 if m[-1]:
+                    at.append(where)
                     y.append(votes(m))
                     x.append(features(text or b"").astype("<f2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.binary())], names=["pattern", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.binary()), pa.array(at, pa.int64())], names=["pattern", "x", "place"])
 
-    sample = picked.mapInArrow(describe, "pattern int, x binary").limit(2 * sample_rows).collect()
+    # with very many equal rows the bound may bind; it then takes the same rows each time
+    sample = picked.mapInArrow(describe, "pattern int, x binary, place long").orderBy("place", "pattern", "x").limit(2 * sample_rows).select("pattern", "x").collect()
     x = np.array([np.frombuffer(r[1], "<f2") for r in sample], float).reshape(len(sample), FEATURES)
     w = train(x, np.array([weak[r[0]] for r in sample]))
     model = spark.sparkContext.broadcast((weak, w))  # 3**8 posteriors and FEATURES weights
