@@ -30,10 +30,12 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of this process only where none is set."""
+    """The folder of spark.checkpoint.dir; a temporary one of this process only where none is set and all runs here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="tokenloom-"))
     return _fallback[0]
