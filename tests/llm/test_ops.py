@@ -53,6 +53,18 @@ def test_token_counts_of_any_cut(monkeypatch, library, chunk):
     assert got.tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_texts_go_on_in_groups(monkeypatch, library):
+    draw = random.Random(11)
+    texts = ["".join(draw.choice("etaoinshrdlu") for _ in range(5000)), "x " * 700, "".join(draw.choice("ab 'é中") for _ in range(4000)), "", "z"]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    for chunk, lane, most, few in ((16, 1024, 100, 4), (7, 500, 20, 0), (64, 4096, 1000, 2), (16, 1 << 20, 1 << 20, 0)):
+        monkeypatch.setattr(token_counts, "FEW", few)
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "LANE_BYTES", lane)
+        monkeypatch.setattr(token_counts, "MAX_STATES", most)
+        assert token_counts.count_column(token_counts.Counter(token_counts.Vocabulary(PATH)), pa.array(texts)).tolist() == want
+
+
 def test_machine_may_forget(monkeypatch, library):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
     machine = token_counts.Counter(token_counts.Vocabulary(PATH))
@@ -81,6 +93,38 @@ def test_language(spark, none, odd):
     assert [r.lang_pred for r in language_id.identify(odd, empty).collect()] == ["und"] * 6
 
 
+def plain_grams(text):
+    """N-grams of a text's letters, of which only the first and last character may be a gap."""
+    s = re.sub(r"\0+", "\0", "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0" for c in text))
+    for n in language_id.SIZES:
+        for i in range(len(s) - n + 1):
+            g = s[i : i + n]
+            if "\0" not in (g if n == 2 else g[1:-1]):
+                yield g
+
+
+def test_language_against_plain_sets(spark):
+    draw = random.Random(21)
+    names = [f"l{i}" for i in range(70)]  # more than a word of a mask
+    words = {x: ["".join(draw.choice("abcdefghijklmnopqrstuvwxyzäöüßéñ") for _ in range(draw.randrange(2, 9))) for _ in range(12)] for x in names}
+    rows = []
+    for i in range(70 * 8):
+        lang = names[i % 70]
+        mix = [draw.choice(words[lang if draw.random() < 0.8 else draw.choice(names)]) for _ in range(draw.randrange(3, 20))]
+        rows.append((i, " ".join(w.title() if draw.random() < 0.2 else w for w in mix) + draw.choice(["", "!", " 12"]), lang, None, 1))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = by_id(language_id.identify(df, language_id.fit_on_documents(df)))
+    seen = {x: set() for x in names}
+    for i, text, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            seen[lang].update(plain_grams(text))
+    for i, text, *_ in rows:
+        own = list(plain_grams(text))
+        share = {x: sum(g in seen[x] for g in own) / len(own) for x in names}
+        best = max(share.values())
+        assert abs(got[i].score - best) < 0.03 and share[got[i].lang_pred] > best - 0.03
+
+
 def test_false_positives_are_taken_out():
     masks = np.zeros(language_id.SLOTS, np.uint64)
     masks[: language_id.SLOTS // 2] = 1
@@ -115,9 +159,54 @@ def test_revisits(spark):
     assert warc_revisit.resolve(df.limit(0)).collect() == []
 
 
+def test_revisits_of_odd_headers_and_times(spark):
+    rows = [
+        (1, "a.org/x", -(1 << 62), "response", "e", None, None),
+        (2, "a.org/x", 1, "revisit", "e", None, {"Cache-Control": "one", "cache-control": "two", "Server": "no"}),
+        (3, "a.org/y", 2, "response", "e", None, {"A": "first", "a": "second", "Vary": "x"}),
+        (4, "a.org/y", 1 << 62, "revisit", "e", None, None),
+        (5, "a.org/x", 3, "revisit", "e", None, None),
+    ]
+    schema = "record_id long, url string, time long, kind string, etag string, last_modified string, headers map<string,string>"
+    for slices in (None, 1, 7, 1024):
+        got = {r.record_id: r for r in warc_revisit.resolve(spark.createDataFrame(rows, schema), slices).collect()}
+        assert {i: r.refers_to for i, r in got.items()} == {2: 1, 4: 3, 5: 1}
+        assert got[2].headers == {"cache-control": "two"} and got[4].headers == {"a": "second", "vary": "x"} and got[5].headers is None
+
+
+def test_slices_split_a_hot_page(spark):
+    times = [0] + [10**15 + i for i in range(2000)]
+    df = spark.createDataFrame([(t,) for t in times], "time long")
+    cuts = df.agg(F.percentile_approx("time", [i / 64 for i in range(1, 64)], 10_000)).first()[0]
+    counts = [r["count"] for r in df.groupBy(warc_revisit.slice_of(F.col("time"), sorted(set(cuts)))).count().collect()]
+    assert len(counts) == 64 and max(counts) < 100
+    for cuts in ([], [5], [1, 2, 3], list(range(0, 1000, 7))):
+        got = spark.range(1100).select(warc_revisit.slice_of(F.col("id"), cuts).alias("s"), "id").collect()
+        assert all(r.s == sum(c < r.id for c in cuts) for r in got)
+
+
 # ---- 4 and 9: repeated passages ----
 
 
+def thue_morse(n, one, two):
+    return "".join(two if bin(i).count("1") % 2 else one for i in range(n))
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """Words of 2**10 letters and more that a polynomial modulo 2**64 can't tell apart."""
+    fill = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in (1024, 2048, 4096):
+        for k, word in enumerate((thue_morse(n, "a", "b"), thue_morse(n, "b", "a"))):
+            rows.append((10 * n + k, " ".join([*fill[:20], f"{n}", word, *fill[20:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(substring_dedup.remove_repeats(df, min_words=30))
+    items = [(i, t.split(" ")) for i, t in rows]
+    assert {i: r.n_removed for i, r in got.items()} == {i: sum(g) for (i, _), g in zip(items, removed_by_definition(items, 30), strict=True)}
+    sets = [jaccard_join.shingle_set(t.encode()) for _, t in rows]
+    assert all(len(np.intersect1d(x, y)) == len(shingles(a) & shingles(b)) for (_, a), x in zip(rows, sets, strict=True) for (_, b), y in zip(rows, sets, strict=True))
+
+
 def removed_by_definition(items, window):
     """Units within a window whose content also starts in an item of smaller id: items are (id, units)."""
     seen = collections.defaultdict(list)
@@ -163,6 +252,24 @@ def test_suffix_dedup(docs, small, none, window):
         suffix_dedup.remove_repeats(none, min_bytes=10)
 
 
+@pytest.mark.parametrize("hot", [1, 50])
+def test_suffix_dedup_of_one_anchor_in_many_contexts(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    draw = random.Random(31)
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, near = noise(58), noise(70)
+    rows = []
+    for i in range(600):
+        middle = line if i % 3 else near[: 35 + i % 5] + draw.choice("XYZ") + near[35 + i % 5 :]
+        rows.append((draw.randrange(10**6), noise(draw.randrange(80)) + middle + noise(draw.randrange(80))))
+    got = collections.Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    items = [(i, t.encode()) for i, t in rows]
+    want = collections.Counter()
+    for (i, data), gone in zip(items, removed_by_definition(items, 50), strict=True):
+        want[i, sum(gone), bytes(b for b, g in zip(data, gone, strict=True) if not g)] += 1
+    assert got == want and sum(k[1] for k in want) > 10_000
+
+
 def test_repeats_of_odd_rows(odd):
     for got, n in ((substring_dedup.remove_repeats(odd), "n_words"), (suffix_dedup.remove_repeats(odd), "n_bytes")):
         rows = got.collect()
@@ -216,8 +323,7 @@ def test_packing(docs, small, library, none, odd):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_plan_by_the_linear_program(monkeypatch, seed):
-    monkeypatch.setattr(best_fit_packing, "RESIDUE", 500)
+def test_plan_by_the_linear_program(seed):
     rng = np.random.default_rng(seed)
     lengths = np.clip(rng.lognormal(5.5, 0.8, 20_000).astype(int), 1, 1024)
     histogram = np.bincount(lengths, minlength=1025)
@@ -257,6 +363,47 @@ def test_plan_of_common_lengths(hot, best, others):
     assert sum(n for _, n in made) <= (1.03 * least if others else best)
 
 
+def least_sequences(lengths, room):
+    """The optimum by trying every set of pieces for the sequence of the longest one."""
+    import functools
+
+    @functools.cache
+    def best(left):
+        if not left:
+            return 0
+        out = len(left)
+        rest = left[1:]
+        for mask in range(1 << len(rest)):
+            if left[0] + sum(x for k, x in enumerate(rest) if mask >> k & 1) <= room:
+                out = min(out, 1 + best(tuple(x for k, x in enumerate(rest) if not mask >> k & 1)))
+        return out
+
+    return best(tuple(sorted(lengths, reverse=True)))
+
+
+def test_plans_of_few_pieces_against_the_optimum():
+    draw, more = random.Random(41), 0
+    for _ in range(40):
+        room = draw.choice([10, 24, 100])
+        lengths = [draw.randrange(1, room) for _ in range(draw.randrange(1, 9))]
+        made = best_fit_packing.plan(np.bincount(lengths, minlength=room + 1), room)
+        assert sorted(l for c, n in made for l, k in c.items() for _ in range(n * k)) == sorted(lengths)
+        least = least_sequences(lengths, room)
+        assert least <= sum(n for _, n in made) <= least + 1
+        more += sum(n for _, n in made) - least
+    assert more <= 2
+
+
+@pytest.mark.parametrize("hot, most", [({600: 1, 400: 1}, 1), ({513: 1, 500: 1}, 1), ({300: 1}, 1 / 3), ({700: 3, 320: 3, 150: 2}, 10 / 3)])
+@pytest.mark.parametrize("times", [100, 10_000, 10_000_000])
+def test_plans_are_alike_at_every_size(hot, most, times):
+    histogram = np.zeros(1025, np.int64)
+    for l, n in hot.items():
+        histogram[l] = n * times
+    made = best_fit_packing.plan(histogram)
+    assert sum(n for _, n in made) <= 1.005 * most * times + 1  # most is the optimum by hand
+
+
 def test_encoder_takes_the_fast_way_only_where_it_is_safe(library):
     e = best_fit_packing.Encoder(PATH)
     for text in ("plain text", "l'été, naïve", "中文", "<|endoftext|> x", "tab\tand\r\n", "  \n\n a", ""):
@@ -302,17 +449,21 @@ def test_jaccard_of_odd_rows(odd):
     assert {(r.doc_id, r.component_id) for r in rows} == {(None, None), (5, 5), (9, 5)}
 
 
-def test_keys_never_miss_a_link():
+@pytest.mark.parametrize("similar", [80, 90])
+def test_keys_never_miss_a_link(similar):
     rng = np.random.default_rng(0)
-    bounds, linked = jaccard_join.classes(90), 0
+    bounds, linked = jaccard_join.classes(similar), 0
+    keys = lambda s, rank: set(jaccard_join.keys_of(jaccard_join.first_shingles(s, rank(s), similar), len(s), similar, bounds).tolist())
     for n in [*range(1, 60), 100, 333, 1500]:
         for _ in range(10):
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            y = np.unique(np.concatenate((rng.permutation(x)[rng.integers(0, n // 8 + 1) :], rng.integers(0, 2**63, rng.integers(0, n // 8 + 1)).astype(np.uint64))))
-            both = len(np.intersect1d(x, y))
-            if len(y) and 100 * both >= 90 * (len(x) + len(y) - both):
+            y = np.unique(np.concatenate((rng.permutation(x)[rng.integers(0, n // 4 + 1) :], rng.integers(0, 2**63, rng.integers(0, n // 4 + 1)).astype(np.uint64))))
+            both = np.intersect1d(x, y)
+            common = {int(s): int(rng.integers(1, 5)) for s in both}  # any ranks that both sets see alike; 0 only where one set has it
+            rank = lambda s, common=common: np.array([common.get(int(v), int(v) % 3) for v in s], np.uint8)
+            if len(y) and 100 * len(both) >= similar * (len(x) + len(y) - len(both)):
                 linked += 1
-                assert set(jaccard_join.keys_of(x, 90, bounds).tolist()) & set(jaccard_join.keys_of(y, 90, bounds).tolist())
+                assert keys(x, rank) & keys(y, rank)
     assert linked > 100
 
 
@@ -371,6 +522,56 @@ def test_quality(spark, none, odd, docs, small):
     assert all((rows[i].score == 0 and not rows[i].good) for i, t, *_ in small if not (t or "").strip(" \t\n\x0b\x0c\r"))
 
 
+def test_labellers_are_judged_as_a_plain_expectation_maximisation_does():
+    draw = random.Random(51)
+    k = len(quality_model.LABELLERS)
+    docs = []
+    for _ in range(300):
+        good = draw.random() < 0.7
+        docs.append([draw.choices([int(good), 1 - int(good), 2], [0.5, 0.1, 0.4])[0] for _ in range(k)])
+    says = {c: [dict(zip((0, 1, 2), ((0.3, 0.2, 0.5) if c == 0 else (0.01, 0.49, 0.5)), strict=True)) for _ in range(k)] for c in (0, 1)}
+    prior = 0.8
+    for _ in range(quality_model.EM_ROUNDS):
+        post = []
+        for v in docs:
+            like = {c: p for c, p in ((0, 1 - prior), (1, prior))}
+            for c in (0, 1):
+                for i, vote in enumerate(v):
+                    like[c] *= says[c][i][vote]
+            post.append(like[1] / (like[0] + like[1]))
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in post]
+            for i in range(k):
+                says[c][i] = {x: (sum(w for w, v in zip(weight, docs, strict=True) if v[i] == x) + 0.5) / (sum(weight) + 1.5) for x in (0, 1, 2)}
+        for own in (0, 1):
+            for i in range(k):
+                says[own][i][own] = max(says[own][i][own], says[1 - own][i][own])
+        prior = min(0.98, max(0.02, sum(post) / len(post)))
+    patterns = collections.Counter(sum(x * 3**i for i, x in enumerate(v)) for v in docs)
+    got, _, share = quality_model.estimate(np.array(list(patterns)), np.array(list(patterns.values()), float))
+    by = dict(zip(patterns, got.tolist(), strict=True))
+    assert share == pytest.approx(prior, abs=1e-6)
+    assert all(by[sum(x * 3**i for i, x in enumerate(v))] == pytest.approx(p, abs=1e-6) for v, p in zip(docs, post, strict=True))
+
+
+def test_scorer_is_trained_as_plain_gradient_descent_does():
+    draw = random.Random(52)
+    x = [[draw.random() for _ in range(4)] for _ in range(25)]
+    y = [draw.random() for _ in x]
+    w, speed = [0.0] * 5, [0.0] * 5
+    for _ in range(30):
+        slope = [0.0] * 5
+        for row, want in zip(x, y, strict=True):
+            row = [*row, 1.0]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(row, w, strict=True))))
+            for j in range(5):
+                slope[j] += (p - want) * row[j] / len(x)
+        for j in range(5):
+            speed[j] = 0.9 * speed[j] - 2.0 * (slope[j] + 1e-4 * w[j])
+        w = [a + b for a, b in zip(w, speed, strict=True)]
+    assert quality_model.train(np.array(x), np.array(y), 30) == pytest.approx(w)
+
+
 def test_distinct_words_are_counted_in_the_whole_text():
     at = list(quality_model.LABELLERS).index("distinct")
     fresh = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
@@ -441,6 +642,32 @@ def test_no_copy_within_the_limit_is_missed():
     assert want <= set(found) and all(e <= items.limit(k) for (_, k), e in found.items())
 
 
+def edits_within(item, text):
+    """The least edit distance of the item to any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_leaks_are_those_of_all_pairs():
+    draw = random.Random(61)
+    say = lambda n: " ".join("".join(draw.choice("etaoin") for _ in range(draw.randrange(1, 6))) for _ in range(n // 2))[: n - 1] + "e"
+    items = decontaminate.Items([(k, decontaminate.normal(say(n).encode()).strip()) for k, n in enumerate((20, 32, 40, 47, 60, 81))])
+    docs = []
+    for _ in range(60):
+        part = bytearray(draw.choice(items.texts))
+        for _ in range(draw.randrange(0, 1 + len(part) // 5)):
+            p = draw.randrange(len(part))
+            part[p : p + draw.randrange(2)] = draw.choice([b"", b"q", b"e"])
+        docs.append(say(draw.randrange(2, 60)).encode() + b" " + bytes(part) + b" " + say(draw.randrange(2, 60)).encode())
+    want = {(d, k): e for d, text in enumerate(docs) for k, item in enumerate(items.texts) if (e := edits_within(item, text)) <= items.limit(k)}
+    assert {(d, k): e for d, k, _, _, e in decontaminate.leaks_in(items, docs)} == want and len(want) > 20
+
+
 def test_alignment_is_the_edit_distance():
     draw = random.Random(9)
     for _ in range(200):

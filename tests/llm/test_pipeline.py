@@ -44,6 +44,8 @@ def test_stages_on_odd_rows(spark, docs, none, odd):
     bench = "/root/testdata/sf0.001"
     for rows in (docs.select(*[c.split()[0] for c in SCHEMA.split(", ")]), none.select(*[c.split()[0] for c in SCHEMA.split(", ")]), odd):
         at = rows
+        spoken = corpus_pipeline.by_language(spark, at, bench)
+        assert spoken.columns == at.columns and {r.doc_id for r in spoken.collect()} <= {r.doc_id for r in at.collect()}
         for _, stage in corpus_pipeline.STAGES[1:]:
             at = stage(spark, at, bench)
         at.collect()
@@ -51,6 +53,34 @@ def test_stages_on_odd_rows(spark, docs, none, odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 5), (True, 0), (True, 0)]
 
 
+def test_near_copies_are_those_of_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == {i for i in sets if find(i) == i} and len(links) > 5
+
+
+def test_rows_of_one_id_are_versions(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, t, "en", "b", 2), (7, t, "en", "a", 3), (7, t, "en", "a", 1), (7, t + " more of it " * 9, "en", "a", 1), (8, "some thing else than that", "en", "s", 1)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "").collect()
+    assert sorted((r.doc_id, len(r.text), r.source, r.n_chars) for r in kept) == sorted([(7, len(t), "a", 1), (7, len(rows[3][1]), "a", 1), (8, 25, "s", 1)])
+
+
 def test_near_copies_between_the_thresholds(spark):
     words = lambda name, n: [f"{name}{i}" for i in range(n)]
     grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
