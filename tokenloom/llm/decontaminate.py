@@ -30,8 +30,10 @@ SLOTS = 1 << 20
 #: Bytes of a bin, and items that are counted together.
 BIN = 32
 TOGETHER = 256
+#: Grams of an item that a text of its length has so often by chance, or more, are not counted.
+COMMON = 0.5
 #: Bins that a copy in one candidate may begin in.
-JOINED = 8
+JOINED = 16
 #: Items under so many bytes are only sought as they are.
 LEAST_BYTES = 32
 #: Bytes of items that one scan of the documents compares with; further items take further scans.
@@ -60,11 +62,26 @@ class Group:
 
     def __init__(self, which: list[int], texts: list[bytes], limits: list[int]):
         self.which = np.array(which, np.int64)
-        size, limit = np.array([len(t) for t in texts]), np.array(limits)
-        self.least = size - GRAM + 1 - GRAM * limit
-        self.reach = size + limit
+        self.size, self.limit = np.array([len(t) for t in texts]), np.array(limits)
+        self.reach = self.size + self.limit
         self.bins = -(-(self.reach - GRAM) // BIN) + 1
-        own = [np.unique(_own(t, GRAM)) for t in texts]
+        self.grams: list[np.ndarray] | None = [_own(t, GRAM) for t in texts]
+
+    def choose(self, slot: np.ndarray) -> None:
+        """Leave out an item's grams that any text of its length has about COMMON times, by the texts seen first.
+
+        A copy keeps all of the others but GRAM for each edit, so none is lost whatever is left out; such
+        grams only add to the counts of other texts.  Half of what must be found stays in any case."""
+        often = np.bincount(slot, minlength=SLOTS) / max(1, len(slot))
+        least = self.size - GRAM + 1 - GRAM * self.limit
+        own = []
+        for i, grams in enumerate(self.grams):
+            common = often[grams] * self.reach[i]
+            order = np.argsort(-common, kind="stable")[: max(0, int(least[i]) // 2)]
+            out = order[common[order] >= COMMON]
+            least[i] -= len(out)
+            own.append(np.unique(np.delete(grams, out)))
+        self.least, self.grams = least, None
         slot, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
         self.item = item[np.argsort(slot, kind="stable")].astype(np.int32)
         self.n = np.bincount(slot, minlength=SLOTS).astype(np.int32)
@@ -73,6 +90,8 @@ class Group:
 
     def candidates(self, slot: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, start, end) of stretches that hold every copy, from the slots of texts' grams."""
+        if self.grams is not None:
+            self.choose(slot)
         k, rows = len(self.which), -(-len(slot) // BIN)
         at = np.flatnonzero(self.some[slot])
         n, first = self.n[slot[at]], self.first[slot[at]]
