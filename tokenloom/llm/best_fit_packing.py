@@ -31,13 +31,13 @@ END_ID = 2
 #: Rounds of weights for one solution, and solutions of what rounding leaves.
 ROUNDS = 60
 SOLUTIONS = 5
+#: Further solutions are left when one places less than this share of its pieces.
+LEAST_PROGRESS = 0.05
 #: Configurations that one pricing may give: those within PRICE_SLACK of the best.
 PRICED = 200
 PRICE_SLACK = 0.1
 #: Longer pieces are harder to place; at first they weigh a little more than their length.
 POWER = 1.05
-#: So few pieces are left to best fit.
-RESIDUE = 20_000
 
 #: Texts of these characters alone are merged by tiktoken: no Unicode version disagrees on their classes.
 _LATIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
@@ -48,7 +48,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def ranks_of(path: str) -> dict[bytes, int]:
     """Ids by bytes, if ids follow the order of the merges, so that they can stand for these; else nothing."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, splitter = file["model"], file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
+        return {}
     back = byte_alphabet()
     merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     order = [model["vocab"][m] for m in merges]
@@ -179,7 +182,8 @@ def rounded(left: np.ndarray, capacity: int, full: bool) -> list[tuple[dict[int,
     """Configurations, all full ones if so wanted, of solutions scaled and rounded down; takes their pieces from left."""
     out = []
     for _ in range(SOLUTIONS):
-        if left.sum() <= RESIDUE:
+        before = left.sum()
+        if not before:
             break
         for c, x in sorted(solve(left, capacity), key=lambda y: (-max(y[0]), -y[1])):
             n = int(min([x, *(left[l] // k for l, k in c.items())]))
@@ -187,15 +191,17 @@ def rounded(left: np.ndarray, capacity: int, full: bool) -> list[tuple[dict[int,
                 out.append((c, n))
                 for l, k in c.items():
                     left[l] -= n * k
+        if before - left.sum() < LEAST_PROGRESS * before:
+            break
     return out
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(configuration, how often) of sequences that hold every piece once; histogram[l] pieces have length l.
 
-    Full configurations come first.  If many pieces are left, as common lengths that no
-    others complete, configurations with room are tried for these, too; so is best fit
-    alone, and the fewest sequences count."""
+    Full configurations come first.  For what is left, as common lengths that no others
+    complete, configurations with room are tried, too; so is best fit alone, and the fewest
+    sequences count.  All this is done at every size."""
     left, out = histogram.astype(np.int64).copy(), []
     if left[capacity]:
         out.append(({capacity: 1}, int(left[capacity])))
@@ -203,9 +209,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int
     tried = [best_fit(left, capacity)]
     made = rounded(left, capacity, True)
     tried.append(made + best_fit(left, capacity))
-    if left.sum() > RESIDUE:
-        made += rounded(left, capacity, False)
-        tried.append(made + best_fit(left, capacity))
+    made += rounded(left, capacity, False)
+    tried.append(made + best_fit(left, capacity))
     return out + min(tried, key=lambda made: sum(n for _, n in made))
 
 
@@ -275,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     Returns id_col, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and
     ``offset``, a row for each piece.  A null or empty text is ``end_id`` alone.  Only
-    documents over the capacity are cut; their first piece may be short.  Repeated rows
+    documents over the capacity are cut, however long they are; their first piece may be short.  Repeated rows
     and null ids are packed like others; an empty table gives an empty one; other
     columns are not carried.
     """
