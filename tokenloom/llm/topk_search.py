@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 K = 10
 SCALE = 1024
-QUERY_BLOCK = 2048
-ROW_BLOCK = 32_768
+#: Rows of a block at most; a row is sent once for each block of queries, a query once for each block of rows.
+QUERY_BLOCK = 16_384
+ROW_BLOCK = 65_536
+#: Rows that a block has at least before there are more of them than tasks run at once.
+LEAST_BLOCK = 4096
 DIMENSIONS = 8
 _EXACT = float(1 << 53)
 
@@ -87,7 +90,9 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         .select("id", "is_query", F.size("v").alias("d"), F.transform("v", lambda c: F.floor(c * scale)).alias("v"))
     )
     sizes = usable.agg(F.count("*"), F.count_if("is_query")).first()
-    row_blocks, query_blocks = -(-sizes[0] // ROW_BLOCK) or 1, -(-sizes[1] // QUERY_BLOCK) or 1
+    at_once = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    row_blocks = max(-(-sizes[0] // ROW_BLOCK), min(at_once, sizes[0] // LEAST_BLOCK), 1)
+    query_blocks = -(-sizes[1] // QUERY_BLOCK) or 1
     queries = usable.filter("is_query").groupBy("id").agg(F.min(F.struct("d", "v")).alias("x")).select("id", "x.d", "x.v")
     each_row = usable.select("id", "d", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks)).alias("r")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     each_query = queries.withColumn("q", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
