@@ -29,11 +29,16 @@ from .shared import buffers, with_fields
 CHUNK = 2048
 #: Steps of a chunk's first run that are kept to meet later ones.
 TRACK = 48
-#: A worker's compiled states are dropped and compiled anew beyond this many.
+#: A worker's compiled states are dropped and compiled anew beyond this many, between groups of chunks; a group
+#: of LANE_BYTES makes about a fifth as many states as it has bytes at worst, as random letters do.
 MAX_STATES = 200_000
+#: States that a transition's key has room for.
+ROOM = 1 << 23
 #: Entries of each table of remembered merges and steps; they are only forgotten, never wrong.
 MEMO = 60_000
 LANE_BYTES = 8 << 20
+#: So few chunks step one by one.
+FEW = 1
 
 # Classes of characters in the splitter: letters, numbers, space, other white space, anything else.
 LETTER, NUMBER, BLANK, WHITE, OTHER = range(5)
@@ -144,8 +149,15 @@ class Counter:
         self.size(1 << 16)
         self.final = np.zeros(4096, np.int32)
         self.pushed: dict = {}
+        self.steps: dict[int, int] = {}
         self.same: dict = {}
         self.start = self.state(("start", b"", _START, 0, ""))
+        self.made = 0.0  # states for each byte of the last group
+
+    def lanes(self) -> int:
+        """Chunks to run together: as many as make no more than MAX_STATES states, if they are like those before."""
+        fit = min(LANE_BYTES, int(MAX_STATES / max(self.made, 1e-9)))
+        return max(64, fit // CHUNK)
 
     def size(self, slots: int) -> None:
         self.keys, self.values = np.full(slots, -1, np.int32), np.zeros(slots, np.int32)
@@ -175,6 +187,8 @@ class Counter:
         i = self.ids.get(key)
         if i is None:
             i = self.ids[key] = len(self.states)
+            if i >= ROOM:
+                raise RuntimeError("more states than a transition's key has room for")
             self.states.append(key)
             if i >= len(self.final):
                 self.final = np.concatenate((self.final, np.zeros(len(self.final), np.int32)))
@@ -314,6 +328,11 @@ class Counter:
         state, n, met = entry.astype(np.int32), np.zeros(len(entry), np.int32), np.full(len(entry), -1)
         active, step = np.flatnonzero(sizes > 0), 0
         while len(active):
+            if len(active) <= FEW:  # steps of few chunks are quicker one by one
+                for i in active.tolist():
+                    state[i], m, met[i] = self.follow_one(data[starts[i] + step : starts[i] + sizes[i]].tobytes(), int(state[i]), step, states[:, i].tolist())
+                    n[i] += m
+                break
             state[active], emitted = self.take(state[active], data[starts[active] + step])
             n[active] += emitted
             if step < TRACK:
@@ -323,12 +342,26 @@ class Counter:
         return state, n, met
 
 
+    def follow_one(self, data: bytes, state: int, step: int, states: list[int]) -> tuple[int, int, int]:
+        """One chunk's rest from a state, until it meets its run from the start state: exit, tokens, the step of meeting or -1."""
+        n = 0
+        for step, byte in enumerate(data, step):
+            t = self.steps.get(state << 8 | byte)
+            if t is None:
+                if len(self.steps) > 4 * MEMO:
+                    self.steps.clear()
+                t = self.steps[state << 8 | byte] = self.compile(state, byte)
+            state = t >> 8
+            n += (t & 255) - _BIAS
+            if step < TRACK and states[step] == state:
+                return state, n, step
+        return state, n, -1
+
+
 def count_texts(machine: Counter, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Tokens of each text data[offsets[i]:offsets[i + 1]], none of which holds a special string."""
     if not len(offsets) - 1:
         return np.zeros(0, np.int64)
-    if len(machine.states) > MAX_STATES:
-        machine.reset()
     chunks = np.maximum(1, -(-np.diff(offsets) // CHUNK))
     text = np.repeat(np.arange(len(chunks)), chunks)
     first = np.cumsum(chunks) - chunks
@@ -338,19 +371,39 @@ def count_texts(machine: Counter, data: np.ndarray, offsets: np.ndarray) -> np.n
         inside = np.flatnonzero((part > 0) & (starts < end))
         starts[inside] += (data[starts[inside]] & 0xC0) == 0x80
     sizes = np.append(starts[1:], offsets[-1]) - starts
+    total, owed = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    lo, carried = 0, machine.start
+    while lo < len(text):  # groups of chunks; a long text goes on in the next one, in the state it has come to
+        if len(machine.states) > MAX_STATES:
+            held, made = machine.states[carried], machine.made
+            machine.reset()
+            carried, machine.made = machine.state(held), made
+        hi, before = min(len(text), lo + machine.lanes()), len(machine.states)
+        exits, total[lo:hi] = _group(machine, data, starts[lo:hi], sizes[lo:hi], part[lo:hi] > 0, carried)
+        owed[lo:hi] = machine.final[exits]
+        machine.made = (len(machine.states) - before) / max(1, int(sizes[lo:hi].sum()))
+        lo, carried = hi, int(exits[-1])
+    return np.add.reduceat(total, first) + owed[first + chunks - 1]
+
+
+def _group(machine: Counter, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, goes_on: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exits and tokens of a group of chunks; one that goes on begins in the state that the one before ends in."""
     base_exit, base_total, states, counts = machine.run(data, starts, sizes)
     exits, total = base_exit.copy(), base_total.copy()
-    known = np.full(len(text), machine.start, np.int32)
+    known, rounds = np.full(len(starts), machine.start, np.int32), 0
     while True:  # compose: each chunk's map at the exit of the chunk before
-        want = np.where(part > 0, np.roll(exits, 1), machine.start)
-        todo = np.flatnonzero(want != known)
+        want = np.where(goes_on, np.concatenate(([carried], exits[:-1])), machine.start)
+        late = want != known
+        rounds += 1
+        if rounds > 2:  # a piece spans whole chunks: only exits that stay are worth going on from
+            late[1:] &= ~late[:-1]
+        todo = np.flatnonzero(late)
         if not len(todo):
-            break
+            return exits, total
         known[todo] = want[todo]
         out, n, met = machine.follow(data, starts[todo], sizes[todo], want[todo], states[:, todo])
         exits[todo] = np.where(met >= 0, base_exit[todo], out)
         total[todo] = np.where(met >= 0, base_total[todo] - counts[met, todo], 0) + n
-    return np.add.reduceat(total.astype(np.int64), first) + machine.final[exits[first + chunks - 1]]
 
 
 _machines: dict[str, Counter] = {}
@@ -404,9 +457,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     Special strings inside a text are one token each, as in the library.  Returns
     id_col, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more tokens than ``context``),
-    one row for each row of docs.  A null or empty text has no bytes and no tokens; a
-    null id stays null; an empty table gives an empty one; bytes that are not UTF-8
-    count as replacement characters; other columns are not carried.
+    one row for each row of docs, repeated ones too.  A null or empty text has no bytes
+    and no tokens; a very long text is read whole, in groups of chunks that carry their
+    state on; a null id stays null; an empty table gives an empty one; bytes that are not
+    UTF-8 count as replacement characters; other columns are not carried.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias(text_col))
     schema = with_fields(rows.select(id_col).schema, ("n_bytes", "long"), ("n_tokens", "long"))
