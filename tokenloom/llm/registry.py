@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, decontaminate, jaccard_join, language_id, quality_model, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
+from . import best_fit_packing, decontaminate, jaccard_join, language_id, quality_model, source_divergence, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_topk_search": topk_search.op10_topk_search,
+        "op11_source_divergence": source_divergence.op11_source_divergence,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_revisit": warc_revisit.OP3_SQL,
         "op10_topk_search": topk_search.OP10_SQL,
+        "op11_source_divergence": source_divergence.OP11_SQL,
     }
