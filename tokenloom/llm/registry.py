@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, decontaminate, jaccard_join, language_id, quality_model, source_divergence, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
+from . import best_fit_packing, decontaminate, jaccard_join, language_id, quality_model, sentence_pieces, source_divergence, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_topk_search": topk_search.op10_topk_search,
         "op11_source_divergence": source_divergence.op11_source_divergence,
+        "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
     }
 
 
