@@ -153,6 +153,7 @@ class Model:
         unknown = trainer.get(44, b" \xe2\x81\x87 ")
         surface = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: unknown}
         self.surfaces = [surface[k](p) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.controls = np.array([k == CONTROL for k in self.kinds])
         # letters that stand side by side in a piece: between any others no merge can reach
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known, self.store = {}, _Store()
@@ -411,7 +412,10 @@ class Model:
                 yield from self._encoded(held)
                 held, size = [], 0
             if len(form) > SLAB:
-                parts = [self.store.rows(self.meet(words)) for words in map(self.cut_words, self.slabs(form))]
+                parts = []
+                for words in map(self.cut_words, self.slabs(form)):
+                    at = self.meet(words)  # which may begin a new store
+                    parts.append(self.store.rows(at))
                 yield self._spans(np.concatenate(parts, 1), places)
             else:
                 held.append((places, self.cut_words(form)))
@@ -458,13 +462,21 @@ class Model:
                 head += 1
                 if out[-1] or begins and not self.squeeze:
                     break
-        for at in range(head, len(ids), SLAB):
-            out.append(b"".join(map(self.surfaces.__getitem__, ids[at : at + SLAB].tolist())))
-        whole = b"".join(out)
-        try:
-            return whole.decode()
-        except UnicodeDecodeError:
-            return whole.decode("utf-8", "each_byte")
+        # bytes on both sides of a control id make no letter together
+        rest = ids[head:]
+        edges = [0, *(np.flatnonzero(self.controls[rest]) + 1).tolist(), len(rest)]
+        return _text(b"".join(out)) + "".join(_text(b"".join(self._surfaces(rest[a:b]))) for a, b in zip(edges, edges[1:]))
+
+    def _surfaces(self, ids: np.ndarray) -> Iterator[bytes]:
+        for at in range(0, len(ids), SLAB):
+            yield b"".join(map(self.surfaces.__getitem__, ids[at : at + SLAB].tolist()))
+
+
+def _text(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "each_byte")
 
 
 class _Store:
