@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, decontaminate, jaccard_join, language_id, quality_model, sentence_pieces, source_divergence, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
+from . import best_fit_packing, decontaminate, hard_negatives, jaccard_join, language_id, quality_model, sentence_pieces, source_divergence, substring_dedup, suffix_dedup, token_counts, topk_search, warc_revisit
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_topk_search": topk_search.op10_topk_search,
         "op11_source_divergence": source_divergence.op11_source_divergence,
         "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_revisit": warc_revisit.OP3_SQL,
         "op10_topk_search": topk_search.OP10_SQL,
         "op11_source_divergence": source_divergence.OP11_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
     }
