@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, texts, tidy, with_fields
 
 #: Words of at most WORD letters are kept, KEPT of them; longer ones are cut where no piece can stand.
-WORD, KEPT = 40, 800_000
+WORD, KEPT = 40, 250_000
 #: Letters or ids of a long text at a time.
 SLAB = 1 << 18
 SPACE = "▁"
