@@ -160,7 +160,7 @@ def test_pieces_of_documents(spark, docs, small, none, odd):
 
 
 def plain_mine(rows, anchor, scale=256, positives=5, negatives=10, least=30, most=90):
-    sound = [(i, [int(np.floor(scale * x)) for x in v], str(label)) for i, v, label in rows if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    sound = [(i, [int(np.floor(scale * x)) for x in v], str(label)) for i, v, label in rows if i is not None and label is not None and v and all(x is not None and np.isfinite(scale * x) for x in v)]
     anchors = {}
     for i, v, label in sound:
         if anchor(i):
@@ -199,7 +199,7 @@ def test_hard_negatives(spark, monkeypatch, small_cells):
 
 
 def test_hard_negatives_of_huge_components(spark):
-    rows = [(i, [x * 1e7, y], i % 2) for i, (x, y) in enumerate([(3.0, 1.0), (5.0, 7.0), (4.0, -2.0), (2.0, 3.0), (1e300, 1.0), (1.5, -1e300), (6.0, 1.0), (1.0, 0.0)])]
+    rows = [(i, [x * 1e7, y], i % 2) for i, (x, y) in enumerate([(3.0, 1.0), (5.0, 7.0), (4.0, -2.0), (2.0, 3.0), (1e290, 1.0), (1.5, -1e290), (6.0, 1.0), (1.0, 0.0), (1e300, 0.0)])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert mined(df, F.col("vec_id") < 8) == plain_mine(rows, lambda i: i < 8) != []
 

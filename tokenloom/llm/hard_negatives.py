@@ -328,15 +328,15 @@ def mine(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col:
     ``negative_id``, ``positive_score`` and ``negative_score``; anchors without positives,
     and positives without negatives, have no rows.
 
-    Rows with a null id, label or vector, or with null, infinite or undefined components,
-    take no part; vectors meet only ones as long, empty ones none.  An anchor meets no row
+    Rows with a null id, label or vector, or with components that are null, undefined or (scaled)
+    infinite, take no part; vectors meet only ones as long, empty ones none.  An anchor meets no row
     of its own id; of several anchor rows with one id the least label and vector count;
     other repeated rows each take a rank.  A pair whose score leaves 64 bits takes no part.
     An empty table gives an empty one; other columns are not read.
     """
     spark = rows.sparkSession
     x = F.col(vector_col).cast("array<double>")
-    sound = F.forall("a", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sound = F.forall("a", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * float(scale)) < float("inf")))
     finite = (
         rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), x.alias("a"), F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"))
         .filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("a").isNotNull())
@@ -347,7 +347,7 @@ def mine(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col:
     def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
             lists = batch.column(3)
-            flat = np.floor(np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False))).astype("<f8")
+            flat = np.floor(lists.flatten().to_numpy(zero_copy_only=False)).astype("<f8")
             ends = np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
             v = pa.array([flat[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], v], names=["id", "label", "is_anchor", "v"])
