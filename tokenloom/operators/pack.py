@@ -23,8 +23,10 @@ def _range_of(order: Column, cuts: list) -> Column:
     return coarse * k + under(F.element_at(F.array(*[array(g) for g in groups]), coarse + 1))
 
 
-def prefix_sum(rows: DataFrame, order: str, value: str, out: str = "start", buckets: int | None = None) -> DataFrame:
-    """The sum of value over all rows before, by a numeric order column without ties.
+def prefix_sum(rows: DataFrame, order: str, value: str, out: str = "start", buckets: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The sum of value over all rows before, by a numeric order column; further columns order its ties.
+
+    A null value adds nothing, a row without an order comes first.
 
     A window over everything is one task.  Instead rows fall into ranges of the order
     column, cut at approximate quantiles: sums of ranges are a few rows, their prefix
@@ -36,7 +38,7 @@ def prefix_sum(rows: DataFrame, order: str, value: str, out: str = "start", buck
     sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = placed.join(F.broadcast(base), "_range")  # at most MOST_RANGES rows
     return joined.withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("bigint")).drop("_range", "_base")
 
@@ -45,6 +47,7 @@ def document_ids(text: Column, condition: str = "facts", inject: bool = True) ->
     """The end marker, then the document's ids, with facts injected if the condition asks for them."""
     from ..functions.inject import inject as inject_facts
 
+    text = F.coalesce(text, F.lit(""))  # a document without a text is an empty one
     body = inject_facts(text) if inject and condition == "facts" else text
     return F.concat(F.array(F.lit(facts.EOT)), encode(body, condition))
 
@@ -55,12 +58,14 @@ def with_synthetic(docs: DataFrame, synthetic: DataFrame, shard_size: int, order
     return marked.unionByName(synthetic.filter(F.col(n) < shard_size).withColumn(order, F.lit(-1).cast(docs.schema[order].dataType)).withColumn("is_document", F.lit(False)), allowMissingColumns=True)
 
 
-def pack(docs: DataFrame, shard_size: int, target: int, order: str = "doc_id", n: str = "n", buckets: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, shard_size: int, target: int, order: str = "doc_id", n: str = "n", buckets: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of documents in shards: order, shard, piece_start (place in the stream), length, shard_offset, doc_offset.
 
     A document is kept if it starts before the target; the last one is finished, but
-    cut at the first end of a shard from the target on.  Long documents span shards."""
-    s = prefix_sum(docs, order, n, "start", buckets).filter(F.col("start") < target)
+    cut at the first end of a shard from the target on.  Long documents span shards; those
+    of no or unknown size have no place in any.  Documents of one order need ties to tell them apart."""
+    sized = docs.withColumn(n, F.coalesce(F.col(n), F.lit(0)))
+    s = prefix_sum(sized, order, n, "start", buckets, ties).filter(F.col("start") < target)
     end = F.lit(-(-target // shard_size) * shard_size)
     s = s.withColumn("stop", F.least(F.col("start") + F.col(n), end)).filter("stop > start")
     shards = F.sequence(F.floor(F.col("start") / shard_size), F.floor((F.col("stop") - 1) / shard_size))
@@ -129,24 +134,17 @@ def batch_rows(packed: DataFrame, plan: DataFrame, batch: int, length: int, shar
     return taken.select(F.col("shard").alias(shard), "rank", "step", "row", F.slice("ids", 1, length).alias("x"), F.slice("ids", 2, length).alias("y"))
 
 
-def build_pieces(docs: DataFrame, shard_size: int, target: int, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None) -> DataFrame:
+def build_pieces(docs: DataFrame, shard_size: int, target: int | None, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None, encoder=None) -> DataFrame:
     """Text to pieces of shards: split, shard, shard_offset, doc_offset, length, facts (of the whole document) and ids.
 
-    Only sizes go through the packing; texts are encoded once more where their pieces are made."""
-    rows = docs.select(order, text)
-    extra = synthetic.select(F.lit(-1).cast(docs.schema[order].dataType).alias(order), text) if synthetic is not None else rows.limit(0)
-    ids = document_ids(F.col(text), condition)
-    sizes = lambda d: d.select(order, F.size(ids).cast("bigint").alias("n"))
-    counted = with_synthetic(sizes(rows), sizes(extra).select("n"), shard_size, order) if synthetic is not None else sizes(rows)
-    pieces = with_split(pack(counted.select(order, "n"), shard_size, target, order), val_shards)
-    whole = rows.unionByName(extra).select(order, ids.alias("_ids"))
-    facts_in = F.size(F.filter("_ids", facts.is_fact_id)).alias("facts")
-    part = F.slice("_ids", F.col("doc_offset").cast("int") + 1, F.col("length").cast("int")).alias("ids")
-    return pieces.join(whole, order).select(order, "split", "shard", "piece_start", "shard_offset", "doc_offset", "length", facts_in, part)
-
-
-def build_corpus(docs: DataFrame, shard_size: int, target: int, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None) -> DataFrame:
-    """Text to shards: split, shard, tokens.  A shard is a row here; ``build_pieces`` with ``write_pieces`` holds none whole."""
-    parts = build_pieces(docs, shard_size, target, val_shards, condition, order, text, synthetic)
+    ``corpus.build`` with the ids as arrays; bytes are the default encoder."""
+    from . import corpus
+
+    return corpus.unpacked(corpus.build(docs, shard_size, target, val_shards, encoder, condition, order, text, synthetic))
+
+
+def build_corpus(docs: DataFrame, shard_size: int, target: int | None, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None, encoder=None) -> DataFrame:
+    """Text to shards: split, shard, tokens.  A shard is a row here; ``files.write_token_shards`` of pieces holds none whole."""
+    parts = build_pieces(docs, shard_size, target, val_shards, condition, order, text, synthetic, encoder)
     held = F.array_sort(F.collect_list(F.struct("shard_offset", "ids")))
     return parts.groupBy("split", "shard").agg(F.flatten(F.transform(held, lambda x: x["ids"])).alias("tokens"))

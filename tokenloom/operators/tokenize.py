@@ -5,7 +5,6 @@ file may be given instead; that one runs in an Arrow UDF."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ def byte_ids(text: Column) -> Column:
 
 def _fact_id(match: Column) -> Column:
     a, b, c = (F.regexp_extract(match, FACT, i).try_cast("int") for i in (1, 2, 3))
-    return F.when(F.coalesce(a * b == c, F.lit(False)), facts.token_id(a, b))
+    return F.when(F.coalesce(facts.in_range(a) & facts.in_range(b) & (a.cast("bigint") * b.cast("bigint") == c), F.lit(False)), facts.token_id(a, b))
 
 
 def encode(text: Column, condition: str = "facts", plain: Callable[[Column], Column] = byte_ids) -> Column:
@@ -62,29 +61,20 @@ def _row(a: int) -> int:
 
 
 def library_encoder(path: str, with_facts: bool = True) -> Callable[[Column], Column]:
-    """An encoder of a tokenizers file, by Arrow batches; errors of a text give null ids."""
+    """An encoder of a tokenizers file, by Arrow batches; a text that can't be encoded has null ids, ``corpus.encoded`` tells why."""
+    from .corpus import Library, _of_worker, ids_of
+
+    encoder = Library(path, special="text")
 
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        pattern = re.compile(FACT)
+        encode = _of_worker(encoder)
 
         def one(text):
-            if text is None:
+            try:
+                return None if text is None else ids_of(encode, [text], with_facts)[0][0][1:].astype(np.int32)
+            except Exception:
                 return None
-            out: list[int] = []
-            last = 0
-            for m in pattern.finditer(text) if with_facts else ():
-                a, b, c = map(int, m.groups())
-                if 1 <= min(a, b) and max(a, b) <= 9 and a * b == c:
-                    out += tokenizer.encode(text[last : m.start()], add_special_tokens=False).ids
-                    a, b = sorted((a, b))
-                    out.append(facts.FIRST_ID + _row(a) + b - a)
-                    last = m.end()
-            return out + tokenizer.encode(text[last:], add_special_tokens=False).ids
 
         return texts.map(one)
 

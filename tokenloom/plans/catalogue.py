@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, arrays, facts, inject, text
-from ..operators import evaluate, generators, pack, registry, sampling, service, tokenize
-from ..sources import files
+from ..operators import corpus, evaluate, generators, pack, registry, sampling, service, tokenize
+from ..sources import files, token_shards
 from ..streaming import streams
 
 QUERIES: dict = {}
@@ -484,14 +484,35 @@ SQL_SIZES = f"SELECT doc_id, 1 + len(regexp_extract_all(text, {SQL_FACT})) + oct
 SQL_CORPUS = f"{SQL_DRILLED}, {sql_pack(ALL, SQL_SIZES)}"
 
 
-def corpus_pieces(spark, d) -> DataFrame:
-    return pack.build_pieces(drilled(spark, d), SHARD, ALL, 2)
+#: A document's ids as text: two bytes each in hexadecimal, the lower one first.
+SQL_IDS = f"""f AS (SELECT '<MUL_' || a || '_' || b || '_' || a * b || '>' AS token, 50304 + (a - 1) * 9 - (a - 1) * (a - 2) // 2 + b - a AS v FROM range(1, 10) x(a), range(1, 10) y(b) WHERE a <= b),
+m AS (SELECT map_from_entries(list((token, printf('%02X%02X', v % 256, v // 256)))) AS m FROM f),
+h AS (SELECT doc_id, '50C4' || array_to_string(list_transform(list_zip(string_split_regex(text, {SQL_FACT}), regexp_extract_all(text, {SQL_FACT})), lambda z: regexp_replace(hex(encode(coalesce(z[1], ''))), '(..)', '\\100', 'g') || coalesce(m[z[2]], '')), '') AS ids FROM i, m)"""
 
 
-@query(f"WITH {SQL_CORPUS} SELECT doc_id, shard::BIGINT AS shard, piece_start::BIGINT AS piece_start, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset, facts::INT AS facts FROM p")
+def corpus_pieces(spark, d, target: int | None = None) -> DataFrame:
+    return corpus.build(drilled(spark, d), SHARD, target, 2)
+
+
+@query(f"WITH {SQL_CORPUS}, {SQL_IDS} SELECT doc_id, shard::BIGINT AS shard, piece_start::BIGINT AS piece_start, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset, facts::INT AS facts, md5(substr(ids, 4 * doc_offset + 1, 4 * length)) AS ids FROM p JOIN h USING (doc_id)")
 def corpus_build(spark, d):
-    """Documents to shards: injection, encoding with fact tokens, packing, over the whole table."""
-    return corpus_pieces(spark, d).filter(F.size("ids") == F.col("length")).select("doc_id", "shard", "piece_start", "length", "doc_offset", "facts")
+    """Documents to shards: injection, encoding with fact tokens, packing, over the whole table; ids by their digest."""
+    return corpus_pieces(spark, d).select("doc_id", "shard", "piece_start", "length", "doc_offset", "facts", F.md5(F.hex("ids")).alias("ids"))
+
+
+@query(f"WITH {SQL_DRILLED}, {sql_pack(BUDGET, SQL_SIZES)}, {SQL_IDS} SELECT doc_id, shard::BIGINT AS shard, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset, md5(substr(ids, 4 * doc_offset + 1, 4 * length)) AS ids FROM p JOIN h USING (doc_id)")
+def budget_build(spark, d):
+    """A build whose reading stops at a budget of tokens, which is the feature here."""
+    return corpus_pieces(spark, d, BUDGET).select("doc_id", "shard", "length", "doc_offset", F.md5(F.hex("ids")).alias("ids"))
+
+
+@query()
+def corpus_build_vocabulary(spark, d):
+    """The same with the ids of a vocabulary of byte-level BPE; tests compare them with the library's."""
+    import public_tokenizers
+
+    encoder = corpus.Library(public_tokenizers.path("byte_bpe_50k.json"), special="text")
+    return corpus.build(drilled(spark, d), SHARD, None, 2, encoder).select("doc_id", "shard", "piece_start", "length", "doc_offset", "facts", F.md5(F.hex("ids")).alias("ids"))
 
 
 @query(f"WITH {SQL_CORPUS}, w AS (SELECT sum(facts) FILTER (doc_offset = 0)::BIGINT AS facts, sum(length)::BIGINT AS tokens, count(DISTINCT shard) AS shards, count(DISTINCT doc_id) AS documents FROM p) SELECT tokens, shards, documents, facts, facts / tokens AS ratio FROM w")
@@ -524,7 +545,7 @@ def loader_batches(spark, d):
     return pack.batches(sizes, 8, 32, 4).select("shard", "rank", "step", F.col("position").cast("bigint").alias("position"))
 
 
-@query(
+SQL_ROWS = (
     "WITH b AS (SELECT doc_id, [50256] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT) AS ids FROM documents),"
     " t AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, id FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM b)),"
     f" z AS (SELECT pos // {SHARD} AS shard, count(*) AS size FROM t GROUP BY 1), w AS (SELECT t.pos // {SHARD} AS shard, pos % {SHARD} AS slot, id, size, (pos % {SHARD}) // 64 AS r FROM t JOIN z ON z.shard = t.pos // {SHARD}),"
@@ -534,14 +555,27 @@ def loader_batches(spark, d):
     " SELECT shard::BIGINT AS shard, rank::INT AS rank, step::BIGINT AS step, (r % 4)::INT AS row, array_to_string(ids[1:64], ',') AS x, array_to_string(ids[2:65], ',') AS y FROM p"
     " WHERE (step = 0 OR 256 * (rank + step * 2) + 512 + 1 <= size) AND 256 * (rank + step * 2) + 257 <= size"
 )
+
+
+@query(SQL_ROWS)
 def batch_rows(spark, d):
     """Every row of every batch of the whole table's shards."""
-    parts = pack.build_pieces(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), SHARD, ALL, 1, "baseline")
+    parts = pack.build_pieces(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), SHARD, None, 1, "baseline")
     plan = pack.batches(parts.groupBy("shard").agg(F.sum("length").alias("size")), 4, 64, 2)
     rows = pack.batch_rows(parts, plan, 4, 64, tokens="ids")
     return rows.select("shard", "rank", "step", "row", joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
 
 
+@query(SQL_ROWS)
+def shard_batches(spark, d):
+    """The same rows from .npy files, written shard by shard in order and read by ranges."""
+    at = files.scratch(spark, "token-shards")
+    pieces = corpus.build(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), SHARD, None, 0, condition="baseline")
+    token_shards.write_token_shards(pieces, at, SHARD)
+    rows = token_shards.read_batches(spark, at, "train", 4, 64, 2)
+    return rows.select(F.col("shard").cast("bigint").alias("shard"), "rank", F.col("shard_step").alias("step"), "row", joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
+
+
 # ---- rows ----
 
 

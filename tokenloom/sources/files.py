@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import re
 import sys
-import tempfile
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..functions.text import shard_name
 from ..operators.tokenize import checked_uint16
+from .scratch import scratch  # noqa: F401
 
 QA_SCHEMA = "question string, answer string"
 CHAT_SCHEMA = "messages array<struct<role: string, content: string>>"
@@ -137,17 +137,6 @@ def _over(below: dict, above: dict) -> dict:
     return below | {k: _over(below[k], v) if nested(k) else v for k, v in above.items() if v != {} or k not in below}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path where all executors write: under spark.checkpoint.dir, or here if all runs here."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return path
-
-
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """path and step of checkpoint files, by step; files are listed, not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "model_*.pt").load(path).select("path")
