@@ -199,7 +199,7 @@ def test_hard_negatives(spark, monkeypatch, small_cells):
 
 
 def test_hard_negatives_of_huge_components(spark):
-    rows = [(i, [x * 1e7, y], i % 2) for i, (x, y) in enumerate([(3.0, 1.0), (5.0, 7.0), (4.0, -2.0), (2.0, 3.0), (1e290, 1.0), (1.5, -1e290), (6.0, 1.0), (1.0, 0.0), (1e300, 0.0)])]
+    rows = [(i, [x * 1e6, y], i % 2) for i, (x, y) in enumerate([(3.0, 1.0), (5.0, 7.0), (4.0, -2.0), (2.0, 3.0), (1e290, 1.0), (1.5, -1e290), (6.0, 1.0), (1.0, 0.0), (1e300, 0.0)])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert mined(df, F.col("vec_id") < 8) == plain_mine(rows, lambda i: i < 8) != []
 
