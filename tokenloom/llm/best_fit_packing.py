@@ -179,14 +179,15 @@ def solve(left: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[d
 
 
 def rounded(left: np.ndarray, capacity: int, full: bool) -> list[tuple[dict[int, int], int]]:
-    """Configurations, all full ones if so wanted, of solutions scaled and rounded down; takes their pieces from left."""
+    """Configurations, all full ones if so wanted, of solutions scaled and rounded; takes their pieces from left."""
     out = []
     for _ in range(SOLUTIONS):
         before = left.sum()
         if not before:
             break
         for c, x in sorted(solve(left, capacity), key=lambda y: (-max(y[0]), -y[1])):
-            n = int(min([x, *(left[l] // k for l, k in c.items())]))
+            # a fraction of at least a half is one, as with few pieces all are fractions
+            n = int(min([max(x, round(x)), *(left[l] // k for l, k in c.items())]))
             if n > 0 and (not full or sum(l * k for l, k in c.items()) == capacity):  # others waste room for good
                 out.append((c, n))
                 for l, k in c.items():
@@ -199,19 +200,19 @@ def rounded(left: np.ndarray, capacity: int, full: bool) -> list[tuple[dict[int,
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """(configuration, how often) of sequences that hold every piece once; histogram[l] pieces have length l.
 
-    Full configurations come first.  For what is left, as common lengths that no others
-    complete, configurations with room are tried, too; so is best fit alone, and the fewest
-    sequences count.  All this is done at every size."""
+    The program's full configurations come first, and best fit places what rounding leaves;
+    then its configurations with room, too, as for common lengths that no others complete.
+    Of plans with equally many sequences that with most from the program counts.  All this
+    is done at every size; best fit alone counts only if it needs strictly fewer."""
     left, out = histogram.astype(np.int64).copy(), []
     if left[capacity]:
         out.append(({capacity: 1}, int(left[capacity])))
         left[capacity] = 0
-    tried = [best_fit(left, capacity)]
+    alone = best_fit(left, capacity)
     made = rounded(left, capacity, True)
-    tried.append(made + best_fit(left, capacity))
-    made += rounded(left, capacity, False)
-    tried.append(made + best_fit(left, capacity))
-    return out + min(tried, key=lambda made: sum(n for _, n in made))
+    full = made + best_fit(left, capacity)
+    made = made + rounded(left, capacity, False)
+    return out + min((made + best_fit(left, capacity), full, alone), key=lambda made: sum(n for _, n in made))
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
