@@ -220,7 +220,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     returned, in bytes.  Items under LEAST_BYTES bytes count only as they are.  Null or
     empty texts and items hold and are nothing; a null id stays null; repeated items
     each give their rows and repeated documents too; a very long text is read whole, in one
-    worker with about 20 times its size; empty tables give an empty result.
+    worker, in slices of PIECE bytes that overlap by the longest item's reach, each of which
+    takes about 60 times its size; empty tables give an empty result.
     Other columns are not carried.
     """
     rows = small_batches(docs).select(id_col, F.col(text_col).cast("string").alias("_text"))
@@ -262,18 +263,40 @@ def _item_scans(items: DataFrame, item_id: str, item_text: str) -> Iterator:
             yield spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in part])
 
 
+def _slices(n: int, reach: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of a text's slices: any stretch of reach bytes lies whole in one."""
+    size = max(PIECE, 4 * reach)
+    for start in range(0, max(n, 1), size):
+        yield start, min(n, start + size + reach)
+        if start + size + reach >= n:
+            return
+
+
 def _found(items: Items, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) in a column of texts."""
-    found: list[tuple[int, int, int, int, int]] = []
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     held: list[bytes] = []
-    first = size = 0
-    for i, text in enumerate([*texts(column), None]):
-        if held and (i == len(column) or size + len(text or b"") > PIECE):
-            found += [(first + d, k, x, y, e) for d, k, x, y, e in leaks_in(items, held)]
-            held, first, size = [], i, 0
-        held.append(normal(text or b""))
-        size += len(text or b"")
-    return found
+    where: list[tuple[int, int]] = []
+    size, reach = 0, max((len(t) + items.limit(k) for k, t in enumerate(items.texts)), default=0) + BIN
+
+    def flush() -> None:
+        for d, k, x, y, edits in leaks_in(items, held):
+            row, start = where[d]
+            if (row, k) not in best or edits < best[row, k][2]:
+                best[row, k] = (start + x, start + y, edits)
+        held.clear()
+        where.clear()
+
+    for i, text in enumerate(texts(column)):
+        for start, end in _slices(len(text or b""), reach):
+            if held and size + end - start > PIECE:
+                flush()
+                size = 0
+            held.append(normal(text[start:end]) if text else b"")
+            where.append((i, start))
+            size += end - start
+    flush()
+    return [(row, k, x, y, edits) for (row, k), (x, y, edits) in sorted(best.items())]
 
 
 def _finder(shared, id_col: str):
