@@ -25,15 +25,21 @@ ROW_BLOCK = 65_536
 #: Rows that a block has at least before there are more of them than tasks run at once.
 LEAST_BLOCK = 4096
 DIMENSIONS = 8
-_EXACT = float(1 << 53)
+_EXACT, _LONG = float(1 << 53), 1 << 63
 
 
 def top_k(query: np.ndarray, columns: np.ndarray, norms: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k candidates with the highest inner product, ties to smaller ids.
 
     columns[d] holds dimension d of all candidates; values are whole numbers, so sums
-    are exact while they stay under 2**53 (else in Python's integers)."""
+    are exact while they stay under 2**53 (else in Python's integers, where scores that
+    leave 64 bits don't count)."""
     alive = np.flatnonzero(ids != own)
+    if columns.dtype == object:  # no float bounds these
+        score = (query[:, None] * columns[:, alive]).sum(0)
+        fits = [i for i, s in enumerate(score.tolist()) if -_LONG <= s < _LONG]
+        best = sorted(fits, key=lambda i: (-score[i], int(ids[alive[i]])))[:k]
+        return ids[alive[best]], score[best]
     score = np.zeros(len(alive), columns.dtype)
     rest = norms[alive].astype(float)
     order = np.argsort(-np.abs(query).astype(float), kind="stable")
@@ -41,7 +47,7 @@ def top_k(query: np.ndarray, columns: np.ndarray, norms: np.ndarray, ids: np.nda
     for at in range(0, len(order), DIMENSIONS):
         block = order[at : at + DIMENSIONS]
         part = columns[block] if len(alive) == columns.shape[1] else columns[np.ix_(block, alive)]
-        score = score + (query[block] @ part if part.dtype != object else (query[block][:, None] * part).sum(0))
+        score = score + query[block] @ part
         rest = rest - (part.astype(float) ** 2).sum(0)
         left = mass[min(at + DIMENSIONS, len(order))]
         if len(alive) > k:
@@ -63,10 +69,13 @@ def _columns(lists: pa.Array) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     n = len(lists)
     matrix = flat.reshape(n, len(flat) // n).T
-    most = float(np.abs(flat.astype(float)).max()) if len(flat) else 0.0
-    if most * most * matrix.shape[0] < _EXACT:
-        return np.ascontiguousarray(matrix, float)
-    return np.ascontiguousarray(matrix).astype(object)
+    most = float(np.abs(flat).max()) if len(flat) else 0.0
+    return np.ascontiguousarray(matrix, float) if most * most * matrix.shape[0] < _EXACT else _whole(matrix)
+
+
+def _whole(matrix: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python's."""
+    return np.array([[int(x) for x in row] for row in matrix.tolist()], object).reshape(matrix.shape)
 
 
 def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -74,20 +83,22 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
 
     A component x counts as floor(scale * x).  Returns ``query_id``, ``rank`` from 1,
     id_col and ``score``.  Rows with a null id or a null vector, and vectors that hold
-    null, infinite or undefined components, take no part; vectors are only compared with
-    ones as long, and empty ones not at all.  A query isn't its own candidate, nor are
+    null, undefined or (scaled) infinite components, take no part, nor does a pair whose score
+    leaves 64 bits; vectors are only compared with ones as long, and empty ones not at all.  A query isn't its own candidate, nor are
     other rows of its id; of several query rows with one id the least vector counts.
     Ties go to the smaller id, and repeated rows each take a rank.  With fewer
     candidates than k all are returned; an empty table gives an empty one.  Other
     columns are not carried.
     """
     x = F.col(vector_col).cast("array<double>")
-    sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * float(scale)) < float("inf")))
+    # doubles from 2**53 on are whole, and may be beyond what a long holds
+    floor = lambda c: F.when(F.abs(c) < _EXACT, F.floor(c).cast("double")).otherwise(c)
     usable = (
         rows.select(F.col(id_col).cast("long").alias("id"), x.alias("v"), is_query.alias("is_query"))
         .filter(F.col("id").isNotNull() & F.col("v").isNotNull())
         .filter((F.size("v") > 0) & sound)
-        .select("id", "is_query", F.size("v").alias("d"), F.transform("v", lambda c: F.floor(c * scale)).alias("v"))
+        .select("id", "is_query", F.size("v").alias("d"), F.transform("v", lambda c: floor(c * float(scale))).alias("v"))
     )
     sizes = usable.agg(F.count("*"), F.count_if("is_query")).first()
     at_once = 2 * rows.sparkSession.sparkContext.defaultParallelism
@@ -103,8 +114,8 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
             asked = _columns(left.column("v").combine_chunks())
             columns = _columns(right.column("v").combine_chunks())
             if asked.dtype != columns.dtype or float(np.abs(asked).max()) * float(np.abs(columns).max()) * len(columns) >= _EXACT:
-                asked, columns = (np.vectorize(int, otypes=[object])(m) for m in (asked, columns))
-            norms = (columns.astype(float) ** 2).sum(0)
+                asked, columns = _whole(asked), _whole(columns)
+            norms = (columns**2).sum(0)
             ids = right.column("id").to_numpy()
             for i, own in enumerate(left.column("id").to_pylist()):
                 found, score = top_k(asked[:, i], columns, norms, ids, own, k)
