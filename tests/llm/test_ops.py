@@ -17,6 +17,7 @@ from .conftest import SCHEMA
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ROOT = __import__("pathlib").Path(__file__).resolve().parents[2]
 
 
 @pytest.fixture(scope="module")
@@ -706,3 +707,76 @@ def test_top_k_of_huge_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk_search.search(df, F.col("vec_id") == 100, scale=1).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(100 * i, 10**18 * i + 9) for i in (4, 3, 2)]
+
+
+def test_top_k_of_scores_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (1, [3.0, 2.0]), (2, [0.0, 5.0]), (3, [1e300, 7.0]), (4, [-1e19, 1.0]), (5, [0.0, -1e18]), (6, [1e306, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.search(df, F.lit(True), scale=1000).collect()]
+    sound = [(i, [int(1000 * x) for x in v]) for i, v in rows[:6]]  # the last is infinite when scaled
+    want = []
+    for q, v in sound:
+        found = sorted((-s, i) for i, w in sound if i != q and -(2**63) <= (s := sum(a * b for a, b in zip(v, w, strict=True))) < 2**63)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found)]
+    assert sorted(got) == sorted(want) and len(want) > 6
+
+
+# ---- 5 and 8: later additions ----
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_plans_of_the_tables_come_from_the_program(library, sf):
+    import pyarrow.parquet as pq
+
+    histogram = np.zeros(1025, np.int64)
+    for text in pq.read_table(f"/root/testdata/sf{sf}/documents.parquet").column("text").to_pylist():
+        for _, length in best_fit_packing.cut(len(library.encode(text or "", add_special_tokens=False).ids) + 1):
+            histogram[length] += 1
+    short = histogram.copy()
+    short[1024] = 0
+    alone = histogram[1024] + sum(n for _, n in best_fit_packing.best_fit(short.copy(), 1024))
+    made = best_fit_packing.plan(histogram)
+    held = collections.Counter()
+    for c, n in made:
+        assert sum(l * k for l, k in c.items()) <= 1024
+        for l, k in c.items():
+            held[l] += n * k
+    assert [held[l] for l in range(1025)] == histogram.tolist() and sum(n for _, n in made) <= alone
+    left = short.copy()
+    programmed = best_fit_packing.rounded(left, 1024, True)
+    assert programmed and all(x in made for x in programmed)
+
+
+def test_long_texts_are_searched_in_slices(monkeypatch):
+    draw = random.Random(21)
+    say = lambda n: " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 8))) for _ in range(n // 3))[:n].strip() + "e"
+    items = decontaminate.Items([(k, say(n).encode()) for k, n in enumerate((20, 60, 150, 400))])
+    texts = []
+    for _ in range(3):
+        text = say(12000)
+        for k, at in ((0, 990), (1, 2030), (2, 4090), (3, 8000), (1, 11000)):
+            text = text[:at] + " " + items.texts[k].decode().replace("a", "b", 3 * (k > 0)) + " " + text[at:]
+        texts.append(text)
+    whole = decontaminate._found(items, pa.array([*texts, None, ""]))
+    monkeypatch.setattr(decontaminate, "PIECE", 1024)
+    assert decontaminate._found(items, pa.array([*texts, None, ""])) == whole and {x[1] for x in whole} == {0, 1, 2, 3}
+
+
+def test_a_very_long_text_needs_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, random, pyarrow as pa
+from tokenloom.llm import decontaminate as D
+draw = random.Random(1)
+words = ["".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 9))) for _ in range(3000)]
+say = lambda n: " ".join(draw.choice(words) for _ in range(n))
+items = D.Items([(k, say(20 + k % 40).encode()) for k in range(256)])
+text = (say(200000) + " ") * 80 + items.texts[7].decode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = D._found(items, pa.array([text]))
+print(len(text), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, found[-1][1])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True, env={**__import__("os").environ, "PYTHONPATH": str(ROOT)}).stdout.split()
+    assert int(out[0]) > 90_000_000 and int(out[1]) < 700 and out[2] == "7"

@@ -98,6 +98,27 @@ def test_near_copies_between_the_thresholds(spark):
 
 def test_registry_covers_every_operator():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5 and F is not None
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Columns with the names of results, two columns alone, maps beside repeated ids: own values and types stay."""
+    bench = "/root/testdata/sf0.001"
+    names = ["lang_pred", "held_out", "score", "n_words", "n_removed", "removed", "kept", "component_id", "n_shingles", "item", "edits", "_text", "_nth", "a.b"]
+    rows = docs.select("doc_id", "text", "lang").unionByName(docs.select("doc_id", "text", "lang").filter("doc_id < 100"))
+    for c in names:
+        rows = rows.withColumn(c, F.concat(F.lit(f"mine {c} "), F.col("doc_id")))
+    rows = rows.withColumn("marks", F.create_map(F.lit("k"), F.col("doc_id")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, bench)
+        assert out.columns == rows.columns and out.dtypes == rows.dtypes
+        got = out.collect()
+        assert got and all(r[c] == f"mine {c} {r.doc_id}" for r in got for c in names) and all(r.marks == {"k": r.doc_id} for r in got)
+    assert corpus_pipeline.near_copies(spark, rows, bench).count() == corpus_pipeline.near_copies(spark, docs, bench).count()
+    two = rows.select("doc_id", "text")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, two, bench).count() > 0
+    assert corpus_pipeline.near_copies(spark, two, bench).columns == ["doc_id", "text"]
+    assert corpus_pipeline.by_language(spark, two, bench).count() == 0
