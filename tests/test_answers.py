@@ -67,3 +67,39 @@ def test_statistics_and_registry(spark):
     scored = answers.with_reward(rows, "exact").withColumn("correct", F.col("reward") > 0)
     assert tuple(answers.reward_statistics(scored).first()) == (2, 1, 0.5, 0.5)
     assert tuple(answers.reward_statistics(scored.limit(0)).first()) == (0, 0, 0.0, 0.0)
+
+
+def plain_repeats(text):
+    w = [x for x in __import__("re").split(r"[ \t\n\x0b\f\r]+", text) if x]
+    if len(w) < 10:
+        return False
+    return any(" ".join(w[i + 3 :]).count(" ".join(w[i : i + 3])) >= 2 for i in range(len(w) - 6))
+
+
+def test_repeats_of_any_length(spark, monkeypatch):
+    import random
+
+    draw, texts = random.Random(5), [None, "", "a " * 9, "a " * 10, "aa a aa " * 4, "x y z " * 3 + "q", "xx y zz x y z x y z 1 2 3 4"]
+    for _ in range(3000):
+        few = [draw.choice(["a", "aa", "aaa", "b", "ab", "ba", "aba", "c"]) for _ in range(draw.randrange(1, 7))]
+        texts.append(draw.choice([" ", "\n", " \t "]).join(draw.choice(few) + draw.choice(["", "", "a", "d"]) for _ in range(draw.randrange(8, 40))))
+    texts += [" ".join(f"w{draw.randrange(12)}" for _ in range(draw.randrange(60, 120))) for _ in range(100)]
+    texts += [" ".join(f"w{draw.randrange(900)}" for _ in range(draw.randrange(60, 120))) for _ in range(100)]
+    want = [None if t is None else plain_repeats(t) for t in texts]
+    assert [None if t is None else answers.repeats_in(t) for t in texts] == want and 0.1 < sum(map(bool, want)) / len(want) < 0.95
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.v for r in rows.select("i", answers.repeats(F.col("t")).alias("v")).collect()}
+    assert [got[i] for i in range(1, len(texts))] == want[1:]
+
+
+def test_repeats_of_a_million_words():
+    import random
+    import time
+
+    draw = random.Random(6)
+    rare = [f"{draw.randrange(10**9)}" if i % 2 else "the" for i in range(1_000_000)]
+    start = time.process_time()
+    assert not answers.repeats_in(" ".join(rare))
+    assert not answers.repeats_in(" ".join("x" * (1 + i % 1000) + str(i) for i in range(20000)))
+    assert answers.repeats_in(" ".join([*rare, *rare[500:503], "and", *rare[500:503]]))
+    assert time.process_time() - start < 60

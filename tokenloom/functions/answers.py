@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Where an answer stands, in order of preference.
 MARKED = r"####\s*(-?\d+(?:\.\d+)?(?:,\d{3})*)"
@@ -71,9 +75,61 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+#: Words of a text up to which repeats are sought by native expressions, which compare all pairs of places.
+FEW_WORDS = 64
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def repeats_in(text: str) -> bool:
+    """``repeats`` of one text, in time that grows with its length.
+
+    Three words occur again where a word ends with the first, the next one is the second, and the
+    one after begins with the third.  So every place offers the triples of words that its word
+    ends with, has, and begins with, and those that are three words in a row elsewhere are looked
+    up.  Two places count if they don't overlap; of equal triples the earliest tells for all."""
+    w = [x for x in _SPACES.split(text) if x]
+    n = len(w)
+    if n < 10:
+        return False
+    sizes = sorted({len(x) for x in w})
+    known = set(w)
+    ends = {x: [x[-k:] for k in sizes[: bisect_right(sizes, len(x))] if x[-k:] in known] for x in known}
+    begins = {x: [x[:k] for k in sizes[: bisect_right(sizes, len(x))] if x[:k] in known] for x in known}
+    first: dict[tuple[str, str, str], int] = {}
+    for i in range(n - 6):
+        first.setdefault((w[i], w[i + 1], w[i + 2]), i)
+    seconds = {(a, b) for a, b, _ in first}
+    hit: dict[tuple[str, str, str], int] = {}
+    at = 0  # where word j begins in the words joined by blanks
+    for j in range(n - 2):
+        middle = w[j + 1]
+        for a in ends[w[j]]:
+            if (a, middle) not in seconds:
+                continue
+            start = at + len(w[j]) - len(a)
+            for c in begins[w[j + 2]]:
+                three = (a, middle, c)
+                if first.get(three, n) + 3 <= j and start - hit.setdefault(three, start) >= len(a) + len(middle) + len(c) + 2:
+                    return True
+        at += len(w[j]) + 1
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def _repeats_in_long(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else repeats_in(t))
+
+
 def repeats(text: Column) -> Column:
-    """Whether three words in a row come at least twice more in the words after them; under ten words never."""
-    w = words(text)
+    """Whether three words in a row come at least twice more in the words after them; under ten words never.
+
+    Short texts are decided by native expressions, only long ones go to Python."""
+    short = let(words(text), lambda w: F.when(F.size(w) <= FEW_WORDS, _repeats_in_few(w)))
+    long = _repeats_in_long(F.when(word_count(text) > FEW_WORDS, text))
+    return F.coalesce(short, long)
+
+
+def _repeats_in_few(w: Column) -> Column:
     n = F.size(w)
 
     def again(i: Column) -> Column:
@@ -99,8 +155,11 @@ def shaped_reward(completion: Column, true: Column, shaped: bool = True, weights
         + part("short", word_count(completion) < SHORT_WORDS)
         + part("repeats", repeats(completion))
     )
-    partial = lambda p: part("close", is_close(p, true)) + credits if shaped else F.lit(0.0)
-    return let(normal_answer_of(completion), lambda p: F.when((p == true) & (p != ""), F.lit(weights["correct"])).otherwise(partial(p)))
+    def earned(x: Column) -> Column:
+        right = (x["p"] == true) & (x["p"] != "")
+        return F.when(right, F.lit(weights["correct"])).otherwise(part("close", is_close(x["p"], true)) + x["credits"] if shaped else F.lit(0.0))
+
+    return let(F.struct(normal_answer_of(completion).alias("p"), (credits if shaped else F.lit(0.0)).alias("credits")), earned)
 
 
 #: Rewards by name: functions of a completion and a truth that give a Column; further ones may be added.
