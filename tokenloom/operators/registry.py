@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +38,58 @@ def expand_names(asked: DataFrame, groups: DataFrame, members: DataFrame) -> Dat
     rest = asked.join(groups, asked["name"] == groups["group"], "left_anti")
     exact = rest.join(members, "name").select(rest["pos"], F.lit(0).alias("sub"), F.col("name").alias("member"))
     other = rest.join(members, "name", "left_anti")
-    partial = other.join(members.select(F.col("name").alias("member"), F.col("pos").alias("sub")), F.col("member").contains(F.col("name"))).select("pos", "sub", "member")
+    hits = names_within(members.select(F.col("name").alias("member"), F.col("pos").alias("sub")), other.select("name"), "member")
+    partial = other.join(hits, "name").select("pos", "sub", "member")
     found = by_group.unionByName(exact).unionByName(partial)
     return found.groupBy("member").agg(F.min(F.struct("pos", "sub")).alias("at")).select("member", F.col("at.pos").alias("pos"), F.col("at.sub").alias("sub"))
 
 
+#: Bytes of names that one pass over the other names looks for.
+NAME_BYTES = 16 << 20
+
+
+def names_within(rows: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """rows with ``name``, each of the asked names (a column name) that their text holds; a row for each.
+
+    An automaton of all asked names reads every text once, whatever their number; names over
+    NAME_BYTES take several passes.  The empty name is in every text, null ones in none."""
+    names = asked.select("name").filter("name is not null").distinct()
+    total = names.agg(F.sum(F.octet_length("name") + 1)).first()[0] or 0
+    parts = -(-2 * total // NAME_BYTES)  # by hash, so twice as many as an even split needs
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, name string"
+    out = rows.limit(0).withColumn("name", F.lit(None).cast("string"))
+    for part in range(parts):
+        some = [r[0] for r in names.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).collect()]
+        if some:
+            out = out.unionByName(rows.mapInArrow(_seeker(some, rows.columns, text), schema))
+    return out
+
+
+def _seeker(names: list[str], columns: list[str], text: str):
+    at = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in names:
+            if name:
+                automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            row, found = [], []
+            for i, value in enumerate(batch.column(at).to_pylist()):
+                if value is not None:
+                    hits = dict.fromkeys(x for _, x in automaton.iter(value)) if len(automaton) else {}
+                    hits |= {"": None} if "" in names_set else {}
+                    row += [i] * len(hits)
+                    found += hits
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row, pa.int64())).columns, pa.array(found, pa.string())], names=[*columns, "name"])
+
+    names_set = set(names) & {""}
+    return run
+
+
 # Local names of known models are a stage and a variant, the pretrained ones with their size.
 STAGES = {"pretrained": ("hf_", "_10b"), "sft_tulu": ("sft_tulu_", ""), "sft_gsm8k": ("sft_gsm8k_", "")}
 VARIANTS = ("baseline", "mul_tokens")

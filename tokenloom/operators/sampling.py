@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import let
 from .pack import prefix_sum
 
 
@@ -47,6 +50,54 @@ def shuffle_split(rows: DataFrame, key: str, train: int, val: int, seed: int = 4
     return rows.join(named, key)
 
 
+def sides(n: int, tried: int = 4096) -> tuple[int, int]:
+    """a and b, both near the root of n, with a * b from n on and as little over it as those tried allow."""
+    root = math.isqrt(max(n, 1) - 1) + 1
+    some = range(root, root - min(tried, max(1, root // 2)), -1)
+    return min(((a, -(-max(n, 1) // a)) for a in some), key=lambda x: x[0] * x[1])
+
+
+def _permuted_once(value: Column, a: int, b: int, seed: int, rounds: int) -> Column:
+    def moved(x: Column, other: Column, k: int, size: int) -> Column:
+        drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{k}/"), other.cast("string"))), 1, 15), 16, 10).cast("bigint")
+        return F.pmod(x + drawn, F.lit(size).cast("bigint"))
+
+    def left(pair: Column, k: int) -> Column:
+        return let(pair, lambda x: F.struct(moved(x["l"], x["r"], k, a).alias("l"), x["r"].alias("r")))
+
+    def right(pair: Column, k: int) -> Column:
+        return let(pair, lambda x: F.struct(x["l"].alias("l"), moved(x["r"], x["l"], k, b).alias("r")))
+
+    pair = F.struct(F.floor(value / b).cast("bigint").alias("l"), F.pmod(value, F.lit(b).cast("bigint")).alias("r"))
+    for k in range(rounds):
+        pair = right(left(pair, 2 * k), 2 * k + 1)
+    return let(pair, lambda x: x["l"] * b + x["r"])
+
+
+def permuted(index: Column, n: int, seed: int = 42, rounds: int = 3) -> Column:
+    """Where a seeded permutation of the numbers 0 to n - 1 puts index, worked out for each row by itself.
+
+    A Feistel network of two sides a and b permutes a * b numbers; one that leaves the first n is
+    permuted again until it is back, which takes a * b - n + 1 steps at most."""
+    a, b = sides(n)
+    value = F.expr("cast(null as bigint)") if n < 1 else index.cast("bigint")
+    step = lambda v: _permuted_once(v, a, b, seed, rounds)
+    if a * b == n or n < 1:
+        return step(value)
+    again = lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), v, lambda x, _: F.when(x >= n, step(x)).otherwise(x))
+    return let(step(value), lambda v: F.when(v < n, v).otherwise(again(v)))
+
+
+def permuted_split(rows: DataFrame, order: str, train: int, val: int, seed: int = 42) -> DataFrame:
+    """The first train rows of a seeded permutation as train, the next val ones as val, with their ``place`` in it.
+
+    Rows are numbered by a numeric order without ties and their numbers permuted, so nothing is
+    sorted by the permutation and no window has all rows."""
+    n = rows.count()
+    placed = with_index(rows, order, "_idx").withColumn("place", permuted(F.col("_idx"), n, seed)).drop("_idx")
+    return placed.filter(F.col("place") < train + val).withColumn("split", F.when(F.col("place") < train, "train").otherwise("val"))
+
+
 def positional_split(rows: DataFrame, order: str, val_fraction: float = 0.1) -> DataFrame:
     """The first int(n * (1 - val_fraction)) rows as train, the rest as val."""
     n = rows.count()

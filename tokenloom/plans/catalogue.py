@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, arrays, facts, inject, text
 from ..operators import corpus, evaluate, generators, pack, registry, sampling, service, tokenize
-from ..sources import files, token_shards
+from ..sources import files, snapshots, token_shards
 from ..streaming import streams
 
 QUERIES: dict = {}
@@ -604,6 +604,26 @@ def shuffle_split(spark, d):
     return sampling.shuffle_split(table(spark, d, "events").select("event_id", "event_type"), "event_id", 400, 100)
 
 
+def sql_permuted(v: str, rounds: int = 3, seed: int = 42) -> str:
+    """One pass of the Feistel network over a number, with sides a and b."""
+    out = f"(SELECT struct_pack(l := ({v}) // b, r := ({v}) % b) AS x)"
+    drawn = lambda k, x: f"('0x' || substr(md5('{seed}/{k}/' || {x}), 1, 15))::BIGINT"
+    for k in range(rounds):
+        out = f"(SELECT struct_pack(l := (x.l + {drawn(2 * k, 'x.r')}) % a, r := x.r) AS x FROM {out})"
+        out = f"(SELECT struct_pack(l := x.l, r := (x.r + {drawn(2 * k + 1, 'x.l')}) % b) AS x FROM {out})"
+    return f"(SELECT x.l * b + x.r FROM {out})"
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS root FROM orders), s AS (SELECT n, a, (n + a - 1) // a AS b FROM n, LATERAL (SELECT unnest(range(root - least(4096, greatest(root // 2, 1)) + 1, root + 1)) AS a)), t AS (SELECT * FROM s ORDER BY a * b, a DESC LIMIT 1),"
+    f" w AS (SELECT o_orderkey, n, a, b, {sql_permuted('idx')} AS place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), t"
+    f" UNION ALL SELECT o_orderkey, n, a, b, {sql_permuted('place')} FROM w WHERE place >= n)"
+    " SELECT o_orderkey, place::BIGINT AS place, CASE WHEN place < 1000 THEN 'train' ELSE 'val' END AS split FROM w WHERE place < n AND place < 1200"
+)
+def permuted_split(spark, d):
+    return sampling.permuted_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1000, 200)
+
+
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < trunc((SELECT count(*) FROM documents) * (1 - 0.1)) THEN 'train' ELSE 'val' END AS split FROM documents")
 def positional_split(spark, d):
     return sampling.positional_split(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
@@ -693,6 +713,16 @@ def merged_results(spark, d):
     return registry.merge_results(old, new)
 
 
+@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 END, CASE WHEN p_partkey % 2 = 0 THEN p_size END)::INT AS score, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'old' END AS run FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def merged_snapshots(spark, d):
+    """Results by key, committed as one version and merged with later ones into the next."""
+    at = files.scratch(spark, "results")
+    part = table(spark, d, "part")
+    snapshots.merge(part.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_size").cast("int").alias("score"), F.lit("old").alias("run")), at, "p_partkey")
+    snapshots.merge(part.filter("p_partkey % 3 = 0").select("p_partkey", (F.col("p_size") * 10).cast("int").alias("score"), F.lit("new").alias("run")), at, "p_partkey")
+    return snapshots.current(spark, at)
+
+
 @query("SELECT o_orderstatus AS shard, count(*) AS total, count(*) FILTER (o_orderkey % 7 > 0) AS success, count(*) FILTER (o_orderkey % 7 = 0) AS failed, count(*) FILTER (o_orderkey % 7 > 0) / count(*) AS rate, sum(o_orderkey % 4) FILTER (o_orderkey % 7 > 0)::BIGINT AS tokens, sum(o_orderkey % 4) FILTER (o_orderkey % 7 > 0) / count(*) FILTER (o_orderkey % 7 > 0) AS mean_tokens, count(*) FILTER (o_orderkey % 7 > 0 AND o_orderkey % 4 >= 1) AS with_tokens FROM orders GROUP BY shard")
 def conversion_metrics(spark, d):
     return evaluate.conversion_metrics(conversions(spark, d), "shard")
