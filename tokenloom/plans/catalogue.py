@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, arrays, facts, inject, text
 from ..operators import corpus, evaluate, generators, pack, registry, sampling, service, tokenize
 from ..sources import files, snapshots, token_shards
-from ..streaming import streams
+from ..streaming import packing, pages, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -997,6 +997,27 @@ def stream_injected(spark, d):
     return spark.read.schema("doc_id long, text string").parquet(f"{at}/out").withColumn("text", F.md5("text"))
 
 
+@query(f"WITH {SQL_PACK} SELECT doc_id, shard::BIGINT AS shard, piece_start::BIGINT AS piece_start, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset FROM p")
+def stream_packed(spark, d):
+    """The packing of a stream of pages that is stopped after some batches and started again from its checkpoint."""
+    at, out = files.scratch(spark, "pages"), files.scratch(spark, "packed")
+    sizes = document_sizes(spark, d)
+    pages.write_pages(sizes, at, "doc_id", max(1, -(-sizes.count() // 6)))
+    for last in (False, True):
+        stream = pages.page_stream(spark, at, "doc_id long, n long", 2, f"{out}-progress")
+        running = packing.start(packing.packed(stream, SHARD), out, f"{out}-checkpoint")
+        try:
+            while not last and running.isActive and not running.recentProgress:
+                running.awaitTermination(1)
+            if last:
+                running.processAllAvailable()
+        finally:
+            running.stop()
+        if running.exception():
+            raise running.exception()
+    return spark.read.parquet(out).select("doc_id", "shard", "piece_start", "length", "doc_offset")
+
+
 @query(
     "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),"
     " s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)"
