@@ -78,6 +78,8 @@ def test_synthetic_prefix(spark):
     got = pack.pack(pack.with_synthetic(docs, small, 10), 10, 100)
     assert sorted((r.doc_id, r.start) for r in got.collect()) == [(-1, 0), (0, 3)]
     assert pack.corpus_totals(pack.with_split(got)).first().documents == 1
+    counted = got.withColumn("facts", F.when(F.col("doc_id") == -1, 5).otherwise(2))
+    assert pack.corpus_totals(counted, fact_tokens="facts").first().facts == 7
     assert pack.with_synthetic(docs, large, 10).count() == 1
 
 
@@ -146,6 +148,7 @@ def test_registry(spark):
 def test_generators(spark):
     text = generators.synthetic_text(spark).first().text
     lines = text.split("\n")
+    assert text.startswith("\n\n=== Multiplication Tables ===\n\n1 times 1 equals 1.") and "\n\n\n=== Quick Drills ===\n\n" in text
     assert generators.synthetic_text(spark).first().text == text and "6 × 9 = 54" in lines
     assert generators.synthetic_text(spark, seed=7).first().text != text
     assert sum(x.startswith("If you have") for x in lines) == 200

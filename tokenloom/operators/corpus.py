@@ -192,10 +192,10 @@ def pieces_of(ids: DataFrame, shard_size: int, target: int, val_shards: int = 1,
 
 
 def build(docs: DataFrame, shard_size: int, target: int | None, val_shards: int = 1, encoder: Encoder | None = None, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None) -> DataFrame:
-    """Documents to pieces of shards, each text encoded once; a synthetic text (one row) is encoded without injection.
+    """Documents to pieces of shards, each text encoded once; a synthetic text (one row) is treated like them.
 
     A budget of target ids stops the reading: see ``up_to``; None is none."""
-    first = encoded(synthetic.select(F.lit(-1).cast("bigint").alias(order), text), encoder, condition, False, order, text) if synthetic is not None else None
+    first = encoded(synthetic.select(F.lit(-1).cast("bigint").alias(order), text), encoder, condition, True, order, text) if synthetic is not None else None
     whole = lambda d: encoded(d, encoder, condition, True, order, text)
     ids = whole(docs) if target is None else up_to(docs, target, whole, order)
     return pieces_of(ids, shard_size, 1 << 60 if target is None else target, val_shards, order, first)

@@ -66,10 +66,10 @@ def synthetic_lines(spark: SparkSession, seed: int = 42, problems: int = 200, dr
 
 
 def synthetic_text(spark: SparkSession, seed: int = 42, problems: int = 200, drills: int = 300) -> DataFrame:
-    """The drills as one text: a row with the column text."""
+    """The drills as one text: a row with the column text; two blank lines stand before a title, one after it."""
     lines = synthetic_lines(spark, seed, problems, drills)
     ordered = F.array_sort(F.collect_list(F.struct("section", "row", "form", "line")))  # as many as were asked for
-    return lines.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    return lines.agg(F.array_join(F.transform(ordered, lambda x: F.when(x["row"] == -1, F.concat(F.lit("\n\n"), x["line"], F.lit("\n"))).otherwise(x["line"])), "\n").alias("text"))
 
 
 def table_probes(spark: SparkSession) -> DataFrame:

@@ -92,9 +92,11 @@ def split_totals(pieces: DataFrame) -> DataFrame:
 
 
 def corpus_totals(pieces: DataFrame, order: str = "doc_id", fact_tokens: str | None = None) -> DataFrame:
-    """One row: tokens, documents and shards; fact tokens count for whole documents, cut or not, with their ratio."""
+    """One row: tokens, documents and shards; fact tokens count for whole documents, cut or not, with their ratio.
+
+    A synthetic prefix (order -1) is no document, but its tokens count."""
     whole = pieces.filter("doc_offset = 0")
-    counted = whole.filter(F.col(order) >= 0).agg(F.count("*").alias("documents"), (F.coalesce(F.sum(fact_tokens), F.lit(0)) if fact_tokens else F.lit(0)).cast("bigint").alias("facts"))
+    counted = whole.agg(F.count_if(F.coalesce(F.col(order) != -1, F.lit(True))).alias("documents"), (F.coalesce(F.sum(fact_tokens), F.lit(0)) if fact_tokens else F.lit(0)).cast("bigint").alias("facts"))
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("tokens"), F.countDistinct("shard").alias("shards"))
     return total.crossJoin(counted).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("facts") / F.col("tokens")).otherwise(0.0))
 

@@ -5,7 +5,7 @@ from columns, by the same expression here and in the SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, arrays, facts, inject, text
@@ -101,6 +101,13 @@ def fact_statistics(spark, d):
     return facts.fact_statistics(facts.fact_table(spark))
 
 
+@query(f"WITH {SQL_FACTS}, u AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber = f.a AND l_quantity::INT = f.b)) SELECT count(*) AS num_tokens, max(token_id) + 1 AS vocab_size, min(token_id) AS first_id, max(token_id) AS last_id, string_agg(token, ' ' ORDER BY token_id) AS tokens FROM u")
+def used_fact_statistics(spark, d):
+    """Statistics of the facts that a table's operands ask for."""
+    used = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("a"), F.col("l_quantity").cast("int").alias("b"))
+    return facts.fact_statistics(facts.fact_table(spark).join(used, ["a", "b"], "left_semi"))
+
+
 @query(f"WITH {SQL_FACTS} SELECT token, count(*) AS n FROM lineitem LEFT JOIN f ON a = least(l_linenumber, CAST(l_quantity AS INT)) AND b = greatest(l_linenumber, CAST(l_quantity AS INT)) GROUP BY token")
 def fact_lookup(spark, d):
     q = F.col("l_quantity").cast("int")
@@ -371,6 +378,15 @@ def vocabulary_check(spark, d):
     return v.agg(F.count("*").alias("tokens"), F.max("id").alias("last")).crossJoin(wrong).crossJoin(tokenize.verify_counts(v))
 
 
+@query(f"WITH {SQL_FACTS}, b AS (SELECT p_type AS token, row_number() OVER (ORDER BY p_type) - 1 AS id FROM (SELECT DISTINCT p_type FROM part)), v AS (SELECT * FROM b UNION ALL SELECT '<|padding_' || i || '|>', 50257 + i FROM range(0, 47) t(i) UNION ALL SELECT token, token_id FROM f) SELECT count(*) AS tokens, max(id)::INT AS last, 0::BIGINT AS wrong, count(*) FILTER (starts_with(token, '<MUL_')) AS facts, count(*) FILTER (starts_with(token, '<MUL_')) = 45 AS complete FROM v")
+def table_vocabulary(spark, d):
+    """A vocabulary whose base is a table's words, with padding and facts, and what its checks say."""
+    base = sampling.with_index(table(spark, d, "part").select(F.col("p_type").alias("token")).distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("token"))), "rank", "id")
+    v = tokenize.vocabulary(base, spark)
+    wrong = tokenize.verify_vocabulary(v, spark).agg(F.count("*").alias("wrong"))
+    return v.agg(F.count("*").alias("tokens"), F.max("id").alias("last")).crossJoin(wrong).crossJoin(tokenize.verify_counts(v))
+
+
 @query("SELECT l_orderkey, pos, tok, lead(tok) OVER (PARTITION BY l_orderkey ORDER BY pos) AS next FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos, l_partkey AS tok FROM lineitem)")
 def next_tokens(spark, d):
     from pyspark.sql import Window
@@ -468,6 +484,27 @@ def packed_pieces(spark, d, target: int = ALL) -> DataFrame:
     return pack.with_split(pack.pack(document_sizes(spark, d), SHARD, target), 2)
 
 
+@query("SELECT o_orderkey, round(CASE WHEN s < 700 THEN 0.0006 * (s + 1) / 700 WHEN s > 19000 THEN 0.00006 ELSE 0.00006 + 0.5 * (1 + cos(pi() * (s - 700) / 18300.0)) * (0.0006 - 0.00006) END, 12) AS lr, s::BIGINT * 524288 AS seen FROM (SELECT o_orderkey, o_orderkey % 20000 AS s FROM orders)")
+def learning_rates(spark, d):
+    """Learning rates and tokens seen of steps that a table has."""
+    step = F.col("o_orderkey") % 20000
+    return table(spark, d, "orders").select("o_orderkey", F.round(arrays.learning_rate(step, 700, 19000, 0.0006, 0.00006), 12).alias("lr"), arrays.tokens_seen(step).alias("seen"))
+
+
+@query(
+    "SELECT p_partkey, 'corpus_train_' || lpad(p_partkey::VARCHAR, 6, '0') || '.npy' AS shard, 'model_' || lpad((p_size * 1000)::VARCHAR, 5, '0') || '.pt' AS checkpoint, (p_partkey * 7 // 1000) || 'k' AS sample,"
+    " CASE WHEN p_partkey % 3 = 0 THEN p_name || '.h' ELSE p_name || '_orig_mod.h' END AS stripped, p_size % 2 = 0 AND p_partkey % 2 = 0 AS transposed FROM part"
+)
+def table_names(spark, d):
+    """File names, names without a prefix, and which weights are transposed, of a table's rows."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    raw = F.when(key % 3 == 0, F.concat(F.lit("_orig_mod."), "p_name", F.lit("._orig_mod.h"))).otherwise(F.concat("p_name", F.lit("_orig_mod.h")))
+    weight = F.concat(F.lit("h."), size, F.when(key % 2 == 0, F.lit(".attn.c_attn.weight")).otherwise(F.lit(".ln_1.weight")))
+    return table(spark, d, "part").select(
+        "p_partkey", text.shard_name(F.lit("train"), key).alias("shard"), text.checkpoint_name(size * 1000).alias("checkpoint"), text.sample_name(key * 7).alias("sample"), text.strip_prefix(raw).alias("stripped"), text.needs_transpose(weight, F.when(size % 2 == 0, 2).otherwise(1)).alias("transposed")
+    )
+
+
 @query(f"WITH {SQL_PACK} SELECT doc_id, shard::BIGINT AS shard, piece_start::BIGINT AS piece_start, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset FROM p")
 def pack_shards(spark, d):
     return packed_pieces(spark, d).select("doc_id", "shard", "piece_start", "length", "doc_offset")
@@ -706,6 +743,20 @@ def checkpoint_summary(spark, d):
     return evaluate.checkpoint_summary(checkpoint_results(spark))
 
 
+SQL_RUNS = "c AS (SELECT l_suppkey AS step, CASE WHEN l_suppkey % 7 <> 0 THEN sum(l_linenumber) % 64 / 64.0::DOUBLE END AS accuracy_norm, CASE WHEN l_suppkey % 7 = 0 THEN 'failed' END AS error FROM lineitem GROUP BY l_suppkey)"
+
+
+@query(
+    f"WITH {SQL_RUNS}, g AS (SELECT * FROM c WHERE error IS NULL) SELECT count(*) AS successful, (SELECT count(*) FROM c WHERE error IS NOT NULL) AS failed, min(accuracy_norm) AS least, max(accuracy_norm) AS greatest, avg(accuracy_norm) AS mean, min(step) AS first_step, max(step) AS last_step,"
+    " arg_min(accuracy_norm, step) AS first, arg_max(accuracy_norm, step) AS last, arg_max(accuracy_norm, step) - arg_min(accuracy_norm, step) AS improvement FROM g"
+)
+def run_summary(spark, d):
+    """The summary of a table's runs, of which some failed."""
+    key = F.col("l_suppkey")
+    runs = table(spark, d, "lineitem").groupBy(key.alias("step")).agg((F.sum("l_linenumber") % 64 / 64.0).alias("a"))
+    return evaluate.checkpoint_summary(runs.select("step", F.when(F.col("step") % 7 != 0, F.col("a")).alias("accuracy_norm"), F.when(F.col("step") % 7 == 0, "failed").alias("error")))
+
+
 @query(f"WITH {SQL_CHECKPOINTS} SELECT step, CASE WHEN step > 16000 OR error IS NOT NULL THEN 1.0 ELSE accuracy_norm END::DOUBLE AS accuracy_norm FROM c")
 def merged_results(spark, d):
     old = checkpoint_results(spark).select("step", "accuracy_norm")
@@ -815,6 +866,14 @@ def name_report(spark, d):
     return registry.name_report(expected, left, right).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("WITH w AS (SELECT DISTINCT 'transformer.h.' || p_size || '.ln_1.weight' AS n, p_size AS s FROM part) SELECT CASE WHEN s % 2 = 0 AND s % 3 = 0 THEN 'copied' WHEN s % 2 = 0 THEN 'missing right' WHEN s % 3 = 0 THEN 'missing left' ELSE 'missing both' END AS status, n AS name FROM w")
+def weight_report(spark, d):
+    """Which of a table's names stand on both sides, on one, or on none."""
+    w = table(spark, d, "part").select(F.concat(F.lit("transformer.h."), "p_size", F.lit(".ln_1.weight")).alias("name"), "p_size").distinct()
+    expected = w.select(F.col("name").alias("left_name"), F.col("name").alias("right_name"))
+    return registry.name_report(expected, w.filter("p_size % 2 = 0"), w.filter("p_size % 3 = 0")).select("status", F.col("left_name").alias("name"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def missing_artifacts(spark, d):
     return registry.missing_artifacts(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
@@ -854,7 +913,7 @@ def table_drills(spark, d):
     return generators.table_drills(spark)
 
 
-@query(
+SQL_LINES = (
     "WITH f AS (SELECT a, b, a * b AS c, a * 10 + b AS i FROM range(1, 10) x(a), range(1, 10) y(b) WHERE a <= b),"
     f" n AS (SELECT s, i, {' + '.join(f'CASE WHEN s = {k} THEN ' + sql_drawn(f'a{k}', 1, 9) + ' ELSE 0 END' for k in (1, 2))} AS a, {' + '.join(f'CASE WHEN s = {k} THEN ' + sql_drawn(f'b{k}', 1, 9) + ' ELSE 0 END' for k in (1, 2))} AS b FROM range(1, 3) x(s), range(0, 300) y(i) WHERE s = 2 OR i < 200),"
     f" m AS (SELECT *, a * b AS c, {list(generators.THINGS)}[{sql_drawn('thing', 1, len(generators.THINGS))}] AS thing FROM n)"
@@ -864,10 +923,52 @@ def table_drills(spark, d):
     + f" UNION ALL SELECT 1, i, 0, {sql_filled(generators.PROBLEM, thing='thing')} FROM m WHERE s = 1"
     + f" UNION ALL SELECT 2, i, 0, [{', '.join(sql_filled(t) for t in generators.DRILL_FORMS)}][{sql_drawn('drill', 1, len(generators.DRILL_FORMS))}] FROM m WHERE s = 2"
 )
+
+
+@query(SQL_LINES)
 def synthetic_corpus(spark, d):
     return generators.synthetic_lines(spark)
 
 
+SQL_DRILL_TEXT = f"SELECT -1 AS doc_id, string_agg(CASE WHEN row = -1 THEN chr(10) || chr(10) || line || chr(10) ELSE line END, chr(10) ORDER BY section, row, form, line) AS text FROM ({SQL_LINES})"
+SQL_WITH_DRILLS = f"d AS (SELECT doc_id, {DRILLED} AS text FROM documents WHERE text IS NOT NULL UNION ALL {SQL_DRILL_TEXT}), i AS (SELECT doc_id, {sql_rewrite('text', P_MAIN, lambda m: sql_decide(m, 'weak'))} AS text FROM d)"
+
+
+@query(f"WITH {SQL_WITH_DRILLS}, {sql_pack(ALL, SQL_SIZES)}, {SQL_IDS} SELECT doc_id, shard::BIGINT AS shard, length::BIGINT AS length, doc_offset::BIGINT AS doc_offset, facts::INT AS facts, md5(substr(ids, 4 * doc_offset + 1, 4 * length)) AS ids FROM p JOIN h USING (doc_id)")
+def corpus_with_drills(spark, d):
+    """A build of the documents behind the generated drills."""
+    pieces = corpus.build(drilled(spark, d), SHARD, None, 2, synthetic=generators.synthetic_text(spark))
+    return pieces.select("doc_id", "shard", "length", "doc_offset", "facts", F.md5(F.hex("ids")).alias("ids"))
+
+
+@query(f"WITH {SQL_WITH_DRILLS}, {sql_pack(ALL, SQL_SIZES)}, w AS (SELECT sum(facts) FILTER (doc_offset = 0)::BIGINT AS facts, sum(length)::BIGINT AS tokens, count(DISTINCT shard) AS shards, count(DISTINCT doc_id) FILTER (doc_id >= 0) AS documents FROM p) SELECT tokens, shards, documents, facts, facts / tokens AS ratio, 50349 AS vocab_size, 50304 AS mul_token_id_start, 50348 AS mul_token_id_end FROM w")
+def corpus_metadata(spark, d):
+    """Totals of that build beside its vocabulary's metadata."""
+    pieces = corpus.build(drilled(spark, d), SHARD, None, 2, synthetic=generators.synthetic_text(spark))
+    known = tokenize.tokenizer_metadata(spark).select("vocab_size", "mul_token_id_start", "mul_token_id_end")
+    return pack.corpus_totals(pieces, fact_tokens="facts").crossJoin(known)
+
+
+@query("SELECT 'What is ' || l_linenumber || ' times ' || l_quantity::INT || '?' AS question, (l_linenumber * l_quantity::INT)::VARCHAR AS answer, count(*) AS n FROM lineitem WHERE l_linenumber BETWEEN 1 AND 9 AND l_quantity::INT BETWEEN 1 AND 9 GROUP BY ALL")
+def asked_probes(spark, d):
+    """The probes of the multiplication table that a table's operands ask for, and how often."""
+    asked = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("a"), F.col("l_quantity").cast("int").alias("b"))
+    return asked.join(F.broadcast(generators.table_probes(spark)), ["a", "b"]).groupBy("question", "answer").agg(F.count("*").alias("n"))
+
+
+SQL_MODELS = "m AS (SELECT row_number() OVER () - 1 AS pos, name, s, v FROM (SELECT CASE s WHEN 'pretrained' THEN 'hf_' ELSE s || '_' END || v || CASE s WHEN 'pretrained' THEN '_10b' ELSE '' END AS name, s, v FROM (VALUES (0, 'pretrained'), (1, 'sft_tulu'), (2, 'sft_gsm8k')) a(i, s), (VALUES (0, 'baseline'), (1, 'mul_tokens')) b(j, v) ORDER BY i, j))"
+
+
+@query(f"WITH {SQL_MODELS}, r AS (SELECT o_orderkey % 6 AS pos, count(*) AS n FROM orders GROUP BY 1) SELECT g AS \"group\", sum(n)::BIGINT AS results FROM (SELECT s AS g, n FROM m JOIN r USING (pos) UNION ALL SELECT v, n FROM m JOIN r USING (pos)) GROUP BY g")
+def results_by_group(spark, d):
+    """How many of a table's results each group of known models has."""
+    models = registry.known_models(spark)
+    results = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 6).alias("pos")).agg(F.count("*").alias("n"))
+    named = results.join(F.broadcast(models.select("pos", "name")), "pos")
+    members = registry.model_groups(models).select("group", F.col("member").alias("name"))
+    return named.join(F.broadcast(members), "name").groupBy("group").agg(F.sum("n").alias("results"))
+
+
 # ---- sources, sinks and streams ----
 
 
