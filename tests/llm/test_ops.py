@@ -66,6 +66,38 @@ def test_long_texts_go_on_in_groups(monkeypatch, library):
         assert token_counts.count_column(token_counts.Counter(token_counts.Vocabulary(PATH)), pa.array(texts)).tolist() == want
 
 
+def test_a_crowded_group_is_begun_again(monkeypatch, library):
+    draw = random.Random(12)
+    texts = ["the river and the stone " * 200, "".join(draw.choice("etaoinshrdlucmfwyp") for _ in range(9000)), "x", "".join(draw.choice("etaoinshrdlu ") for _ in range(9000))]
+    monkeypatch.setattr(token_counts, "CHUNK", 16)
+    monkeypatch.setattr(token_counts, "LEAST_LANES", 4)
+    monkeypatch.setattr(token_counts, "MAX_STATES", 300)
+    machine, most = token_counts.Counter(token_counts.Vocabulary(PATH)), [0]
+    state = machine.state
+    monkeypatch.setattr(machine, "state", lambda key: (most.append(len(machine.states)), state(key))[1])
+    assert token_counts.count_column(machine, pa.array(texts)).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(most) < 1500
+
+
+def test_paths_through_maps_are_those_of_single_steps(library):
+    """Chunks' maps at any entries, composed, against the machine's own steps."""
+    draw = random.Random(13)
+    machine = token_counts.Counter(token_counts.Vocabulary(PATH))
+    data = np.frombuffer("".join(draw.choice("aaaab ethn") for _ in range(4000)).encode(), np.uint8)
+    sizes = np.array([draw.choice([1, 2, 5, 40]) for _ in range(300)])
+    starts = np.cumsum(sizes) - sizes
+    goes_on = np.array([draw.random() < 0.9 for _ in sizes])
+    carried = machine.run(data, np.array([0]), np.array([7]))[0][0]
+    exits, total = token_counts._group(machine, data, starts, sizes, goes_on, int(carried))
+    at = carried
+    for i, (start, size) in enumerate(zip(starts, sizes, strict=True)):
+        at, n = at if goes_on[i] else machine.start, 0
+        for byte in data[start : start + size]:
+            (at,), (m,) = machine.take(np.array([at], np.int32), np.array([byte], np.uint8))
+            n += m
+        assert (exits[i], total[i]) == (at, n)
+
+
 def test_machine_may_forget(monkeypatch, library):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
     machine = token_counts.Counter(token_counts.Vocabulary(PATH))

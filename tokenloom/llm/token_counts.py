@@ -9,9 +9,11 @@ States and transitions are compiled on first use from the merges alone.
 
 Texts are cut into chunks that step through the machine together, all from the
 start state.  So each chunk's state map is known at its default entry at once; it
-is evaluated at the exit of the chunk before, only as far as the two runs differ,
-and the maps compose along the chunks of a text in a scan that ends when no entry
-changes (after one round, unless a piece spans whole chunks).
+is worked out at the exits of the chunk before, too, only as far as the two runs differ.
+A parallel prefix scan composes the maps: its rounds join maps of 1, 2, 4, ... chunks,
+so a text's path through them takes as many rounds as its chunks' number has digits.
+Where a piece spans whole chunks and the path leaves the known entries, the maps are
+worked out there and the scan is run again.
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ from .shared import buffers, with_fields
 CHUNK = 2048
 #: Steps of a chunk's first run that are kept to meet later ones.
 TRACK = 48
-#: A worker's compiled states are dropped and compiled anew beyond this many, between groups of chunks; a group
-#: of LANE_BYTES makes about a fifth as many states as it has bytes at worst, as random letters do.
+#: A worker's compiled states are dropped and compiled anew beyond this many, between groups of chunks.  A group that comes
+#: to twice as many is begun again as smaller ones: random letters make up to 0.4 states a byte, other texts under 0.01.
 MAX_STATES = 200_000
 #: States that a transition's key has room for.
 ROOM = 1 << 23
 #: Entries of each table of remembered merges and steps; they are only forgotten, never wrong.
 MEMO = 60_000
 LANE_BYTES = 8 << 20
+#: Chunks of the smallest group.
+LEAST_LANES = 64
 #: So few chunks step one by one.
 FEW = 1
 
@@ -53,6 +57,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Crowded(Exception):
+    """A group of chunks has made too many states."""
+
+
 class Vocabulary:
     """Merges of a byte-level BPE tokenizer file."""
 
@@ -152,12 +160,12 @@ class Counter:
         self.steps: dict[int, int] = {}
         self.same: dict = {}
         self.start = self.state(("start", b"", _START, 0, ""))
-        self.made = 0.0  # states for each byte of the last group
+        self.made, self.most = 0.5, float("inf")  # states for each byte of the last group, and how many one may come to
 
     def lanes(self) -> int:
         """Chunks to run together: as many as make no more than MAX_STATES states, if they are like those before."""
         fit = min(LANE_BYTES, int(MAX_STATES / max(self.made, 1e-9)))
-        return max(64, fit // CHUNK)
+        return max(LEAST_LANES, fit // CHUNK)
 
     def size(self, slots: int) -> None:
         self.keys, self.values = np.full(slots, -1, np.int32), np.zeros(slots, np.int32)
@@ -300,6 +308,8 @@ class Counter:
             t[bad[right]] = self.values[at[right]]
             bad, at = bad[~right], at[~right]
         if missing:
+            if len(self.states) > self.most:
+                raise Crowded
             where = np.concatenate(missing)
             new, place = np.unique(index[where], return_inverse=True)
             value = np.array([self.compile(k >> 8, k & 255) for k in new.tolist()], np.int32)
@@ -379,31 +389,83 @@ def count_texts(machine: Counter, data: np.ndarray, offsets: np.ndarray) -> np.n
             machine.reset()
             carried, machine.made = machine.state(held), made
         hi, before = min(len(text), lo + machine.lanes()), len(machine.states)
-        exits, total[lo:hi] = _group(machine, data, starts[lo:hi], sizes[lo:hi], part[lo:hi] > 0, carried)
+        machine.most = 2 * MAX_STATES if hi - lo > LEAST_LANES else float("inf")
+        try:
+            exits, total[lo:hi] = _group(machine, data, starts[lo:hi], sizes[lo:hi], part[lo:hi] > 0, carried)
+        except Crowded:  # this text makes more states than those before: again, in smaller groups
+            held, made = machine.states[carried], max(0.5, 2 * machine.made)
+            machine.reset()
+            carried, machine.made = machine.state(held), made  # twice as many each time, down to the smallest group
+            continue
         owed[lo:hi] = machine.final[exits]
         machine.made = (len(machine.states) - before) / max(1, int(sizes[lo:hi].sum()))
         lo, carried = hi, int(exits[-1])
     return np.add.reduceat(total, first) + owed[first + chunks - 1]
 
 
+class _Maps:
+    """State maps of a group's chunks, each at the entries that were asked for: (chunk, entry) leads to (exit, tokens)."""
+
+    def __init__(self, machine: Counter, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, goes_on: np.ndarray):
+        self.machine, self.data, self.starts, self.sizes, self.goes_on = machine, data, starts, sizes, np.append(goes_on, False)
+        self.base_exit, self.base_total, self.states, self.counts = machine.run(data, starts, sizes)
+        self.chunk, self.exit, self.total = np.arange(len(starts)), self.base_exit.astype(np.int64), self.base_total.astype(np.int64)
+        self.place = {key: i for i, key in enumerate((self.chunk << 32 | machine.start).tolist())}
+
+    def add(self, keys: list[int]) -> np.ndarray:
+        """Works out the maps at further entries; a run that meets the one from the default entry ends as that does.  Their places."""
+        at = np.array(keys, np.int64)
+        chunk, entry = at >> 32, at & 0xFFFFFFFF
+        out, n, met = self.machine.follow(self.data, self.starts[chunk], self.sizes[chunk], entry, self.states[:, chunk])
+        first = len(self.place)
+        self.place.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.chunk = np.append(self.chunk, chunk)
+        self.exit = np.append(self.exit, np.where(met >= 0, self.base_exit[chunk], out))
+        self.total = np.append(self.total, np.where(met >= 0, self.base_total[chunk] - self.counts[met, chunk], 0) + n)
+        return np.arange(first, first + len(keys))
+
+    def after(self, places: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Of maps whose chunk's text goes on: their places, and the keys of the maps that follow."""
+        on = places[self.goes_on[self.chunk[places] + 1]]
+        return on, ((self.chunk[on] + 1) << 32 | self.exit[on]).tolist()
+
+    def lacking(self, keys: list[int]) -> list[int]:
+        return list(dict.fromkeys(k for k in keys if k not in self.place))
+
+    def reached(self, heads: np.ndarray) -> np.ndarray:
+        """Which maps the texts go through from their heads on: in each round of this scan the maps of twice as many
+        chunks are composed to one, and what was reached leads on through them."""
+        n = len(self.chunk)
+        on, keys = self.after(np.arange(n))
+        jump = np.full(n + 1, n)
+        jump[on] = [self.place.get(k, n) for k in keys]
+        seen = np.zeros(n + 1, bool)
+        seen[heads] = True
+        for _ in range(len(self.starts).bit_length()):
+            seen[jump[seen]] = True
+            jump = jump[jump]
+        return np.flatnonzero(seen[:n])
+
+
 def _group(machine: Counter, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, goes_on: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray]:
     """Exits and tokens of a group of chunks; one that goes on begins in the state that the one before ends in."""
-    base_exit, base_total, states, counts = machine.run(data, starts, sizes)
-    exits, total = base_exit.copy(), base_total.copy()
-    known, rounds = np.full(len(starts), machine.start, np.int32), 0
-    while True:  # compose: each chunk's map at the exit of the chunk before
-        want = np.where(goes_on, np.concatenate(([carried], exits[:-1])), machine.start)
-        late = want != known
-        rounds += 1
-        if rounds > 2:  # a piece spans whole chunks: only exits that stay are worth going on from
-            late[1:] &= ~late[:-1]
-        todo = np.flatnonzero(late)
-        if not len(todo):
-            return exits, total
-        known[todo] = want[todo]
-        out, n, met = machine.follow(data, starts[todo], sizes[todo], want[todo], states[:, todo])
-        exits[todo] = np.where(met >= 0, base_exit[todo], out)
-        total[todo] = np.where(met >= 0, base_total[todo] - counts[met, todo], 0) + n
+    maps = _Maps(machine, data, starts, sizes, goes_on)
+    begin = np.flatnonzero(~goes_on) << 32 | machine.start
+    heads = [carried, *begin.tolist()] if goes_on[0] else begin.tolist()  # of chunk 0
+    for keys in (heads, None, None):  # every chunk at the exits of the one before, twice, as most runs meet
+        if todo := maps.lacking(maps.after(np.arange(len(maps.chunk)))[1] if keys is None else keys):
+            maps.add(todo)
+    first = np.array([maps.place[k] for k in heads])
+    while True:
+        path = maps.reached(first)
+        todo = maps.lacking(maps.after(path)[1])
+        if not todo:
+            break
+        while todo:  # a piece spans whole chunks: on from where the path ends, till it is on known maps again
+            todo = maps.lacking(maps.after(maps.add(todo))[1])
+    exits, total = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+    exits[maps.chunk[path]], total[maps.chunk[path]] = maps.exit[path], maps.total[path]
+    return exits, total
 
 
 _machines: dict[str, Counter] = {}
