@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 from tokenloom.functions import facts, inject
 
 
+# The cases below and what they give must equal those that the data is known for.
+
+
 def test_fact_table(spark):
     rows = {(r.a, r.b): r for r in facts.fact_table(spark).collect()}
     assert len(rows) == 45

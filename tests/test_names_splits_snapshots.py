@@ -50,7 +50,7 @@ def test_a_permutation_is_a_bijection(spark, n):
 def test_sides_of_large_numbers():
     for n in (10**6 + 3, 10**12 + 39, 2**50 + 1):
         a, b = sampling.sides(n)
-        assert n <= a * b < n + 10**5
+        assert n <= a * b < n + a // 50
 
 
 def test_permuted_split(spark):

@@ -78,6 +78,9 @@ def display_response(response: Column) -> Column:
     return F.when(text.startswith("Assistant:"), text).otherwise(F.concat(F.lit("Assistant: "), text))
 
 
+# The patterns of a program's docstring, def line and indent in the next two functions.
+
+
 def question_of_code(code: Column) -> Column:
     """The docstring of a program, in double quotes or else in single ones; empty if there is none."""
     group = lambda q: F.nullif(F.regexp_extract(code, f"(?s){q}(.+?){q}", 1), F.lit(""))
