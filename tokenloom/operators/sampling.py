@@ -50,7 +50,7 @@ def shuffle_split(rows: DataFrame, key: str, train: int, val: int, seed: int = 4
     return rows.join(named, key)
 
 
-def sides(n: int, tried: int = 4096) -> tuple[int, int]:
+def sides(n: int, tried: int = 1 << 16) -> tuple[int, int]:
     """a and b, both near the root of n, with a * b from n on and as little over it as those tried allow."""
     root = math.isqrt(max(n, 1) - 1) + 1
     some = range(root, root - min(tried, max(1, root // 2)), -1)

@@ -652,7 +652,7 @@ def sql_permuted(v: str, rounds: int = 3, seed: int = 42) -> str:
 
 
 @query(
-    "WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS root FROM orders), s AS (SELECT n, a, (n + a - 1) // a AS b FROM n, LATERAL (SELECT unnest(range(root - least(4096, greatest(root // 2, 1)) + 1, root + 1)) AS a)), t AS (SELECT * FROM s ORDER BY a * b, a DESC LIMIT 1),"
+    "WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS root FROM orders), s AS (SELECT n, a, (n + a - 1) // a AS b FROM n, LATERAL (SELECT unnest(range(root - least(65536, greatest(root // 2, 1)) + 1, root + 1)) AS a)), t AS (SELECT * FROM s ORDER BY a * b, a DESC LIMIT 1),"
     f" w AS (SELECT o_orderkey, n, a, b, {sql_permuted('idx')} AS place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), t"
     f" UNION ALL SELECT o_orderkey, n, a, b, {sql_permuted('place')} FROM w WHERE place >= n)"
     " SELECT o_orderkey, place::BIGINT AS place, CASE WHEN place < 1000 THEN 'train' ELSE 'val' END AS split FROM w WHERE place < n AND place < 1200"
