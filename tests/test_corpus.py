@@ -233,3 +233,32 @@ def test_only_what_is_asked_for_is_read(spark, tmp_path):
     assert sum(p.steps for p in few.partitions()) == 4
     with pytest.raises(ValueError, match="npy"):
         token_shards.ids_in(b"\x93NUMPY other".ljust(128))
+
+
+# ---- batches from pieces ----
+
+
+@pytest.mark.parametrize(("batch", "length", "ranks"), [(2, 8, 1), (3, 4, 2), (1, 1, 3)])
+def test_rows_of_batches_from_bytes(spark, batch, length, ranks):
+    draw = random.Random(7)
+    docs = spark.createDataFrame([(i, "".join(draw.choice("abc ") for _ in range(draw.choice((0, 0, 1, 3, 9, 150))))) for i in range(90)], SCHEMA).repartition(3)
+    ids = corpus.encoded(docs, condition="baseline")
+    stream = np.concatenate([np.frombuffer(p.ids, "<u2") for p in corpus.pieces_of(ids, 300, 1 << 60).orderBy("piece_start").collect()])
+    shards = [(k, stream[300 * k : 300 * (k + 1)]) for k in range(-(-len(stream) // 300))]
+    want = sorted((r[3], r[0], r[4], *r[5:]) for r in sequential_batches(shards, batch, length, ranks, 1))
+    assert sorted(tuple(r) for r in corpus.batch_rows(ids, 300, batch, length, ranks).collect()) == want and len(want) > 50
+
+
+def test_rows_of_batches_send_ids_once(spark, tmp_path):
+    from tokenloom.plans import catalogue
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False).head()])
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ.,0123456789", k=30_000)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    before = sent()
+    catalogue.batch_rows(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert 0 < sent() - before < 3 * sum(map(len, texts))  # two bytes for each id, and little else

@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import facts
 from ..functions.inject import inject as inject_facts
 from ..sources.scratch import written
-from .pack import pack, with_split
+from .pack import ID_BYTES, batches, pack, with_batches, with_split
+from .pack import batch_rows as rows_of_batches
 
-#: Bytes of one id in a table of ids and in a shard.
-ID_BYTES = 2
 #: Letters of a long text that are encoded at a time with others.
 SLAB = 1 << 20
 FACT = re.compile(r"<MUL_([0-9]+)_([0-9]+)_([0-9]+)>")
@@ -176,19 +175,43 @@ def encoded(docs: DataFrame, encoder: Encoder | None = None, condition: str = "f
     return written(rows.mapInArrow(run, f"`{order}` {kind}, row long, n long, facts int, ids binary, error string"), "ids")
 
 
+def _packable(ids: DataFrame, shard_size: int, order: str, synthetic: DataFrame | None) -> DataFrame:
+    """Rows without an error, and the synthetic one if it is shorter than a shard."""
+    good = ids.filter("error is null").select(order, "row", "n", "facts", "ids").withColumn("_first", F.lit(1))
+    if synthetic is None:
+        return good
+    prefix = synthetic.filter(F.col("n") < shard_size).withColumn(order, F.lit(-1).cast(ids.schema[order].dataType))
+    return good.unionByName(prefix.select(order, F.lit(-1).cast("bigint").alias("row"), "n", "facts", "ids").withColumn("_first", F.lit(0)))
+
+
+def places_of(ids: DataFrame, shard_size: int, target: int, val_shards: int = 1, order: str = "doc_id", synthetic: DataFrame | None = None) -> DataFrame:
+    """The pieces of ``pieces_of`` without their ids, from numbers of ids alone, kept in the shared folder; row tells whose they are."""
+    good = _packable(ids, shard_size, order, synthetic)
+    plan = with_split(pack(good.select("_first", order, "row", "n"), shard_size, target, order, ties=("_first", "row")), val_shards)
+    return written(plan.select(order, "row", "split", "shard", "piece_start", "shard_offset", "doc_offset", "length"), "places")
+
+
+def with_ids(places: DataFrame, ids: DataFrame, shard_size: int, order: str = "doc_id", synthetic: DataFrame | None = None) -> DataFrame:
+    """Places with the facts of the whole document and their ids; ids are sent once, and not sorted."""
+    whole = _packable(ids, shard_size, order, synthetic).select("row", "facts", F.col("ids").alias("_ids"))
+    part = F.substring(F.col("_ids"), (F.col("doc_offset") * ID_BYTES + 1).cast("int"), (F.col("length") * ID_BYTES).cast("int"))
+    return places.hint("shuffle_hash").join(whole, "row").select(*[c for c in places.columns if c != "row"], "facts", part.alias("ids"))
+
+
 def pieces_of(ids: DataFrame, shard_size: int, target: int, val_shards: int = 1, order: str = "doc_id", synthetic: DataFrame | None = None) -> DataFrame:
     """Pieces of shards from a table of ids: order, split, shard, piece_start, shard_offset, doc_offset, length, facts and ids.
 
     facts are those of the whole document.  synthetic, a table of ids of one row, comes first
     if it is shorter than a shard; it is no document, its order is -1.  Rows with an error take no part."""
-    good = ids.filter("error is null").select(order, "row", "n", "facts", "ids").withColumn("_first", F.lit(1))
-    if synthetic is not None:
-        prefix = synthetic.filter(F.col("n") < shard_size).withColumn(order, F.lit(-1).cast(ids.schema[order].dataType))
-        good = good.unionByName(prefix.select(order, F.lit(-1).cast("bigint").alias("row"), "n", "facts", "ids").withColumn("_first", F.lit(0)))
-    plan = with_split(pack(good.select("_first", order, "row", "n"), shard_size, target, order, ties=("_first", "row")), val_shards)
-    whole = good.select("row", "facts", F.col("ids").alias("_ids"))
-    part = F.substring(F.col("_ids"), (F.col("doc_offset") * ID_BYTES + 1).cast("int"), (F.col("length") * ID_BYTES).cast("int"))
-    return plan.join(whole, "row").select(order, "split", "shard", "piece_start", "shard_offset", "doc_offset", "length", "facts", part.alias("ids"))
+    return with_ids(places_of(ids, shard_size, target, val_shards, order, synthetic), ids, shard_size, order, synthetic)
+
+
+def batch_rows(ids: DataFrame, shard_size: int, batch: int, length: int, ranks: int, order: str = "doc_id") -> DataFrame:
+    """Every row of every batch of the shards of a table of ids; batches are planned on numbers of ids, before ids are sent."""
+    places = places_of(ids, shard_size, 1 << 60, order=order)
+    plan = batches(places.groupBy("shard").agg(F.sum("length").alias("size")), batch, length, ranks)
+    planned = written(with_batches(places.select("row", "shard", "shard_offset", "doc_offset", "length"), plan, batch, length), "batches")
+    return rows_of_batches(with_ids(planned, ids, shard_size, order), None, batch, length, tokens="ids")
 
 
 def build(docs: DataFrame, shard_size: int, target: int | None, val_shards: int = 1, encoder: Encoder | None = None, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None) -> DataFrame:

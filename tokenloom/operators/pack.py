@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import facts
 from .tokenize import encode
@@ -11,6 +16,8 @@ from .tokenize import encode
 #: Least and greatest number of ranges of an order column; in between, four for each shuffle partition.
 #: The greatest is what one expression can look up; rows of a range are spilled by the window, not held.
 LEAST_RANGES, MOST_RANGES = 64, 4096
+#: Bytes of an id where ids are kept as bytes, and ids of rows that a worker sends at a time.
+ID_BYTES, SENT = 2, 1 << 18
 
 
 def _range_of(order: Column, cuts: list) -> Column:
@@ -118,22 +125,79 @@ def short_shards(shard_sizes: DataFrame, batch: int, length: int, ranks: int, si
     return shard_sizes.filter(F.col(size) < batch * length * ranks + 1)
 
 
-def batch_rows(packed: DataFrame, plan: DataFrame, batch: int, length: int, shard: str = "shard", tokens: str = "tokens") -> DataFrame:
+def with_batches(pieces: DataFrame, plan: DataFrame, batch: int, length: int, shard: str = "shard") -> DataFrame:
+    """Pieces (shard, shard_offset, length) with ``batches``: block, rank and step of each batch of the plan that they hold ids of.
+
+    Ids take no part.  A piece that no batch needs is left out."""
+    block, at = batch * length, F.col("shard_offset")
+    # an id at the end of a row is the last one of the row before it, too
+    blocks = F.sequence(F.floor(F.greatest(F.lit(0), at - 1) / block), F.floor((at + F.col("length") - 1) / block))
+    each = pieces.filter("length > 0").withColumn("_block", F.explode(blocks))
+    asked = plan.filter(F.col("position") % block == 0).select(shard, F.floor(F.col("position") / block).alias("_block"), "rank", "step")
+    found = F.struct(F.col("_block").alias("block"), "rank", "step")
+    # the batches of a few shards look small to the planner and are many, so they aren't to be broadcast
+    return each.join(asked.hint("merge"), [shard, "_block"]).groupBy(*pieces.columns).agg(F.array_sort(F.collect_list(found)).alias("batches"))
+
+
+def batch_rows(packed: DataFrame, plan: DataFrame | None, batch: int, length: int, shard: str = "shard", tokens: str = "tokens") -> DataFrame:
     """x and y of every row of every batch: length tokens, and those one further.
 
-    packed has whole shards, or pieces of them with their ``shard_offset``.  Each sends every
-    row of length + 1 tokens what it has of it, so no shard has to stand in one place."""
-    offset = F.col("shard_offset").cast("bigint") if "shard_offset" in packed.columns else F.lit(0).cast("bigint")
-    pieces, ids = packed.select(F.col(shard).alias("shard"), offset.alias("shard_offset"), F.col(tokens).alias("ids")).filter(F.size("ids") > 0), "ids"
-    last = F.floor((F.col("shard_offset") + F.size(ids) - 1) / length)
-    each = pieces.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("shard_offset") - 1) / length)), last)))
-    low = F.greatest(F.col("at") * length, F.col("shard_offset"))
-    high = F.least(F.col("at") * length + length + 1, F.col("shard_offset") + F.size(ids))
-    part = F.struct(low.alias("low"), F.slice(ids, (low - F.col("shard_offset") + 1).cast("int"), (high - low).cast("int")).alias("ids"))
-    rows = each.groupBy("shard", "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["ids"])).alias("ids"))  # length + 1 tokens each
-    placed = rows.filter(F.size("ids") == length + 1).withColumn("position", F.floor(F.col("at") / batch) * (batch * length)).withColumn("row", (F.col("at") % batch).cast("int"))
-    taken = placed.join(plan.select(F.col(shard).alias("shard"), F.col("position").cast("bigint").alias("position"), "rank", "step"), ["shard", "position"])
-    return taken.select(F.col("shard").alias(shard), "rank", "step", "row", F.slice("ids", 1, length).alias("x"), F.slice("ids", 2, length).alias("y"))
+    packed has whole shards, or pieces of them with their ``shard_offset``; tokens are arrays, or bytes
+    of two for each id.  A row that lies within a piece is cut from it where the piece stands; only
+    parts of rows that reach over the ends of pieces are sent.  Pieces may have their ``batches``
+    (see ``with_batches``), then no plan is needed."""
+    offset = F.col("shard_offset") if "shard_offset" in packed.columns else F.lit(0)
+    held = ["batches"] if "batches" in packed.columns else []
+    pieces = packed.select(F.col(shard).alias("shard"), offset.cast("bigint").alias("shard_offset"), F.col(tokens).alias("ids"), *held)
+    kind = pieces.schema["ids"].dataType
+    as_bytes = isinstance(kind, BinaryType)
+    n = F.floor(F.octet_length("ids") / ID_BYTES) if as_bytes else F.size("ids").cast("bigint")
+    pieces = pieces.filter(n > 0)
+    if not held:
+        found = with_batches(pieces.select("shard", "shard_offset", n.alias("length")), plan.withColumnRenamed(shard, "shard"), batch, length)
+        pieces = pieces.join(found.drop("length"), ["shard", "shard_offset"])
+
+    low, high, at = F.col("shard_offset"), F.col("shard_offset") + n, F.col("at")
+    over = F.filter(F.sequence(F.floor(F.greatest(F.lit(0), low - 1) / length), F.floor((high - 1) / length)), lambda r: (r * length < low) | (r * length + length + 1 > high))
+    first, last = F.greatest(at * length, low), F.least(at * length + length + 1, high)
+    cut = F.substring(F.col("ids"), ((first - low) * ID_BYTES + 1).cast("int"), ((last - first) * ID_BYTES).cast("int")) if as_bytes else F.slice("ids", (first - low + 1).cast("int"), (last - first).cast("int"))
+    asked = F.filter("batches", lambda b: b["block"] == F.floor(at / batch))
+    parts = pieces.withColumn("at", F.explode(over)).select("shard", "at", asked.alias("batches"), F.struct(first.alias("low"), cut.alias("ids")).alias("part")).filter(F.size("batches") > 0)
+    put = F.transform(F.array_sort(F.collect_list("part")), lambda p: p["ids"])  # length + 1 ids in all
+    whole = F.aggregate(put, F.lit(b""), lambda a, x: F.concat(a, x)) if as_bytes else F.flatten(put)
+    rows = parts.groupBy("shard", "at").agg(whole.alias("ids"), F.first("batches").alias("batches")).filter(n == length + 1)
+    every = pieces.select("shard", "shard_offset", "ids", "batches").unionByName(rows.select("shard", (at * length).alias("shard_offset"), "ids", "batches"))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            lists, ids = b.column(3), b.column(2)
+            if as_bytes:
+                ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+                flat = np.frombuffer(ids.buffers()[2] or b"", "<u2", count=(ends[-1] - ends[0]) // ID_BYTES, offset=ends[0])
+                ends = (ends - ends[0]) // ID_BYTES
+            else:
+                ends, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
+            if len(flat) <= length:
+                continue
+            asked = lists.flatten()
+            piece = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+            start = b.column(1).to_numpy()[piece]
+            row = asked.field(0).to_numpy()[:, None] * batch + np.arange(batch)
+            inside = (row * length >= start[:, None]) & (row * length + length < (start + np.diff(ends)[piece])[:, None])
+            of, number = np.nonzero(inside)
+            begin = ends[piece[of]] + row[inside] * length - start[of]
+            view = np.lib.stride_tricks.sliding_window_view(flat, length + 1)
+            most = max(1, SENT // length)
+            for k in range(0, len(of), most):
+                some = slice(k, k + most)
+                got = view[begin[some]]
+                sides = [pa.ListArray.from_arrays(np.arange(0, got[:, :-1].size + 1, length, dtype=np.int32), pa.array(side.reshape(-1).astype(np.int32 if as_bytes else flat.dtype))) for side in (got[:, :-1], got[:, 1:])]
+                taken = pa.array(of[some])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(piece[of[some]])), asked.field(1).take(taken), asked.field(2).take(taken), pa.array(number[some].astype(np.int32)), *sides], names=[shard, "rank", "step", "row", "x", "y"])
+
+    of_batch = every.schema["batches"].dataType.elementType
+    types = (every.schema["shard"].dataType.simpleString(), *(of_batch[c].dataType.simpleString() for c in ("rank", "step")), "int" if as_bytes else kind.elementType.simpleString())
+    return every.mapInArrow(run, "`{4}` {0}, rank {1}, step {2}, row int, x array<{3}>, y array<{3}>".format(*types, shard))
 
 
 def build_pieces(docs: DataFrame, shard_size: int, target: int | None, val_shards: int = 1, condition: str = "facts", order: str = "doc_id", text: str = "text", synthetic: DataFrame | None = None, encoder=None) -> DataFrame:

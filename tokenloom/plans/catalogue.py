@@ -598,9 +598,8 @@ SQL_ROWS = (
 @query(SQL_ROWS)
 def batch_rows(spark, d):
     """Every row of every batch of the whole table's shards."""
-    parts = pack.build_pieces(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), SHARD, None, 1, "baseline")
-    plan = pack.batches(parts.groupBy("shard").agg(F.sum("length").alias("size")), 4, 64, 2)
-    rows = pack.batch_rows(parts, plan, 4, 64, tokens="ids")
+    ids = corpus.encoded(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), condition="baseline")
+    rows = corpus.batch_rows(ids, SHARD, 4, 64, 2)
     return rows.select("shard", "rank", "step", "row", joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
 
 
