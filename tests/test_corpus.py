@@ -262,3 +262,15 @@ def test_rows_of_batches_send_ids_once(spark, tmp_path):
     before = sent()
     catalogue.batch_rows(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
     assert 0 < sent() - before < 3 * sum(map(len, texts))  # two bytes for each id, and little else
+
+
+def test_partitions_follow_ids_not_shards(tmp_path):
+    for k in range(400):
+        np.save(tmp_path / f"corpus_train_{k:06d}.npy", np.arange(k, k + 1001, dtype="<u2"))
+    reader = token_shards._BatchReader({"path": str(tmp_path), "batch": "2", "length": "8", "ranks": "2"})
+    parts = reader.partitions()
+    assert len(parts) == 1 and parts[0].steps == 400 * 61
+    found = [b for p in parts for b in reader.read(p)]
+    assert len(found) < 20 and sum(b.num_rows for b in found) == 400 * 61 * 2
+    last = found[-1].slice(found[-1].num_rows - 1).to_pylist()[0]
+    assert last == {"rank": 1, "step": 400 * 30 - 1, "epoch": 0, "shard": 399, "shard_step": 29, "row": 1, "x": list(range(399 + 952, 399 + 960)), "y": list(range(399 + 953, 399 + 961))}

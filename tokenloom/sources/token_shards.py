@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from ..functions.text import shard_name
 
 #: Bytes before a file's ids, and of one id.
 HEADER, ID_BYTES = 128, 2
-#: Batches that one partition of the source reads.
-STEPS = 256
+#: Steps of a range, ids of the ranges that one partition of the source reads, and ids that it sends at a time.
+STEPS, PART_IDS, SENT = 256, 1 << 22, 1 << 18
 
 
 def header(size: int) -> bytes:
@@ -84,7 +85,7 @@ class _ShardWriter(DataSourceArrowWriter):
         part = f"_part/{TaskContext.get().taskAttemptId()}"
         store.create_dir(f"{root}/{part}", recursive=True)
         done = _Written(part, [])
-        out, now, at, size = None, None, 0, 0
+        out, now, at, size, begun = None, None, 0, 0, set()
 
         def close() -> None:
             if out is not None:
@@ -97,12 +98,13 @@ class _ShardWriter(DataSourceArrowWriter):
             for name, total, offset, ids in zip(column("name").to_pylist(), column("size").to_pylist(), column("shard_offset").to_pylist(), column("ids"), strict=True):
                 if name != now:
                     close()
-                    if name in done.names:
+                    if name in begun:
                         raise ValueError(f"{name} comes in two stretches")
                     now, at, size = name, 0, total
                     out = store.open_output_stream(f"{root}/{part}/{name}")
                     out.write(header(size))
                     done.names.append(name)
+                    begun.add(name)
                 if offset != at:
                     raise ValueError(f"{name} goes on at {offset} after {at} ids")
                 data = ids.as_buffer()
@@ -129,11 +131,25 @@ class _ShardWriter(DataSourceArrowWriter):
             store.delete_dir(f"{root}/_part")
 
 
-class _Range(InputPartition):
+class _Range(NamedTuple):
     """Steps of a rank in one shard, from shard_step on."""
 
-    def __init__(self, file: str, shard: int, epoch: int, rank: int, step: int, shard_step: int, steps: int):
-        self.file, self.shard, self.epoch, self.rank, self.step, self.shard_step, self.steps = file, shard, epoch, rank, step, shard_step, steps
+    file: str
+    shard: int
+    epoch: int
+    rank: int
+    step: int
+    shard_step: int
+    steps: int
+
+
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+    @property
+    def steps(self) -> int:
+        return sum(r.steps for r in self.ranges)
 
 
 class _BatchReader(DataSourceReader):
@@ -160,8 +176,8 @@ class _BatchReader(DataSourceReader):
             return 0
         return 1 + max(0, (size - 1 - block * (rank + self.ranks)) // (block * self.ranks))
 
-    def partitions(self) -> list[_Range]:
-        shards, out = self.shards(), []
+    def ranges(self) -> Iterator[_Range]:
+        shards = self.shards()
         for rank in range(self.ranks):
             step = 0
             for epoch in range(self.epochs):
@@ -169,26 +185,53 @@ class _BatchReader(DataSourceReader):
                     steps = self.steps_in(size, rank)
                     low = max(step, self.first_step)
                     high = min(step + steps, step + steps if self.last_step is None else self.last_step)
-                    out += [_Range(file, shard, epoch, rank, at, at - step, min(STEPS, high - at)) for at in range(low, high, STEPS)]
+                    yield from (_Range(file, shard, epoch, rank, at, at - step, min(STEPS, high - at)) for at in range(low, high, STEPS))
                     step += steps
+
+    def partitions(self) -> list[_Ranges]:
+        """Ranges of small shards are read together, so that partitions follow the ids and not the files."""
+        out, held = [], 0
+        for r in self.ranges():
+            if not out or held + r.steps * self.batch * self.length > PART_IDS:
+                out.append(_Ranges([]))
+                held = 0
+            out[-1].ranges.append(r)
+            held += r.steps * self.batch * self.length
         return out
 
-    def read(self, part: _Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Ranges | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # there are no steps
             return
         store, _ = place(self.path)
+        most = max(1, SENT // (self.batch * self.length))
+        held, ids = [], []  # of the next record batch: range and step in it, ids
+        for r in part.ranges:
+            with store.open_input_file(r.file) as f:
+                ids_in(f.read(HEADER))
+                for k in range(r.steps):
+                    held.append((r, k))
+                    ids.append(self.ids_at(f, r, k))
+                    if len(ids) == most:
+                        yield self.rows(held, ids)
+                        held, ids = [], []
+        if ids:
+            yield self.rows(held, ids)
+
+    def ids_at(self, f, r: _Range, k: int) -> bytes:
         block = self.batch * self.length
-        with store.open_input_file(part.file) as f:
-            ids_in(f.read(HEADER))
-            for k in range(part.steps):
-                f.seek(HEADER + ID_BYTES * block * (part.rank + (part.shard_step + k) * self.ranks))
-                ids = np.frombuffer(f.read(ID_BYTES * (block + 1)), "<u2").astype(np.int32)
-                if len(ids) <= block:
-                    raise ValueError(f"{part.file} is shorter than its listing")
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length).cast(pa.list_(pa.int32())) for a in (ids[:-1], ids[1:])]
-                same = lambda v, t: pa.array([v] * self.batch, t)
-                fixed = [same(part.rank, pa.int32()), same(part.step + k, pa.int64()), same(part.epoch, pa.int32()), same(part.shard, pa.int32()), same(part.shard_step + k, pa.int64()), pa.array(range(self.batch), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*fixed, *lists], names=["rank", "step", "epoch", "shard", "shard_step", "row", "x", "y"])
+        found = f.read_at(ID_BYTES * (block + 1), HEADER + ID_BYTES * block * (r.rank + (r.shard_step + k) * self.ranks))
+        if len(found) < ID_BYTES * (block + 1):
+            raise ValueError(f"{r.file} is shorter than its listing")
+        return found
+
+    def rows(self, held: list[tuple[_Range, int]], ids: list[bytes]) -> pa.RecordBatch:
+        """The rows of several steps."""
+        both = np.frombuffer(b"".join(ids), "<u2").astype(np.int32).reshape(len(ids), -1)
+        ends = np.arange(0, len(ids) * self.batch * self.length + 1, self.length, dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(ends, np.ascontiguousarray(a).reshape(-1)) for a in (both[:, :-1], both[:, 1:])]
+        each = lambda values, t: pa.array(np.repeat(np.fromiter(values, np.int64, len(held)), self.batch)).cast(t)
+        fixed = [each((r.rank for r, _ in held), pa.int32()), each((r.step + k for r, k in held), pa.int64()), each((r.epoch for r, _ in held), pa.int32()), each((r.shard for r, _ in held), pa.int32()), each((r.shard_step + k for r, k in held), pa.int64()), pa.array(np.tile(np.arange(self.batch, dtype=np.int32), len(held)))]
+        return pa.RecordBatch.from_arrays([*fixed, *lists], names=["rank", "step", "epoch", "shard", "shard_step", "row", "x", "y"])
 
 
 def _registered(spark: SparkSession) -> None:
