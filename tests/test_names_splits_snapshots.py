@@ -83,3 +83,12 @@ def test_versions_of_results(spark, tmp_path):
     with pytest.raises(snapshots.Conflict):
         snapshots.commit(rows((5, "f")), at, after=3)
     assert snapshots.clean(spark, at, keep=1) >= 3 and len(read()) == 4 and snapshots.current(spark, at, version=1) is None
+
+
+def test_names_of_a_table_stay_apart(spark, tmp_path):
+    from tokenloom.plans import catalogue
+
+    keys = [99_999, 100_000, 999_999, 1_000_000, 1_000_001, 1_199_999]
+    spark.createDataFrame([(k, "name", 7) for k in keys], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: r.shard for r in catalogue.table_names(spark, str(tmp_path)).collect()}
+    assert got == {k: f"corpus_train_{k:06d}.npy" for k in keys}
